@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import token_output
+from graphloom.llm import simhash, token_output
 
 QUERIES = {
     "op7_token_ids": token_output.op7_token_ids,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
