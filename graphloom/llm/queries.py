@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from graphloom.llm import simhash, token_output
+from graphloom.llm import decontamination, mixing, simhash, token_output
 
 QUERIES = {
+    "op6_decontaminate": decontamination.op6_decontaminate,
     "op7_token_ids": token_output.op7_token_ids,
+    "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_decontaminate": decontamination.ORACLE,
+    "op8_mixing": mixing.ORACLE,
+}
