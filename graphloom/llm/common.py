@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,3 +40,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_chars: int = 4_00
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def per_worker(key: tuple, make: Callable[[], object]) -> object:
+    """An object that a Python worker makes once and keeps for its later tasks."""
+    kept = sys.modules.setdefault("graphloom_worker_objects", ModuleType("graphloom_worker_objects")).__dict__.setdefault("objects", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

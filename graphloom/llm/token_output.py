@@ -26,16 +26,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import slices, table
+from graphloom.llm.common import per_worker, slices, table
 from graphloom.session import fresh_path
 
 END_ID = 1
 BLOCK_TOKENS = 1_000_000
 SHARD_DOCS, MAX_SHARDS = 1_000, 16_384
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 BLOCK_SCHEMA = "shard int, block int, n_tokens long, doc_ids binary, null_ids int, counts binary, ranks binary, control binary, data binary"
 DOC_SCHEMA = "doc_id long, n_tokens long, ids_crc32 long, shard int, block int, before long"
-_SPACE = re.compile("[ \t\r\n]+")
+#: Runs of ASCII signs, or of other characters but white space.
+_PIECE = re.compile(rb"[!-/:-@\[-`{-~]+|[^\s!-/:-@\[-`{-~]+")
+#: Bytes of texts that may be split into such runs: ASCII without the apostrophe, and the letters of U+00C0 to U+00FF.
+_PLAIN = bytes(c for c in b"\t\n\r\xc3" + bytes([*range(32, 127), *range(0x80, 0xC0)]) if c != ord("'"))
+#: Bytes of words in lower case: a-z and the letters of U+00DF to U+00FF.
+_LETTERS = bytes([*range(ord("a"), ord("z") + 1), 0xC3, *(c for c in range(0x9F, 0xC0) if c != 0xB7)])
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {c: chr(256 + k) for k, c in enumerate(sorted({*range(256)} - {*_SHOWN}))}
 #: Bytes of each of the four codes of a control byte.
 _LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], dtype=np.uint8)
 
@@ -47,52 +55,57 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class WordCache:
-    """Encodes whole texts with a ``tokenizers`` file, remembering the ids of white-space-free pieces.
+class Pieces(dict):
+    """Packed ids of white-space-free pieces; an unknown one is encoded and kept, the store is emptied when full."""
 
-    The vocabulary drops white space before it merges, so a text's ids are its pieces' ids in order.
-    Texts that hold an added token's string are encoded in one go, as such strings may hold anything.
-    The cache is emptied when it has ``CACHE_WORDS`` pieces.
+    def __init__(self, tokenizer, dtype: np.dtype):
+        self.tokenizer, self.model, self.dtype = tokenizer, tokenizer.model, dtype
+
+    def __missing__(self, piece: bytes) -> bytes:
+        if not piece.translate(None, _LETTERS):  # a single word that neither normaliser nor splitter changes
+            ids = [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(_BYTE_CHARS))]
+        else:
+            ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        packed = self[piece] = np.array(ids, dtype=self.dtype).tobytes()
+        return packed
+
+
+class Encoder:
+    """Encodes whole texts with a ``tokenizers`` file by way of remembered pieces.
+
+    The vocabulary lower-cases, drops white space and never merges across white space or between
+    letters and other signs, so a text's ids are its pieces' ids in order. Where that is certain
+    (ASCII but the apostrophe, letters up to U+00FF) the text is lower-cased and pieces are runs of
+    signs or of the rest; other texts are split at white space alone; texts with an added token's
+    string are encoded in one go.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
-        self.end = self._pack([end_id])
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text with the end id, as packed little-endian integers."""
-        pieces = [None if any(a in t for a in self.added) else _SPACE.split(t) for t in texts]
-        new = {p for own in pieces if own is not None for p in own if p not in self.known}
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = {p for own in pieces if own is not None for p in own}
-        names = list(new)
-        for start in range(0, len(names), 20_000):
-            part = names[start : start + 20_000]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = self._pack(got.ids)
-        known = self.known
-        out = []
-        for text, own in zip(texts, pieces, strict=True):
-            if own is None:
-                body = self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            else:
-                body = b"".join([known[p] for p in own])
-            out.append(body + self.end)
-        return out
+        tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer
+        self.dtype = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
+        self.end = np.array([end_id], dtype=self.dtype).tobytes()
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = Pieces(tokenizer, self.dtype)
+
+    def encode(self, text: str) -> bytes:
+        """The text's ids and the end id as packed little-endian integers."""
+        if any(a in text for a in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes() + self.end
+        raw = text.encode("utf-8", "replace")
+        if raw.translate(None, _PLAIN) or b"\xc3\x97" in raw or b"\xc3\xb7" in raw:
+            own = raw.split()
+        else:
+            own = _PIECE.findall(text.lower().encode())
+        return b"".join(map(self.pieces.__getitem__, own)) + self.end
 
 
 def encode_ranks(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(ranks, control, data) of a block of ids."""
-    ids = ids.astype(np.int64)
     counts = np.bincount(ids)
     present = np.flatnonzero(counts)
     order = present[np.argsort(-counts[present], kind="stable")]
@@ -104,8 +117,16 @@ def encode_ranks(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     padded[: len(ids)] = extra
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    keep = np.arange(4, dtype=np.uint8) <= extra[:, None]
-    return order.astype("<u4").tobytes(), control.tobytes(), coded.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    starts = np.zeros(len(ids), dtype=np.int64)
+    np.cumsum(extra[:-1] + 1, out=starts[1:])
+    data = np.empty(len(ids) + int(extra.sum(dtype=np.int64)), dtype=np.uint8)
+    data[starts] = coded.astype(np.uint8)
+    for k in range(1, 4):
+        longer = np.flatnonzero(extra >= k)
+        if not len(longer):
+            break
+        data[starts[longer] + k] = (coded[longer] >> np.uint32(8 * k)).astype(np.uint8)
+    return order.astype("<u4").tobytes(), control.tobytes(), data.tobytes()
 
 
 def decode_ranks(n: int, ranks: bytes, control: bytes, data: bytes) -> np.ndarray:
@@ -140,12 +161,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     bounds, _ = _bounds(docs)
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer, end_id)
+        encoder = per_worker(("tokens", tokenizer, end_id), lambda: Encoder(tokenizer, end_id))
         for part in slices(batches, "text"):
             ids = part.column("doc_id")
             shard = np.searchsorted(bounds, pa.compute.fill_null(ids, -(1 << 63)).to_numpy(zero_copy_only=False))
-            packed = cache.encode(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(shard.astype(np.int32)), pa.array([cache.dtype.itemsize] * len(packed), pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "shard", "width", "ids"])
+            packed = [encoder.encode(text) for text in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(shard.astype(np.int32)), pa.array([encoder.dtype.itemsize] * len(packed), pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "shard", "width", "ids"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int | None, np.ndarray]] = []
