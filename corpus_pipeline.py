@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontamination, mixing, simhash, token_output
+from graphloom.llm import decontamination, language_id, mixing, simhash, token_output
 from graphloom.llm.common import table
 from graphloom.session import materialise
 
 STAGES = [
+    ("language_id", language_id.stage),
     ("near_duplicates", simhash.stage),
     ("decontamination", decontamination.stage),
     ("mixing", mixing.stage),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontamination, mixing, simhash, token_output
+from graphloom.llm import decontamination, language_id, mixing, simhash, token_output
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op6_decontaminate": decontamination.op6_decontaminate,
     "op7_token_ids": token_output.op7_token_ids,
     "op8_mixing": mixing.op8_mixing,
