@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontamination, language_id, mixing, simhash, token_output
+from graphloom.llm import decontamination, language_id, mixing, quality, simhash, token_output
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_token_ids": token_output.op7_token_ids,
     "op8_mixing": mixing.op8_mixing,
     "op9_simhash": simhash.op9_simhash,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL = {
