@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import chat, decontamination, language_id, mixing, quality, simhash, token_output, url_filter, warc
+from graphloom.llm import chat, decontamination, language_id, mixing, quality, simhash, token_output, transport_stream, url_filter, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_chat_format": chat.op3_chat_format,
     "op4_warc": warc.op4_warc,
+    "op5_transport_stream": transport_stream.op5_transport_stream,
     "op6_decontaminate": decontamination.op6_decontaminate,
     "op7_token_ids": token_output.op7_token_ids,
     "op8_mixing": mixing.op8_mixing,
