@@ -9,9 +9,13 @@ executors.
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.graph import PropertyGraph
+from graphloom.plans.names import NODE
 from graphloom.session import delete_path, fresh_path
 
 
@@ -37,7 +41,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = edges.select("u", "v").where("u is not null and v is not null")
     schema = edges.schema
     base, old = fresh_path(spark, "components"), None
-    edges.write.parquet(f"{base}/given")
+    edges.distinct().write.parquet(f"{base}/given")
     given = spark.read.schema(schema).parquet(f"{base}/given")
     current, state = given.where("u <> v"), None
     for k in range(max_rounds):
@@ -58,3 +62,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     found = stars.union(roots)
     alone = given.where("u = v").select(F.col("u").alias("id")).distinct().join(found, "id", "left_anti")
     return found.union(alone.withColumn("component", F.col("id")))
+
+
+def component_labels(graph: PropertyGraph, where: Any = None) -> DataFrame:
+    """(id, value): the least id of each node's component, for the nodes that a clause brings in.
+
+    Direction is ignored. Under a node clause isolated selected nodes are components of their own;
+    otherwise only nodes that touch a selected edge get a value.
+    """
+    edges = graph.edges_where(where).select("u", "v")
+    if graph.clause(where).kind == NODE:
+        edges = edges.unionAll(graph.nodes_where(where).select(F.col("id").alias("u"), F.col("id").alias("v")))
+    return connected_components(edges).withColumnRenamed("component", "value")
+
+
+def components(graph: PropertyGraph, output: Any, where: Any = None) -> PropertyGraph:
+    """New string node series: the least id in the node's connected component."""
+    name = graph.resolve_new(output, NODE)
+    return graph.with_node_values(component_labels(graph, where), name, "string")
