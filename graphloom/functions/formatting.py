@@ -2,46 +2,38 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def shortest_double(column: Column) -> Column:
-    """Shortest round-trip text of a double, fixed or scientific, whichever is shorter, fixed if equal.
+def shortest(value: float) -> str:
+    """Shortest round-trip text of a float, fixed or scientific, whichever is shorter, fixed if equal.
 
     Scientific exponents have a sign and two digits at least: 1.0 -> 1, 100000.0 -> 1e+05,
     0.001 -> 0.001, 1.5e-7 -> 1.5e-07.
     """
-    text = F.abs(column).cast("string")
-    mantissa, power = F.regexp_extract(text, r"^([0-9.]+)", 1), F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    whole, part = F.regexp_extract(mantissa, r"^(\d+)", 1), F.regexp_extract(mantissa, r"\.(\d+)$", 1)
-    part = F.when(part == "0", "").otherwise(part)
-    digits = F.concat(whole, part)
-    leading = F.length(F.regexp_extract(digits, r"^(0*)", 1))
-    bare = F.regexp_replace(F.regexp_replace(digits, r"^0+", ""), r"0+$", "")
-    n, point = F.length(bare), F.length(whole) + power - leading  # value = 0.bare * 10^point
-    fixed = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), bare))
-        .when(point >= n, F.concat(bare, F.repeat(F.lit("0"), point - n)))
-        .otherwise(F.concat(F.left(bare, point), F.lit("."), F.substr(bare, point + 1)))
-    )
-    exponent = point - 1
-    tail = F.concat(F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    tail = F.when(F.abs(exponent) >= 100, F.concat(F.when(exponent < 0, "e-").otherwise("e+"), F.abs(exponent).cast("string"))).otherwise(tail)
-    scientific = F.concat(F.left(bare, F.lit(1)), F.when(n > 1, F.concat(F.lit("."), F.substr(bare, F.lit(2)))).otherwise(""), tail)
-    shown = F.when(F.length(scientific) < F.length(fixed), scientific).otherwise(fixed)
-    sign = F.when((column < 0) | (column.cast("string") == "-0.0"), "-").otherwise("")
-    return (
-        F.when(F.isnan(column), "nan")
-        .when(F.abs(column) == float("inf"), F.concat(sign, F.lit("inf")))
-        .when(column == 0, F.concat(sign, F.lit("0")))
-        .otherwise(F.concat(sign, shown))
-    )
+    if not np.isfinite(value):
+        return str(float(value))
+    scientific = np.format_float_scientific(value, trim="-", exp_digits=2)
+    fixed = np.format_float_positional(value, trim="-")
+    return scientific if len(scientific) < len(fixed) else fixed
+
+
+@F.pandas_udf(T.StringType())
+def _shortest(values: pd.Series) -> pd.Series:
+    return values.map(shortest, na_action="ignore").astype(object)
+
+
+def shortest_double(column: Column) -> Column:
+    """``shortest`` of a float or double column. Spark's own cast writes 1.0 and 1.0E20 and is not always the shortest."""
+    return F.when(F.isnan(column), "nan").otherwise(_shortest(column))
 
 
 def label(column: Column, data_type: str) -> Column:
     """Text of a vertex label of any type; null stays null."""
     if data_type in ("double", "float"):
-        wide = column.cast("double") if data_type == "double" else column.cast("string").cast("double")
-        return F.when(column.isNotNull(), shortest_double(wide))
+        return F.when(column.isNotNull(), shortest_double(column))
     return column.cast("string")
