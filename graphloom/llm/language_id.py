@@ -38,6 +38,8 @@ UNKNOWN = "und"
 LANG, SCORE, SHARE = "__predicted_lang", "__predicted_score", "__predicted_share"
 GRAM, HASHES, BITS_PER_GRAM = 4, 3, 16
 TRAIN_DOCS, MAX_GRAMS, MIN_SHARE, OWN_SHARE = 1_500, 60_000, 2e-6, 0.1
+#: Ids of the sample are broadcast if there are at most so many, else joined by shuffling.
+BROADCAST_ROWS = 200_000
 #: The pipeline drops a text if less than this share of its n-grams is the winner's.
 REJECT_BELOW = 0.2
 _OTHER = re.compile(r"[\W\d_]+")
@@ -111,11 +113,13 @@ def _positions(numbers: np.ndarray, size: int) -> Iterator[np.ndarray]:
         yield ((numbers + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64)
 
 
-def _sample(labelled: DataFrame, train_docs: int) -> DataFrame:
+def _sample(labelled: DataFrame, train_docs: int, languages: int) -> DataFrame:
     """(lang, text) of at most ``train_docs`` documents a language; only ids are ranked and shuffled."""
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= train_docs)
     chosen = chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()
+    if languages * train_docs <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
     return labelled.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l")), "left_semi").select("lang", "text")
 
 
@@ -135,7 +139,7 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_
 
     labelled = labelled.where("lang is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     frequency = dict(labelled.groupBy("lang").count().collect())
-    counted = _sample(labelled, train_docs).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = _sample(labelled, train_docs, len(frequency)).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     whole = W.partitionBy("lang")
     shared = counted.withColumn("share", F.col("n") / F.sum("n").over(whole)).where(F.col("share") >= MIN_SHARE)
     held = shared.withColumn("own", F.col("share") / F.sum("share").over(W.partitionBy("gram"))).where(F.col("own") >= OWN_SHARE)
