@@ -54,10 +54,10 @@ def targets(sized: DataFrame) -> DataFrame:
     before, everything = by_cap.rowsBetween(W.unboundedPreceding, -1), W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     left_size = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))
     left_weight = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    levelled = weighed.select("*", left_size.alias("left_size"), left_weight.alias("left_weight"))
+    levelled = weighed.select("*", left_size.alias("left_size"), left_weight.alias("left_weight"), F.row_number().over(by_cap).alias("place"))
     # the level is that of the first source, in cap order, that its own level does not fill
     free = F.col("left_size").cast("double") / F.col("left_weight") <= F.col("cap") / F.col("weight")
-    level = F.min(F.when(free, F.struct((F.col("cap") / F.col("weight")).alias("at"), F.col("left_size").cast("double").alias("s"), F.col("left_weight").alias("w")))).over(everything)
+    level = F.min(F.when(free, F.struct("place", F.col("left_size").cast("double").alias("s"), F.col("left_weight").alias("w")))).over(everything)
     share = F.col("weight") * level["s"] / level["w"]
     return levelled.select("source", "source_size", F.coalesce(F.least(F.col("cap").cast("double"), share), F.col("cap").cast("double")).alias("target"))
 
@@ -140,10 +140,11 @@ WITH sized AS (
          [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS weight FROM per
 ), levelled AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS left_size,
-         (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS left_weight
+         (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS left_weight,
+         row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place
   FROM weighed
 ), level AS (
-  SELECT left_size AS s, left_weight AS w FROM levelled WHERE left_size / left_weight <= cap / weight ORDER BY cap / weight, left_size LIMIT 1
+  SELECT left_size AS s, left_weight AS w FROM levelled WHERE left_size / left_weight <= cap / weight ORDER BY place LIMIT 1
 ), target AS (
   SELECT source, source_size, least(cap::DOUBLE, weight * s / w) AS target FROM levelled, level
 ), queued AS (
