@@ -176,11 +176,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each near-duplicate class keep the document with the least id.
 
-    Rows that repeat a kept id count as one document; rows without an id stay if their class has none.
+    Rows that repeat a kept id count as one document. No class can name a row without an id: all such rows stay.
     """
-    classes = materialise(near_duplicates(docs), "simhash-classes").where("doc_id <=> component_id").groupBy("doc_id").count()
-    once = docs.join(classes.where("count = 1 or doc_id is null").select(F.col("doc_id").alias("kept")), F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    again = classes.where("count > 1 and doc_id is not null").select("doc_id")
+    kept = materialise(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").count(), "simhash-kept")
+    once = kept.where("count = 1").select(F.col("doc_id").alias("kept")).unionAll(spark.range(1).select(F.lit(None).cast("long")))
+    found = docs.join(once, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
+    again = kept.where("count > 1").select("doc_id")
     if again.isEmpty():
-        return once
-    return once.union(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+        return found
+    return found.union(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))

@@ -223,7 +223,7 @@ def demux(media: bytes) -> Demuxed:
         first = np.flatnonzero(starts[at])
         if len(at) and (not len(first) or first[0] > 0):
             found.errors += 1
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=False):
             own = at[a:b]
             whole = packets[own]
             unit = whole[np.arange(PACKET) >= offsets[own][:, None]].tobytes()
