@@ -29,6 +29,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -193,49 +194,64 @@ def _result(ids: list, total: list[int], hit: list[int], items: list[set[str]])
     return pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(listed, pa.string()), pa.array(dirty, pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
-    context = docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _indexes(docs: DataFrame, benchmark: DataFrame) -> list[Broadcast]:
+    """The benchmark's blocks, ordered by rarity in ``docs``, as broadcasts."""
     shipped = []
     for block in _blocks(benchmark):
         index = build(block)
         order_by_rarity(index, _rarity(docs, index))
-        shipped.append(context.broadcast(index))
+        shipped.append(docs.sparkSession.sparkContext.broadcast(index))
+    return shipped
+
+
+def _judged(part: pa.RecordBatch, ids: pa.Array, shipped: list[Broadcast]) -> pa.RecordBatch:
+    total, hits, items = [], [], []
+    for text in part.column("text").to_pylist():
+        hit, own = None, set()
+        for index in shipped:
+            marked, found = mark(index.value, text)
+            hit = marked if hit is None else hit | marked
+            own |= found
+        total.append(len(words(text)) if hit is None else len(hit))
+        hits.append(0 if hit is None else int(hit.sum()))
+        items.append(own)
+    return _result(ids, total, hits, items)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shipped = _indexes(docs, benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            total, hits, items = [], [], []
-            for text in part.column("text").to_pylist():
-                hit, own = None, set()
-                for index in shipped:
-                    marked, found = mark(index.value, text)
-                    hit = marked if hit is None else hit | marked
-                    own |= found
-                total.append(len(words(text)) if hit is None else len(hit))
-                hits.append(0 if hit is None else int(hit.sum()))
-                items.append(own)
-            yield _result(part.column("doc_id"), total, hits, items)
+            yield _judged(part, part.column("doc_id"), shipped)
 
     return docs.mapInArrow(run, RESULT)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without its contaminated rows, each judged where it lies; nothing is shuffled."""
+    shipped = _indexes(docs.select("text"), benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            dirty = _judged(part, pa.nulls(part.num_rows, pa.int64()), shipped).column("contaminated")
+            yield part.filter(pa.compute.invert(dirty))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark hits of all documents."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drop contaminated documents; rows without an id are judged by text alone and stay if clean."""
+    """Pipeline stage: drop contaminated documents, row by row."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without its contaminated rows."""
-    dirty = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["doc_id"]), "left_anti")
-
-
 ORACLE = r"""
 WITH items AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.common import crc_mod, slices, table
+from graphloom.session import materialise
 
 UNKNOWN = "und"
 LANG, SCORE, SHARE = "__predicted_lang", "__predicted_score", "__predicted_share"
@@ -113,10 +114,14 @@ def _positions(numbers: np.ndarray, size: int) -> Iterator[np.ndarray]:
         yield ((numbers + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64)
 
 
-def _sample(labelled: DataFrame, train_docs: int, languages: int) -> DataFrame:
+def _sample(labelled: DataFrame, train_docs: int, languages: int, frequency: DataFrame) -> DataFrame:
     """(lang, text) of at most ``train_docs`` documents a language; only ids are ranked and shuffled."""
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= train_docs)
+    order = W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    # hashes below the share wanted, with a margin, go on to the exact ranks
+    reach = F.broadcast(frequency.select(F.col("lang").alias("l"), (train_docs * 1.5 + 200) / F.col("count")).toDF("l", "reach"))
+    near = labelled.select("doc_id", "lang").join(reach, F.col("lang") == F.col("l"))
+    near = near.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("reach") * (1 << 30))
+    chosen = near.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= train_docs)
     chosen = chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()
     if languages * train_docs <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
@@ -138,8 +143,9 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(n), pa.string()), pa.array(numbers.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     labelled = labelled.where("lang is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    frequency = dict(labelled.groupBy("lang").count().collect())
-    counted = _sample(labelled, train_docs, len(frequency)).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    per = materialise(labelled.groupBy("lang").count(), "lang-frequency")
+    frequency = dict(per.collect())
+    counted = _sample(labelled, train_docs, len(frequency), per).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     whole = W.partitionBy("lang")
     shared = counted.withColumn("share", F.col("n") / F.sum("n").over(whole)).where(F.col("share") >= MIN_SHARE)
     held = shared.withColumn("own", F.col("share") / F.sum("share").over(W.partitionBy("gram"))).where(F.col("own") >= OWN_SHARE)
