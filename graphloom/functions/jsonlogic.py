@@ -4,6 +4,9 @@ The vocabulary is that of the published JSON-logic specification, with ``regex``
 booleans, numbers or strings; a comparison of a string with a number reads the string as a number and
 is false (``!=``: true) if it is none. Lists may only be literal; ``map``, ``reduce``, ``all``,
 ``some``, ``none`` and ``merge`` over them are unrolled while compiling.
+
+Where no null can arise once all variables are set, comparisons stay plain, so that Parquet readers
+get them as pushed filters.
 """
 
 from __future__ import annotations
@@ -22,12 +25,17 @@ BOOL, NUMBER, STRING, NULL, LIST = "bool", "number", "string", "null", "list"
 
 @dataclass(frozen=True)
 class Value:
-    """A compiled operand. ``items`` holds the members of a literal list, ``literal`` a plain literal."""
+    """A compiled operand. ``items`` holds the members of a literal list, ``literal`` a plain literal.
+
+    sure: not null if no variable is; may_nan: a number that may be no number.
+    """
 
     column: Column | None
     kind: str
     items: tuple[Value, ...] = ()
     literal: Any = None
+    sure: bool = False
+    may_nan: bool = True
 
 
 def kind_of(data_type: T.DataType) -> str:
@@ -62,17 +70,21 @@ def variables(rule: Any) -> list[str]:
 
 
 def truth(value: Value) -> Column:
-    """Whether a value counts as true; never null."""
+    """Whether a value counts as true; never null if no variable is."""
     if value.kind == LIST:
         return F.lit(bool(value.items))
     if value.kind == NULL:
         return F.lit(False)
     column = value.column
     if value.kind == NUMBER:
-        column = (column != 0) & ~F.isnan(column.cast("double"))
+        column = (column != 0) & ~F.isnan(column.cast("double")) if value.may_nan else column != 0
     elif value.kind == STRING:
         column = column != ""
-    return F.coalesce(column, F.lit(False))
+    return _settled(column, value.sure)
+
+
+def _settled(column: Column, sure: bool) -> Column:
+    return column if sure else F.coalesce(column, F.lit(False))
 
 
 def _number(value: Value) -> Column:
@@ -114,27 +126,31 @@ def _equal(a: Value, b: Value) -> Column:
         return F.lit(a.kind == b.kind)
     if LIST in (a.kind, b.kind):
         raise ValueError("lists cannot be compared")
-    if a.kind == b.kind != NUMBER:
-        return F.coalesce(a.column == b.column, F.lit(False))
-    if a.kind == b.kind:
-        return F.coalesce((a.column == b.column) & ~F.isnan(_real(a)), F.lit(False))
-    return F.coalesce(_comparable(a) == _comparable(b), F.lit(False))
+    if a.kind != b.kind:
+        return F.coalesce(_comparable(a) == _comparable(b), F.lit(False))
+    same = a.column == b.column
+    if a.kind == NUMBER and a.may_nan and b.may_nan:
+        same = same & ~F.isnan(_real(a))
+    return _settled(same, a.sure and b.sure)
 
 
 def _compare(op: str, a: Value, b: Value) -> Column:
+    """Spark's not-a-number is greater than all numbers; here it compares with none."""
     if LIST in (a.kind, b.kind):
         raise ValueError("lists cannot be compared")
-    if a.kind == b.kind == STRING:
-        x, y = a.column, b.column
-    else:
-        x, y = _comparable(a), _comparable(b)
-    return F.coalesce({"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op], F.lit(False))
+    plain = a.kind == b.kind and a.kind in (STRING, NUMBER)
+    x, y = (a.column, b.column) if plain else (_comparable(a), _comparable(b))
+    held = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
+    greater = b if op in ("<", "<=") else a
+    if plain and a.kind == NUMBER and greater.may_nan:
+        held = held & ~F.isnan(_real(greater))
+    return _settled(held, plain and a.sure and b.sure)
 
 
 class Compiler:
-    """Compiles rules; ``resolve`` gives a variable's column and kind."""
+    """Compiles rules; ``resolve`` gives a variable's column and type."""
 
-    def __init__(self, resolve: Callable[[str], tuple[Column, str]]):
+    def __init__(self, resolve: Callable[[str], tuple[Column, T.DataType]]):
         self.resolve = resolve
         self.bound: list[dict[str, Value]] = []
 
@@ -154,10 +170,10 @@ class Compiler:
         if rule is None:
             return Value(F.lit(None), NULL)
         kind = BOOL if isinstance(rule, bool) else NUMBER if isinstance(rule, (int, float)) else STRING
-        return Value(F.lit(rule), kind, literal=rule)
+        return Value(F.lit(rule), kind, literal=rule, sure=True, may_nan=rule != rule)
 
     def condition(self, rule: Any) -> Column:
-        """Whether a rule holds; never null."""
+        """Whether a rule holds; never null if no variable is."""
         return truth(self.value(rule))
 
     def _all(self, args: list) -> list[Value]:
@@ -167,29 +183,30 @@ class Compiler:
         name = args[0] if args else ""
         if self.bound and (name == "" or name in self.bound[-1]):
             return self.bound[-1][name]
-        column, kind = self.resolve(name)
+        column, data_type = self.resolve(name)
+        kind = kind_of(data_type)
         if len(args) > 1:
             other = self.value(args[1])
             if other.kind == kind:
                 column = F.coalesce(column, other.column)
-        return Value(column, kind)
+        return Value(column, kind, sure=kind != NULL, may_nan=isinstance(data_type, T.FractionalType))
 
     def _op_eq(self, args: list) -> Value:
-        return Value(_equal(*self._all(args)), BOOL)
+        return Value(_equal(*self._all(args)), BOOL, sure=True)
 
     def _op_ne(self, args: list) -> Value:
-        return Value(~_equal(*self._all(args)), BOOL)
+        return Value(~_equal(*self._all(args)), BOOL, sure=True)
 
     def _op_same(self, args: list) -> Value:
         a, b = self._all(args)
-        return Value(_equal(a, b) if a.kind == b.kind else F.lit(False), BOOL)
+        return Value(_equal(a, b) if a.kind == b.kind else F.lit(False), BOOL, sure=True)
 
     def _op_differ(self, args: list) -> Value:
-        return Value(~self._op_same(args).column, BOOL)
+        return Value(~self._op_same(args).column, BOOL, sure=True)
 
     def _chain(self, op: str, args: list) -> Value:
         values = self._all(args)
-        return Value(reduce(Column.__and__, [_compare(op, a, b) for a, b in zip(values, values[1:], strict=False)]), BOOL)
+        return Value(reduce(Column.__and__, [_compare(op, a, b) for a, b in zip(values, values[1:], strict=False)]), BOOL, sure=True)
 
     def _op_lt(self, args: list) -> Value:
         return self._chain("<", args)
@@ -213,13 +230,13 @@ class Compiler:
         values = self._all(args)
         if len({v.kind for v in values}) == 1 and values[0].kind not in (BOOL, LIST):
             return reduce(lambda a, b: Value(choose(a, b), a.kind), values)
-        return Value(reduce(combine, map(truth, values)), BOOL)
+        return Value(reduce(combine, map(truth, values)), BOOL, sure=True)
 
     def _op_not(self, args: list) -> Value:
-        return Value(~truth(self.value(args[0])), BOOL)
+        return Value(~truth(self.value(args[0])), BOOL, sure=True)
 
     def _op_truthy(self, args: list) -> Value:
-        return Value(truth(self.value(args[0])), BOOL)
+        return Value(truth(self.value(args[0])), BOOL, sure=True)
 
     def _op_if(self, args: list) -> Value:
         values = self._all(args)
@@ -263,11 +280,11 @@ class Compiler:
         if stack.kind == LIST:
             plain = [x.literal for x in stack.items if x.kind == needle.kind]
             if all(x is not None for x in plain):
-                return Value(F.coalesce(needle.column.isin(plain), F.lit(False)) if plain else F.lit(False), BOOL)
-            return Value(reduce(Column.__or__, [_equal(needle, x) for x in stack.items if x.kind == needle.kind]), BOOL)
+                return Value(_settled(needle.column.isin(plain), needle.sure) if plain else F.lit(False), BOOL, sure=True)
+            return Value(reduce(Column.__or__, [_equal(needle, x) for x in stack.items if x.kind == needle.kind]), BOOL, sure=True)
         if stack.kind != STRING:
             return Value(F.lit(False), BOOL)
-        return Value(F.coalesce(F.contains(stack.column, _text(needle)), F.lit(False)), BOOL)
+        return Value(_settled(F.contains(stack.column, _text(needle)), stack.sure and needle.sure), BOOL, sure=True)
 
     def _op_cat(self, args: list) -> Value:
         return Value(F.concat(*map(_text, self._all(args))), STRING)
@@ -284,10 +301,10 @@ class Compiler:
         return Value(F.substring(text, first + 1, F.greatest(count, F.lit(0))), STRING)
 
     def _op_missing(self, args: list) -> Value:
-        return Value(self._absent(args) > 0, BOOL)
+        return Value(self._absent(args) > 0, BOOL, sure=True)
 
     def _op_missing_some(self, args: list) -> Value:
-        return Value(F.lit(len(args[1])) - self._absent(args[1]) < args[0], BOOL)
+        return Value(F.lit(len(args[1])) - self._absent(args[1]) < args[0], BOOL, sure=True)
 
     def _absent(self, names: list) -> Column:
         names = names[0] if len(names) == 1 and isinstance(names[0], list) else names
@@ -295,7 +312,7 @@ class Compiler:
 
     def _op_regex(self, args: list) -> Value:
         text, pattern = self._all(args)
-        return Value(F.coalesce(F.rlike(_text(text), pattern.column), F.lit(False)), BOOL)
+        return Value(_settled(F.rlike(_text(text), pattern.column), text.sure and pattern.sure), BOOL, sure=True)
 
     def _op_log(self, args: list) -> Value:
         return self.value(args[0])
@@ -316,13 +333,13 @@ class Compiler:
 
     def _op_all(self, args: list) -> Value:
         found = self._each(args)
-        return Value(reduce(Column.__and__, map(truth, found)) if found else F.lit(False), BOOL)
+        return Value(reduce(Column.__and__, map(truth, found)) if found else F.lit(False), BOOL, sure=True)
 
     def _op_some(self, args: list) -> Value:
-        return Value(reduce(Column.__or__, map(truth, self._each(args)), F.lit(False)), BOOL)
+        return Value(reduce(Column.__or__, map(truth, self._each(args)), F.lit(False)), BOOL, sure=True)
 
     def _op_none(self, args: list) -> Value:
-        return Value(~self._op_some(args).column, BOOL)
+        return Value(~self._op_some(args).column, BOOL, sure=True)
 
     def _op_merge(self, args: list) -> Value:
         return Value(None, LIST, tuple(x for v in self._all(args) for x in (v.items if v.kind == LIST else (v,))))

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.functions.jsonlogic import Compiler, kind_of, variables
+from graphloom.functions.jsonlogic import Compiler, variables
 from graphloom.plans.names import EDGE, NODE, Expression, SeriesName
 
 ALL = "all"
@@ -80,7 +80,7 @@ class WhereClause:
         return [SeriesName.parse(n) for n in self.names]
 
     def condition(self, schema: T.StructType) -> Column | None:
-        """The predicate over a table with ``schema``; None if a series is absent. Never null."""
+        """The predicate over a table with ``schema``; None if a series is absent. Null only in rows that it rejects."""
         types = {f.name: f.dataType for f in schema.fields}
         columns = {str(s): s.name for s in self.series()}
         if any(c not in types for c in columns.values()):
@@ -92,11 +92,11 @@ class WhereClause:
                 asked = F.pandas_udf(lambda *x, f=self.predicate: pd.Series(f(*x)).astype(bool), T.BooleanType())
             held = F.coalesce(asked(*(own[n] for n in self.names)), F.lit(False))
         else:
-            held = Compiler(lambda n: (own[n], kind_of(types[columns[n]])) if n in own else _absent(n)).condition(self.rule)
+            held = Compiler(lambda n: (own[n], types[columns[n]]) if n in own else _absent(n)).condition(self.rule)
         return reduce(Column.__and__, [c.isNotNull() for c in own.values()] + [held])
 
 
-def _absent(name: str) -> tuple[Column, str]:
+def _absent(name: str) -> tuple[Column, T.DataType]:
     raise ValueError(f"unknown variable {name!r}")
 
 
