@@ -14,8 +14,9 @@ reader undoes; no text can open, close or forge a turn.
 
 Turns are ordered by turn (null first), role and text. Prefix sums run in two levels, within pieces
 of ``PIECE`` turn numbers and over pieces, and windows are built per conversation and block, so a
-conversation of any length is spread; a turn is dealt to two blocks at most. The reader streams
-sorted windows and holds one at a time.
+conversation of any length is spread; a turn is dealt to two blocks at most, the system turn to each
+block once. Texts are shuffled twice to be formatted. The reader streams sorted windows and holds
+one at a time.
 
 Defined cases: a null role or text is empty; a null ``conv_id`` is a conversation of its own;
 repeated rows are turns of their own; an empty table gives no rows; other columns are ignored.
@@ -70,19 +71,36 @@ def parse_window(text: str) -> list[tuple[str, str, int, int]]:
     return found
 
 
-def prefix_sums(turns: DataFrame) -> DataFrame:
-    """Turns with ``begin`` (tokens of their conversation ahead of them) and ``tokens``, and ``place`` in the conversation."""
-    words = F.regexp_count("text", F.lit(WORD)).cast("long") + TURN_TOKENS
-    piece = F.floor(F.col("turn") / PIECE)
-    costed = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    costed = costed.withColumns({"tokens": words, "piece": piece})
-    within = W.partitionBy("conv_id", "piece").orderBy(F.asc_nulls_first("turn"), "role", "text").rowsBetween(W.unboundedPreceding, -1)
+def _costed(turns: DataFrame) -> DataFrame:
+    """Turns without nulls but in conv_id, with ``key`` and ``piece``, which have none, and ``tokens``."""
+    plain = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    key = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).alias("id"))
+    piece = F.coalesce(F.floor(F.col("turn") / PIECE), F.lit(-(1 << 62)))
+    return plain.withColumns({"key": key, "piece": piece, "tokens": F.regexp_count("text", F.lit(WORD)).cast("long") + TURN_TOKENS})
+
+
+def _piece_sums(costed: DataFrame) -> DataFrame:
+    """(key, piece, ahead, rows_ahead, total): tokens and rows of a conversation before a piece, and tokens in all."""
+    whole = W.partitionBy("key")
+    over = whole.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    pieces = costed.groupBy("key", "piece").agg(F.sum("tokens").alias("n"), F.count("*").alias("rows"))
+    return pieces.select("key", "piece", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("ahead"), F.coalesce(F.sum("rows").over(over), F.lit(0)).alias("rows_ahead"), F.sum("n").over(whole).alias("total"))
+
+
+def prefix_sums(costed: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Turns with ``begin``, the tokens of their conversation ahead of them, and ``place`` in the conversation."""
+    within = W.partitionBy("key", "piece").orderBy(F.asc_nulls_first("turn"), "role", "text").rowsBetween(W.unboundedPreceding, -1)
     inside = costed.withColumns({"inside": F.coalesce(F.sum("tokens").over(within), F.lit(0)), "nth": F.count("*").over(within)})
-    over = W.partitionBy("conv_id").orderBy(F.asc_nulls_first("piece")).rowsBetween(W.unboundedPreceding, -1)
-    pieces = costed.groupBy("conv_id", "piece").agg(F.sum("tokens").alias("n"), F.count("*").alias("rows"))
-    pieces = pieces.select(F.col("conv_id").alias("c"), F.col("piece").alias("p"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("ahead"), F.coalesce(F.sum("rows").over(over), F.lit(0)).alias("rows_ahead"))
-    joined = inside.join(pieces, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("piece").eqNullSafe(F.col("p")))
-    return joined.select("conv_id", "role", "text", "tokens", (F.col("ahead") + F.col("inside")).alias("begin"), (F.col("rows_ahead") + F.col("nth")).alias("place"))
+    joined = inside.join(pieces, ["key", "piece"])  # both sides lie by key and piece already
+    return joined.select("key", "conv_id", "role", "text", "tokens", (F.col("ahead") + F.col("inside")).alias("begin"), (F.col("rows_ahead") + F.col("nth")).alias("place"))
+
+
+def system_turns(costed: DataFrame) -> DataFrame:
+    """(key, text, tokens) of the conversations that begin with a system turn."""
+    order = F.struct(F.col("turn").isNotNull().alias("some"), F.coalesce("turn", F.lit(0)).alias("turn"), "role")
+    first = costed.groupBy("key").agg(F.min(order).alias("first")).where("first.role = 'system'")
+    own = costed.where("role = 'system'").withColumn("first", order).join(first, ["key", "first"])
+    return own.groupBy("key").agg(F.min(F.struct("text", "tokens")).alias("s")).select("key", "s.*")
 
 
 def _build(turns: list[tuple[int, int, str, str]], block: int, system: tuple[str, int] | None, budget: int, history: int) -> Iterator[dict]:
@@ -108,12 +126,17 @@ def _build(turns: list[tuple[int, int, str, str]], block: int, system: tuple[str
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """The formatted windows: conv_id, start (tokens ahead), text, repeated (leading turns that are not the window's own), spans under the loss mask, tokens."""
-    turns = prefix_sums(conversations)
-    history = min(history, budget)
-    block = F.floor(F.col("begin") / budget)
-    blocks = F.array_distinct(F.array(block, F.floor((F.col("begin") + history) / budget)))
-    first = turns.where("place = 0 and role = 'system'").select(F.col("conv_id").alias("c"), F.col("text").alias("system"), F.col("tokens").alias("system_tokens"))
-    dealt = turns.withColumn("block", F.explode(blocks)).join(first, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    costed, history = _costed(conversations), min(history, budget)
+    pieces = _piece_sums(costed)
+    turns = prefix_sums(costed, pieces)
+    blocks = F.array_distinct(F.array(F.floor(F.col("begin") / budget), F.floor((F.col("begin") + history) / budget)))
+    columns = ("conv_id", "block", "place", "begin", "tokens", "role", "text")
+    dealt = turns.withColumn("block", F.explode(blocks)).select(*columns)
+    # the system turn goes once to every block of its conversation
+    sizes = pieces.groupBy("key").agg(F.max("total").alias("total"))
+    leads = system_turns(costed).join(sizes, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / budget))))
+    leads = leads.withColumns({"conv_id": F.when(~F.col("key.none"), F.col("key.id")), "place": F.lit(-1), "begin": F.lit(0), "role": F.lit("system")})
+    dealt = dealt.unionAll(leads.select(*columns))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, system, rows = None, [], None, []
@@ -122,12 +145,14 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
             return [{"conv_id": key[0], **row} for row in _build(held, key[1], system, budget, history)] if held else []
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("conv_id", "block", "begin", "tokens", "role", "text", "system", "system_tokens"))
-            for conversation, block, begin, tokens, role, text, lead, lead_tokens in zip(*columns, strict=True):
+            for conversation, block, place, begin, tokens, role, text in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if (conversation, block) != key:
                     rows += finish()
-                    key, held, system = (conversation, block), [], None if lead is None else (lead, lead_tokens)
-                held.append((begin, tokens, role, text))
+                    key, held, system = (conversation, block), [], None
+                if place < 0:
+                    system = (text, tokens)
+                else:
+                    held.append((begin, tokens, role, text))
             if rows:
                 yield _batch(rows)
                 rows = []
