@@ -10,6 +10,7 @@ Results are printed as JSON. A failing command prints its message and exits with
 from __future__ import annotations
 
 import argparse
+import inspect
 import json
 import sys
 from collections.abc import Callable, Sequence
@@ -112,7 +113,17 @@ def run(spark: SparkSession, command: str, path: str, **options: Any) -> Any:
 def commands() -> list[str]:
     """All command names."""
     probe = _reading(type("NoStore", (), {"graph": None})())
-    return sorted(["create", "copy", "remove", "convert", "welcome", *WRITING, *probe])
+    return sorted(["create", "copy", "remove", "convert", "docs", "welcome", *WRITING, *probe])
+
+
+def markdown() -> str:
+    """The commands that take a stored graph, with their arguments, as Markdown."""
+    probe = _reading(type("NoStore", (), {"graph": None})())
+    lines = ["| command | arguments | changes the graph |", "| --- | --- | --- |"]
+    for name, function in sorted({**probe, **WRITING}.items()):
+        given = [str(p) for p in inspect.signature(function).parameters.values() if p.name != "g"]
+        lines.append(f"| {name} | {', '.join(given).replace('**o', 'series_names, limit or k, seed, where')} | {'yes' if name in WRITING else 'no'} |")
+    return "\n".join(lines)
 
 
 def main(argv: Sequence[str] | None = None) -> int:
@@ -123,6 +134,9 @@ def main(argv: Sequence[str] | None = None) -> int:
     for name, how in _ARGUMENTS.items():
         parser.add_argument(name, **{"default": None} | how)
     args = parser.parse_args(argv)
+    if args.command == "docs":
+        print(markdown())
+        return 0
     if args.command == "welcome":
         print(f"graphloom: {len(commands())} commands on property graphs")
         return 0

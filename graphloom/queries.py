@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import components, degree, mutate, query, sample, traverse
+from graphloom.operators import components, degree, mutate, query, records, sample, traverse
 from graphloom.plans.graph import PropertyGraph
 from graphloom.plans.where import WhereClause
 from graphloom.session import fresh_path
@@ -258,6 +258,12 @@ Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "add_series": (lambda s, d: flat(query.select_nodes(mutate.add_series(op_graph(s, d), "node.empty", "double"))), f"WITH {OP} SELECT id AS node_id, NULL::DOUBLE AS node_empty FROM opn"),
     "drop_series": (lambda s, d: flat(query.select_edges(mutate.drop_series(co_graph(s, d), "edge.priority"))), f"WITH {CO} SELECT u AS edge_u, v AS edge_v, false AS edge_directed, status AS edge_status, totalprice AS edge_totalprice FROM co"),
     "rename_series": (lambda s, d: flat(query.select_edges(mutate.rename_series(co_graph(s, d), "edge.priority", "urgency"), ["edge.v", "edge.urgency"])), f"WITH {CO} SELECT v AS edge_v, priority AS edge_urgency FROM co"),
+    "set_values": (lambda s, d: flat(query.select_nodes(records.set_values(op_graph(s, d), "node.size", _read(s, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_size").cast("long").alias("value"))))), f"WITH {OP} SELECT id AS node_id, p_size::BIGINT AS node_size FROM opn LEFT JOIN part ON id = 'P' || p_partkey"),
+    "unset_cells": (lambda s, d: query.value_counts(records.unset(op_graph(s, d), "edge.linestatus", BIG), "edge.linestatus"), f"WITH {OP} SELECT CASE WHEN quantity < 45 THEN linestatus END AS value, count(*)::BIGINT AS count FROM op GROUP BY 1"),
+    "series_values": (lambda s, d: records.series_values(_gnum(s, d), "node.gnum"), f"WITH {OP} SELECT 3::BIGINT AS value FROM (SELECT u FROM op WHERE quantity >= 45 UNION SELECT v FROM op WHERE quantity >= 45)"),
+    "load_factors": (lambda s, d: records.load_factors(_gnum(s, d), "node").select("series", "records", "filled"), f"WITH {OP}, b AS (SELECT u FROM op WHERE quantity >= 45 UNION SELECT v FROM op WHERE quantity >= 45) SELECT 'node.id' AS series, count(*)::BIGINT AS records, count(*)::BIGINT AS filled FROM opn UNION ALL SELECT 'node.gnum', (SELECT count(*) FROM opn), count(*) FROM b"),
+    "get_records": (lambda s, d: flat(records.get_records(_busy(s, d), ["P1", "P2", "O1", "X9"])), f"WITH {OP}, {DEG} SELECT id AS node_id, i AS node_in, o AS node_out FROM deg WHERE id IN ('P1', 'P2', 'O1', 'X9')"),
+    "remove_nodes": (lambda s, d: query.describe_frame(records.remove_nodes(_busy(s, d), BUSY)), f"WITH {OP}, {DEG} SELECT (SELECT count(*) FROM opn ANTI JOIN busy USING (id))::BIGINT AS nv, (SELECT count(*) FROM op WHERE u NOT IN (FROM busy) AND v NOT IN (FROM busy))::BIGINT AS ne"),
     "generator_series": (lambda s, d: flat(query.select_nodes(mutate.add_generated(op_graph(s, d), "node.who", "email", seed=5))), None),
     "copy_edges_csv": (lambda s, d: _csv_round_trip(s, d), f"WITH {CO} SELECT u AS edge_u, v AS edge_v, false AS edge_directed, status AS edge_status, totalprice AS edge_totalprice FROM co"),
 }

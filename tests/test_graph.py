@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import components, degree, mutate, query, sample, traverse
+from graphloom.operators import components, degree, mutate, query, records, sample, traverse
 from graphloom.plans.graph import PropertyGraph
 from graphloom.sources.ingest import ingest_frames
 
@@ -216,3 +216,35 @@ def test_own_generators(graph):
 def test_subgraph(graph):
     part = graph.subgraph(graph.edge.graphnum == 1)
     assert part.nodes.count() == 4 and part.edges.count() == 6
+
+
+def test_records(graph):
+    assert records.get(graph, "path-a", "node.gnum") == 3 and records.is_none(graph, "5clique-a", "gnum")
+    assert records.get_records(graph, ["path-a", "x", "path-a"]).count() == 1
+    assert records.series_values(graph, "node.gnum").count() == 7
+    assert records.is_series_type(graph, "edge.randint", "int64") and not records.is_series_type(graph, "edge.randint", str)
+    factors = {r["series"]: r["load_factor"] for r in records.load_factors(graph, "node").collect()}
+    assert factors == {"node.id": 1.0, "node.gnum": pytest.approx(7 / 21)}
+    with pytest.raises(KeyError):
+        records.get(graph, "nobody", "node.gnum")
+
+
+def test_set_and_unset(graph):
+    made = records.set_values(graph, "node.gnum", {"path-a": 9, "5clique-a": None, "nobody": 1})
+    found = series(made, "gnum")
+    assert (found["path-a"], found["path-b"], found["5clique-a"]) == (9, 3, None) and made.warnings["invalid nodes"] == 1
+    assert series(records.set_values(graph, "node.label", {"path-a": "x"}), "label")["path-a"] == "x"
+    cleared = records.unset(made, "node.gnum", made.node.id == "path-a")
+    assert series(cleared, "gnum")["path-a"] is None and series(cleared, "gnum")["path-b"] == 3
+    assert set(series(records.unset(made, "node.gnum"), "gnum").values()) == {None}
+    for call in (lambda: records.set_values(graph, "node.id", {"a": "b"}), lambda: records.unset(graph, "edge.u"), lambda: records.set_values(graph, "node.x", graph.edges.selectExpr("'path-a' as id", "randint as value"))):
+        with pytest.raises(ValueError, match="reserved|several"):
+            call()
+
+
+def test_remove_and_clear(graph):
+    left = records.remove_nodes(graph, graph.node.id.isin(["path-c", "2tri-c"]))
+    assert query.describe(left) == {"nv": 19, "ne": 22, "path": None} and left.check_integrity().isEmpty()
+    empty = records.clear(graph)
+    assert query.describe(empty) == {"nv": 0, "ne": 0, "path": None} and empty.node_series() == graph.node_series()
+    assert records.max_record(graph, "edge") == 28

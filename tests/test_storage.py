@@ -162,6 +162,7 @@ def test_commands(spark, edge_files, tmp_path, capsys):
     assert run("remove") and not run("remove")
     assert run("convert", input_path=edge_files, col_u="s", col_v="t", directed=False, series_names=["color"])["nv"] == 21
     assert cli.main(["welcome"]) == 0 and "commands" in capsys.readouterr().out
+    assert cli.main(["docs"]) == 0 and "| nhops | output, nhops, seeds, where=None | yes |" in capsys.readouterr().out
     assert len(cli.commands()) >= 27
 
 
