@@ -40,7 +40,8 @@ TILE_ROWS, TILES, MAX_TILE_ROWS = 8_192, 512, 1 << 20
 #: Parts whose population counts make a tile, by the number of fingerprints from which they are used.
 PARTS = ((1, 0), (2, 8_000_000), (4, 64_000_000), (8, 1_000_000_000))
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
-_CHUNK = 1 << 21
+#: Pairs compared at a time; their differences stay in a processor's cache.
+_CHUNK = 1 << 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -113,10 +114,15 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[n
     right, shift = (a, 0) if b is None else (b, len(a))
     label = np.arange(len(both))
     step = max(1, _CHUNK // max(1, len(right)))
+    apart, bits = np.empty((step, len(right)), dtype=np.uint64), np.empty((step, len(right)), dtype=np.uint8)
     for k in range(0, len(a), step):
         from_ = k + 1 if b is None else 0
-        near = np.bitwise_count(a[k : k + step, None] ^ right[None, from_:]) <= radius
-        i, j = np.nonzero(near)
+        at = np.s_[: min(step, len(a) - k), : len(right) - from_]
+        np.bitwise_xor(a[k : k + step, None], right[None, from_:], out=apart[at])
+        np.bitwise_count(apart[at], out=bits[at])
+        if bits[at].min(initial=64) > radius:  # as in nearly all chunks
+            continue
+        i, j = np.nonzero(bits[at] <= radius)
         i, j = i + k, j + from_ + shift
         if b is None:
             i, j = i[i < j], j[i < j]
@@ -176,12 +182,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each near-duplicate class keep the document with the least id.
 
-    Rows that repeat a kept id count as one document. No class can name a row without an id: all such rows stay.
+    Rows that repeat an id count as one document: one of them stays if any is its class's least. No class can name a
+    row without an id: all such rows stay.
     """
-    kept = materialise(near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").count(), "simhash-kept")
-    once = kept.where("count = 1").select(F.col("doc_id").alias("kept")).unionAll(spark.range(1).select(F.lit(None).cast("long")))
+    per_id = near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("least"))
+    kept = materialise(per_id.where("least"), "simhash-kept")
+    once = kept.where("rows = 1").select(F.col("doc_id").alias("kept")).unionAll(spark.range(1).select(F.lit(None).cast("long")))
     found = docs.join(once, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    again = kept.where("count > 1").select("doc_id")
+    again = kept.where("rows > 1").select("doc_id")
     if again.isEmpty():
         return found
     return found.union(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))

@@ -122,6 +122,13 @@ def test_stage(spark):
     assert kept.where("doc_id is null").count() == 2
 
 
+def test_stage_with_one_id_for_two_texts(spark):
+    rows = near_copies(3)
+    texts = {k: t for k, t, *_ in rows}
+    rows.append((7, texts[3], "en", "s"))  # 7 is its own class's least and a copy of 3
+    assert H.stage(spark, data.frame(spark, rows), "").where("doc_id = 7").count() == 1
+
+
 def test_long_text_and_empty(spark):
     text = data.prose(random.Random(3), "en", 70_000)
     assert H.fingerprint(text) == fingerprint(text)
