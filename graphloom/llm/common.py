@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from types import ModuleType
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def crc_mod(column: str, modulus: int) -> Column:
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice holds about ``max_chars`` bytes of a text column, at least one row."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, held = 0, 0
         for row, size in enumerate(sizes):
             if held and held + size > max_chars:

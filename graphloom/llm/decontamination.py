@@ -29,6 +29,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -237,7 +238,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             dirty = _judged(part, pa.nulls(part.num_rows, pa.int64()), shipped).column("contaminated")
-            yield part.filter(pa.compute.invert(dirty))
+            yield part.filter(pc.invert(dirty))
 
     return docs.mapInArrow(run, docs.schema)
 

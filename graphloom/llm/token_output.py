@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -164,7 +165,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         encoder = per_worker(("tokens", tokenizer, end_id), lambda: Encoder(tokenizer, end_id))
         for part in slices(batches, "text"):
             ids = part.column("doc_id")
-            shard = np.searchsorted(bounds, pa.compute.fill_null(ids, -(1 << 63)).to_numpy(zero_copy_only=False))
+            shard = np.searchsorted(bounds, pc.fill_null(ids, -(1 << 63)).to_numpy(zero_copy_only=False))
             packed = [encoder.encode(text) for text in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([ids, pa.array(shard.astype(np.int32)), pa.array([encoder.dtype.itemsize] * len(packed), pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "shard", "width", "ids"])
 
