@@ -41,6 +41,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_chars: int = 4_00
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def per_worker(key: tuple, make: Callable[[], object]) -> object:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from graphloom.session import fresh_path
 END_ID = 1
 BLOCK_TOKENS = 1_000_000
 SHARD_DOCS, MAX_SHARDS = 1_000, 16_384
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 BLOCK_SCHEMA = "shard int, block int, n_tokens long, doc_ids binary, null_ids int, counts binary, ranks binary, control binary, data binary"
 DOC_SCHEMA = "doc_id long, n_tokens long, ids_crc32 long, shard int, block int, before long"
 #: Runs of ASCII signs, or of other characters but white space.
@@ -57,21 +58,33 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Pieces(dict):
-    """Packed ids of white-space-free pieces; an unknown one is encoded and kept, the store is emptied when full."""
+    """Packed ids of white-space-free pieces, in two generations of at most ``CACHE_WORDS``.
+
+    An unknown piece is encoded and kept. When the young generation is full it becomes the old one;
+    pieces that are met again become young again, the rest goes with the next change.
+    """
 
     def __init__(self, tokenizer, dtype: np.dtype):
         self.tokenizer, self.model, self.dtype = tokenizer, tokenizer.model, dtype
+        self.old: dict[bytes, bytes] = {}
+        self.code = "H" if dtype.itemsize == 2 else "I"
 
     def __missing__(self, piece: bytes) -> bytes:
-        if not piece.translate(None, _LETTERS):  # a single word that neither normaliser nor splitter changes
-            ids = [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(_BYTE_CHARS))]
-        else:
-            ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
+        packed = self.old.pop(piece, None) or self._encoded(piece)
         if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
             self.clear()
-        packed = self[piece] = np.array(ids, dtype=self.dtype).tobytes()
+        self[piece] = packed
         return packed
 
+    def _encoded(self, piece: bytes) -> bytes:
+        if not piece.translate(None, _LETTERS):  # a single word that neither normaliser nor splitter changes
+            word = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(_BYTE_CHARS)
+            ids = [t.id for t in self.model.tokenize(word)]
+        else:
+            ids = self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return array(self.code, ids).tobytes()
+
 
 class Encoder:
     """Encodes whole texts with a ``tokenizers`` file by way of remembered pieces.
@@ -110,23 +123,24 @@ def encode_ranks(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     counts = np.bincount(ids)
     present = np.flatnonzero(counts)
     order = present[np.argsort(-counts[present], kind="stable")]
-    rank_of = np.zeros(len(counts), dtype=np.uint32)
-    rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    coded = rank_of[ids].astype("<u4")
-    extra = (coded > 0xFF).astype(np.uint8) + (coded > 0xFFFF) + (coded > 0xFFFFFF)
+    kind = np.uint16 if len(order) <= 1 << 16 else np.uint32
+    rank_of = np.zeros(len(counts), dtype=kind)
+    rank_of[order] = np.arange(len(order), dtype=kind)
+    coded = rank_of[ids]
+    extra = (coded > 0xFF).view(np.uint8)
+    if kind is np.uint32:
+        extra = extra + (coded > 0xFFFF) + (coded > 0xFFFFFF)
     padded = np.zeros(-(-len(ids) // 4) * 4, dtype=np.uint8)
     padded[: len(ids)] = extra
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    starts = np.zeros(len(ids), dtype=np.int64)
-    np.cumsum(extra[:-1] + 1, out=starts[1:])
+    starts = np.arange(len(ids), dtype=np.int64)
+    starts[1:] += np.cumsum(extra[:-1], dtype=np.int64)
     data = np.empty(len(ids) + int(extra.sum(dtype=np.int64)), dtype=np.uint8)
     data[starts] = coded.astype(np.uint8)
-    for k in range(1, 4):
+    for k in range(1, coded.itemsize):
         longer = np.flatnonzero(extra >= k)
-        if not len(longer):
-            break
-        data[starts[longer] + k] = (coded[longer] >> np.uint32(8 * k)).astype(np.uint8)
+        data[starts[longer] + k] = (coded[longer] >> kind(8 * k)).astype(np.uint8)
     return order.astype("<u4").tobytes(), control.tobytes(), data.tobytes()
 
 
