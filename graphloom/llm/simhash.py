@@ -39,6 +39,8 @@ SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 TILE_ROWS, TILES, MAX_TILE_ROWS = 8_192, 512, 1 << 20
 #: Parts whose population counts make a tile, by the number of fingerprints from which they are used.
 PARTS = ((1, 0), (2, 8_000_000), (4, 64_000_000), (8, 1_000_000_000))
+#: The stage sends so many ids of dropped documents around at most; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 #: Pairs compared at a time; their differences stay in a processor's cache.
 _CHUNK = 1 << 16
@@ -186,10 +188,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row without an id: all such rows stay.
     """
     per_id = near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("least"))
-    kept = materialise(per_id.where("least"), "simhash-kept")
-    once = kept.where("rows = 1").select(F.col("doc_id").alias("kept")).unionAll(spark.range(1).select(F.lit(None).cast("long")))
-    found = docs.join(once, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    again = kept.where("rows > 1").select("doc_id")
+    per_id = materialise(per_id.where("doc_id is not null and (rows > 1 or not least)"), "simhash-dropped")
+    gone = per_id.where("not least").select(F.col("doc_id").alias("gone"))
+    again = per_id.where("least").select("doc_id")
+    few = gone.count() <= BROADCAST_IDS
+    found = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone"), "left_anti")
     if again.isEmpty():
         return found
-    return found.union(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    repeated = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return found.join(again.withColumnRenamed("doc_id", "again"), F.col("doc_id") == F.col("again"), "left_anti").union(repeated)

@@ -112,7 +112,9 @@ def test_forest_is_small():
     assert len(u) <= 59
 
 
-def test_stage(spark):
+@pytest.mark.parametrize("ids", [0, H.BROADCAST_IDS])
+def test_stage(spark, monkeypatch, ids):
+    monkeypatch.setattr(H, "BROADCAST_IDS", ids)
     rows = near_copies(2)
     kept = H.stage(spark, data.frame(spark, rows), "")
     assert kept.columns == data.frame(spark, rows).columns
