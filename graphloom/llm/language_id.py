@@ -13,6 +13,10 @@ foreign passages brought in. The filter is fitted on at most ``TRAIN_DOCS`` labe
 language, chosen by a hash of the id, and on all n-grams of their whole texts; at most ``MAX_GRAMS``
 n-grams a language enter it, the commonest first. Its size follows the number of those n-grams.
 
+A text is in no learned language if the winner's share is below ``REJECT_BELOW``. Fewer than
+``ENOUGH_GRAMS`` n-grams do not show that, as the filter holds a bounded sample's common n-grams
+alone: such a text must also have no letter of a script that the sample has.
+
 Defined cases: a null text or one without letters is ``und`` with score 0; a text none of whose
 n-grams is known gets the most frequent label with score 0; ties go to the more frequent label, then
 to the first in code-point order; without labelled documents every text is ``und``; null labels are
@@ -22,7 +26,8 @@ not learned; repeated rows count repeatedly; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import unicodedata
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,13 +41,13 @@ from graphloom.llm.common import crc_mod, slices, table
 from graphloom.session import materialise
 
 UNKNOWN = "und"
-LANG, SCORE, SHARE = "__predicted_lang", "__predicted_score", "__predicted_share"
+LANG, SCORE, FOREIGN = "__predicted_lang", "__predicted_score", "__predicted_foreign"
 GRAM, HASHES, BITS_PER_GRAM = 4, 3, 16
 TRAIN_DOCS, MAX_GRAMS, MIN_SHARE, OWN_SHARE = 1_500, 60_000, 2e-6, 0.1
 #: Ids of the sample are broadcast if there are at most so many, else joined by shuffling.
 BROADCAST_ROWS = 200_000
-#: The pipeline drops a text if less than this share of its n-grams is the winner's.
-REJECT_BELOW = 0.2
+#: The pipeline drops a text if less than this share of its n-grams is the winner's; with fewer n-grams than enough, only if its script is foreign too.
+REJECT_BELOW, ENOUGH_GRAMS = 0.2, 50
 _OTHER = re.compile(r"[\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -61,17 +66,23 @@ def grams(text: str | None) -> np.ndarray | None:
     return mixed ^ mixed >> np.uint64(32)
 
 
+def scripts(letters: Iterable[str]) -> set[str]:
+    """Scripts of the letters: the first words of their names."""
+    return {unicodedata.name(c, "").partition(" ")[0] for c in set(letters) if c.isalpha()} - {""}
+
+
 @dataclass
 class BitSlicedBloom:
-    """``rows[word, position]`` holds 64 languages' bits; ``chance[l]`` is the rate of false positives of language l."""
+    """``rows[word, position]`` holds 64 languages' bits; ``chance[l]`` is the rate of false positives of language l; ``scripts`` are those of all languages."""
 
     labels: list[str]
     rows: np.ndarray
     chance: np.ndarray
+    scripts: frozenset[str] = frozenset()
 
     @classmethod
-    def build(cls, own: list[tuple[str, np.ndarray]]) -> BitSlicedBloom:
-        """own: each language's label with its n-grams, the more frequent label first."""
+    def build(cls, own: list[tuple[str, np.ndarray]], seen: Iterable[str] = ()) -> BitSlicedBloom:
+        """own: each language's label with its n-grams, the more frequent label first. seen: scripts of the sample."""
         most = max([len(g) for _, g in own], default=1)
         size = 1 << max(10, int(most * BITS_PER_GRAM - 1).bit_length())
         rows = np.zeros((max(1, -(-len(own) // 64)), size), dtype=np.uint64)
@@ -81,7 +92,7 @@ class BitSlicedBloom:
             for at in _positions(own_grams, size):
                 np.bitwise_or.at(rows[k // 64], at, bit)
             chance[k] = (np.count_nonzero(rows[k // 64] & bit) / size) ** HASHES
-        return cls([label for label, _ in own], rows, chance)
+        return cls([label for label, _ in own], rows, chance, frozenset(seen))
 
     def lookup(self, numbers: np.ndarray) -> np.ndarray:
         """Languages that contain each n-gram, as rows of 64-bit masks."""
@@ -97,15 +108,16 @@ class BitSlicedBloom:
         raw = np.array([np.count_nonzero(masks[k // 64] >> np.uint64(k % 64) & np.uint64(1)) for k in range(len(self.labels))]) / len(numbers)
         return np.maximum(0.0, (raw - self.chance) / (1 - self.chance))
 
-    def decide(self, text: str | None) -> tuple[str, float, float]:
-        """(label, score, share): score is the winner's part of all shares, weighted by how much it explains."""
+    def decide(self, text: str | None) -> tuple[str, float, bool]:
+        """(label, score, foreign): score is the winner's part of all shares, foreign whether the text is in no learned language."""
         numbers = grams(text)
         if numbers is None or not self.labels:
-            return UNKNOWN, 0.0, 0.0
+            return UNKNOWN, 0.0, True
         shares = self.shares(numbers)
         best = int(np.argmax(shares))
         total = float(shares.sum())
-        return self.labels[best], float(shares[best] / total) if total else 0.0, float(shares[best])
+        foreign = bool(shares[best] < REJECT_BELOW) and (len(numbers) >= ENOUGH_GRAMS or self.scripts.isdisjoint(scripts(text)))
+        return self.labels[best], float(shares[best] / total) if total else 0.0, foreign
 
 
 def _positions(numbers: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -129,23 +141,32 @@ def _sample(labelled: DataFrame, train_docs: int, languages: int, frequency: Dat
 
 
 def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_GRAMS) -> BitSlicedBloom:
-    """Fit the filter on (doc_id, text, lang). The driver gets ``max_grams`` numbers a language at most."""
+    """Fit the filter on (doc_id, text, lang). The driver gets the sample's scripts and ``max_grams`` numbers a language at most."""
+    names = ["lang", "script", "gram", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             by_label: dict[str, list[np.ndarray]] = {}
+            letters: set[str] = set()
             for label, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
                 numbers = grams(text)
                 if numbers is not None:
                     by_label.setdefault(label, []).append(numbers)
+                    letters.update(text)
             for label, own in by_label.items():
                 numbers, n = np.unique(np.concatenate(own), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([label] * len(n), pa.string()), pa.array(numbers.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(n), pa.string()), pa.nulls(len(n), pa.string()), pa.array(numbers.view(np.int64)), pa.array(n, pa.int64())], names)
+            if seen := sorted(scripts(letters)):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(seen), pa.string()), pa.array(seen), pa.nulls(len(seen), pa.int64()), pa.array([1] * len(seen), pa.int64())], names)
 
     labelled = labelled.where("lang is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
     per = materialise(labelled.groupBy("lang").count(), "lang-frequency")
     frequency = dict(per.collect())
-    counted = _sample(labelled, train_docs, len(frequency), per).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sample = _sample(labelled, train_docs, len(frequency), per).mapInArrow(count, "lang string, script string, gram long, n long")
+    # a row has a language's n-gram or, without a language, a script
+    tallied = materialise(sample.groupBy("lang", "script", "gram").agg(F.sum("n").alias("n")), "lang-grams")
+    seen = [r[0] for r in tallied.where("script is not null").select("script").collect()]
+    counted = tallied.where("script is null").select("lang", "gram", "n")
     whole = W.partitionBy("lang")
     shared = counted.withColumn("share", F.col("n") / F.sum("n").over(whole)).where(F.col("share") >= MIN_SHARE)
     held = shared.withColumn("own", F.col("share") / F.sum("share").over(W.partitionBy("gram"))).where(F.col("own") >= OWN_SHARE)
@@ -154,21 +175,21 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_
     for row in ranked.select("lang", "gram").toLocalIterator():
         found[row["lang"]].append(row["gram"])
     labels = sorted(frequency, key=lambda x: (-frequency[x], x))
-    return BitSlicedBloom.build([(x, np.array(found[x], dtype=np.int64).view(np.uint64)) for x in labels])
+    return BitSlicedBloom.build([(x, np.array(found[x], dtype=np.int64).view(np.uint64)) for x in labels], seen)
 
 
 def predict(docs: DataFrame, model: BitSlicedBloom) -> DataFrame:
-    """``docs``' own columns with the label, the score and the winner's corrected share."""
+    """``docs``' own columns with the label, the score and whether the text is in no learned language."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     names = [f.name for f in docs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             found = [shipped.value.decide(t) for t in part.column("text").to_pylist()]
-            extra = [pa.array([x[0] for x in found], pa.string()), *(pa.array([x[k] for x in found], pa.float64()) for k in (1, 2))]
-            yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*names, LANG, SCORE, SHARE])
+            extra = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*names, LANG, SCORE, FOREIGN])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(LANG, T.StringType()), T.StructField(SCORE, T.DoubleType()), T.StructField(SHARE, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(LANG, T.StringType()), T.StructField(SCORE, T.DoubleType()), T.StructField(FOREIGN, T.BooleanType())]))
 
 
 def held_out() -> Column:
@@ -185,7 +206,6 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drop texts in no learned language, those whose n-grams the winner hardly contains."""
+    """Pipeline stage: drop texts in no learned language, those whose n-grams, if enough, the winner hardly contains."""
     model = fit(docs.where(~held_out()))
-    kept = predict(docs, model).where((F.col(LANG) != UNKNOWN) & (F.col(SHARE) >= REJECT_BELOW))
-    return kept.select(*docs.columns)
+    return predict(docs, model).where(~F.col(FOREIGN)).select(*docs.columns)

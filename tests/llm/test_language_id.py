@@ -72,3 +72,11 @@ def test_stage_drops_what_is_no_language_and_keeps_the_rest(spark, labelled):
     kept = L.stage(spark, docs, "")
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {r[0] for r in rows}
+
+
+def test_stage_keeps_short_texts_in_the_letters_of_a_learned_language(spark, labelled):
+    rows, _ = labelled
+    short = [(2000 + k, t, lang, "s") for k, (t, lang) in enumerate([("A.", "en"), ("Q", "de"), ("ß", "de"), ("7 x", None), ("Zq Xk!", "fr"), ("qzx " * 5, "en")])]
+    foreign = [(2100, "日", None, "s"), (2101, "привет", None, "s"), (2102, "zxqj kvwq " * 30, None, "s")]
+    kept = {r["doc_id"] for r in L.stage(spark, data.frame(spark, rows + short + foreign), "").select("doc_id").collect()}
+    assert kept == {r[0] for r in rows + short}
