@@ -36,11 +36,11 @@ BUCKET_DIGITS = 3
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, key) of every document."""
+def sizes(docs: DataFrame, *own: str) -> DataFrame:
+    """(doc_id, source, size, key) of every document, and its columns ``own``."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"), *own)
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -62,17 +62,20 @@ def targets(sized: DataFrame) -> DataFrame:
     return levelled.select("source", "source_size", F.coalesce(F.least(F.col("cap").cast("double"), share), F.col("cap").cast("double")).alias("target"))
 
 
-def queue(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, before): before counts its source's words ahead of a document."""
-    sized = materialise(sizes(docs), "mix-sizes").withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+def queue(docs: DataFrame, *own: str) -> DataFrame:
+    """(doc_id, source, size, source_size, target, before): before counts its source's words ahead of a document.
+
+    own: columns that tell rows of one id apart; they are kept and order such rows.
+    """
+    sized = materialise(sizes(docs, *own), "mix-sizes").withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     buckets = buckets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("bucket_start"))
     buckets = buckets.join(targets(sized).withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t")
-    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *own).rowsBetween(W.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = placed.join(buckets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("bucket_start") + F.col("inside")).alias("before"))
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("bucket_start") + F.col("inside")).alias("before"), *own)
 
 
 def _words(copy: int) -> Column:
@@ -113,17 +116,27 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix itself, a row for every copy taken; a copy that the cut divides has its first words.
 
-    Rows that repeat an id count as one document; rows without one are told apart by text and source.
+    Every row is a document of its own. Rows that repeat an id are told apart by a hash of their contents and, among
+    equal ones, by a number; text and source stand for a missing id.
     """
     keyed = docs.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text", "source")))
-    if not keyed.groupBy("_key").count().where("count > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["_key"])
-    queued = materialise(queue(keyed.select(F.col("_key").alias("doc_id"), "source", "text")), "mix-queue")
-    copies = mix(queued).select(F.col("doc_id").alias("_key"), F.col("words").alias("_words"))
-    whole = queued.select(F.col("doc_id").alias("_key"), F.col("size").alias("_size"))
+    again = materialise(keyed.groupBy("_key").count().where("count > 1").select("_key"), "mix-repeated")
+    single = keyed.withColumns({"_mark": F.lit(0).cast("long"), "_copy": F.lit(1)})
+    if again.isEmpty():
+        keyed = single
+    else:
+        contents = F.to_json(F.struct(*docs.columns))
+        repeated = keyed.join(again, "_key", "left_semi").withColumn("_mark", F.xxhash64(contents))
+        repeated = repeated.withColumn("_copy", F.row_number().over(W.partitionBy("_key", "_mark").orderBy(contents)))
+        keyed = single.join(again, "_key", "left_anti").unionByName(repeated)
+    row = ("_key", "_mark", "_copy")
+    queued = materialise(queue(keyed.select(F.col("_key").alias("doc_id"), "source", "text", *row[1:]), *row[1:]), "mix-queue")
+    taken = mix(queued).select(F.col("source").alias("s"), F.col("before").alias("b"), F.col("words").alias("_words"))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("before") == F.col("b")) & (F.col("size") > 0)
+    copies = taken.join(queued, same).select(F.col("doc_id").alias("_key"), *row[1:], "_words", F.col("size").alias("_size"))
     cut = F.col("_words") < F.col("_size")
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    mixed = keyed.join(copies.join(whole, "_key"), "_key").withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+    mixed = keyed.join(copies, list(row)).withColumn("text", F.when(cut, first).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return mixed.select(*docs.columns)

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.llm.common import UPPER, slices, table
 from graphloom.operators.components import connected_components
@@ -165,15 +166,20 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int | None = None, t
     return dealt.mapInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document; fingerprint has 16 hexadecimal digits."""
+def _classes(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every document, and (fp, component, component_id) of every fingerprint."""
     found = materialise(fingerprints(docs), "simhash")
     distinct = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     linked = connected_components(links(distinct.select("fp"), radius)).withColumnRenamed("id", "fp")
     members = distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = members.join(named, "component").select("fp", "component_id")
-    return found.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found, members.join(named, "component").select("fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every document; fingerprint has 16 hexadecimal digits."""
+    found, classes = _classes(docs, radius)
+    return found.join(classes.drop("component"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,19 +187,36 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _one_a_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of rows that share ids, those whose class their own id names, or that have none: one an id and class, the first by its contents."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            found = np.array([fingerprint(t) for t in part.column("text").to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found.view(np.int64))], [*names, "_fp"])
+
+    marked = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_fp", T.LongType())]))
+    classes = classes.select(F.col("fp").alias("_fp"), F.col("component").alias("_class"), F.col("component_id").alias("_least"))
+    own = marked.join(classes, "_fp").where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("_least")))
+    whole = F.struct(*names)
+    return own.groupBy(F.col("doc_id").alias("_id"), "_class").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each near-duplicate class keep the document with the least id.
 
-    Rows that repeat an id count as one document: one of them stays if any is its class's least. No class can name a
-    row without an id: all such rows stay.
+    Rows that repeat an id are told apart by class: a row stays if its id is its own class's least, one row an id and
+    class. No class can name a row without an id: of such rows one a class stays.
     """
-    per_id = near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("least"))
-    per_id = materialise(per_id.where("doc_id is not null and (rows > 1 or not least)"), "simhash-dropped")
+    found, classes = _classes(docs)
+    per_id = found.join(classes, "fp").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("least"))
+    per_id = materialise(per_id.where("rows > 1 or not least"), "simhash-dropped")
     gone = per_id.where("not least").select(F.col("doc_id").alias("gone"))
-    again = per_id.where("least").select("doc_id")
+    again = per_id.where("least").select(F.col("doc_id").alias("again"))
     few = gone.count() <= BROADCAST_IDS
-    found = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone"), "left_anti")
     if again.isEmpty():
-        return found
-    repeated = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return found.join(again.withColumnRenamed("doc_id", "again"), F.col("doc_id") == F.col("again"), "left_anti").union(repeated)
+        return kept
+    repeated = F.col("doc_id").eqNullSafe(F.col("again"))
+    return kept.join(again, repeated, "left_anti").union(_one_a_class(docs.join(again, repeated, "left_semi"), classes))

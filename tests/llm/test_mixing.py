@@ -95,6 +95,14 @@ def test_stage(spark):
     assert X.stage(spark, twice, "").count() > 0
 
 
+def test_stage_counts_rows_of_one_id_apart(spark):
+    rng = random.Random(6)
+    rows = [(k, data.prose(rng, "en", 40), "en", "s0") for k in range(20)] + [(3, data.prose(rng, "en", 25), "en", "s0"), (3, data.prose(rng, "de", 40), "de", "s0"), (None, "no id", "en", "s0"), (None, "no id", "en", "s0")]
+    mixed = [sorted(r["text"] for r in X.stage(spark, data.frame(spark, own), "").collect()) for own in (rows, rows[::-1])]
+    assert mixed[0] == sorted(t for _, t, _, _ in rows)  # one source: all of it, once
+    assert mixed[1] == mixed[0]
+
+
 def test_empty(spark):
     docs = data.frame(spark, [])
     assert X.mixture(docs).count() == 0 and X.stage(spark, docs, "").count() == 0

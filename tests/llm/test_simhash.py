@@ -131,6 +131,20 @@ def test_stage_with_one_id_for_two_texts(spark):
     assert H.stage(spark, data.frame(spark, rows), "").where("doc_id = 7").count() == 1
 
 
+def test_stage_decides_per_row(spark):
+    rng = random.Random(4)
+    other, copied = data.prose(rng, "de", 80), data.prose(rng, "fr", 80)
+    rows = near_copies(3)
+    texts = {k: t for k, t, *_ in rows}
+    apart = data.prose(rng, "fr", 80)
+    rows += [(7, texts[3], "en", "s"), (8, other, "en", "s"), (8, other, "de", "s"), (8, apart, "en", "s"), (None, copied, "fr", "s"), (None, copied, "fr", "s")]
+    found = [sorted((r["doc_id"], r["text"], r["lang"]) for r in H.stage(spark, data.frame(spark, own), "").where("doc_id in (3, 7, 8)").collect()) for own in (rows, rows[::-1])]
+    lang = {k: x for k, _, x, _ in near_copies(3)}
+    assert found[0] == sorted([(3, texts[3], lang[3]), (7, texts[7], lang[7]), (8, texts[8], lang[8]), (8, other, "de"), (8, apart, "en")])
+    assert found[1] == found[0]
+    assert H.stage(spark, data.frame(spark, rows), "").where(f"doc_id is null and text = '{copied}'").count() == 1
+
+
 def test_long_text_and_empty(spark):
     text = data.prose(random.Random(3), "en", 70_000)
     assert H.fingerprint(text) == fingerprint(text)
