@@ -4,7 +4,8 @@ Storing: a payload of bytes becomes one program with one private-data stream. It
 packetised elementary units of ``UNIT_BYTES``, each with a presentation timestamp and, every
 ``KEY_UNITS`` units, a random-access point; program tables stand before every random-access point.
 Transport packets have 188 bytes, continuity counters per packet id, and stuffing in the last packet
-of a unit.
+of a unit. The streams are written as a table below the shared folder, with the place, timestamp and
+random-access flag of each unit, and read from there.
 
 Reading: the association table gives the map tables' packet ids, these give the elementary streams.
 Sections are checked by CRC-32/MPEG-2. Per packet id, repeated packets are dropped and gaps in the
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import slices, table
+from graphloom.session import materialise
 
 UNIT_BYTES, KEY_UNITS, PAYLOAD_UNIT = 32_768, 4, 64
 #: Fixed values of the format.
@@ -248,25 +250,35 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return raw + b"\0" * (max(1, -(-len(raw) // PAYLOAD_UNIT)) * PAYLOAD_UNIT - len(raw)), len(raw)
 
 
+UNITS = "array<struct<pid: int, pts: long, random_access: boolean, offset: long, size: long>>"
+_UNIT = pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("random_access", pa.bool_()), ("offset", pa.int64()), ("size", pa.int64())])
+
+
+def _rows(units: list[tuple[int, int | None, bool, int, int]]) -> list[dict]:
+    return [dict(zip(("pid", "pts", "random_access", "offset", "size"), u, strict=True)) for u in units]
+
+
+def muxed_units(size: int) -> list[tuple[int, int, bool, int, int]]:
+    """The units that ``mux`` makes of so many bytes, as in ``Demuxed``."""
+    return [(ES_PID, k * TICKS, k % KEY_UNITS == 0, at, min(UNIT_BYTES, size - at)) for k, at in enumerate(range(0, size, UNIT_BYTES))]
+
+
 def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): every whole text as a transport stream."""
+    """(doc_id, n_bytes, media, units): every whole text as a transport stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             made = [padded(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([n for _, n in made], pa.int64()), pa.array([mux(p) for p, _ in made], pa.binary())], ["doc_id", "n_bytes", "media"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+            units = pa.array([_rows(muxed_units(len(p))) for p, _ in made], pa.list_(_UNIT))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([n for _, n in made], pa.int64()), pa.array([mux(p) for p, _ in made], pa.binary()), units], ["doc_id", "n_bytes", "media", "units"])
 
-
-UNITS = "array<struct<pid: int, pts: long, random_access: boolean, offset: long, size: long>>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, n_bytes long, media binary, units {UNITS}")
 
 
 def parse(media: DataFrame) -> DataFrame:
     """``doc_id``, ``n_bytes`` and what the bytes in ``media`` hold: programs, streams, units, payload digests and features."""
     schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, units {UNITS}"
-    unit = pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("random_access", pa.bool_()), ("offset", pa.int64()), ("size", pa.int64())])
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(unit)]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(_UNIT)]
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "units"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,8 +286,7 @@ def parse(media: DataFrame) -> DataFrame:
             rows = []
             for stored in part.column("media").to_pylist():
                 found = demux(stored or b"")
-                units = [dict(zip(("pid", "pts", "random_access", "offset", "size"), u, strict=True)) for u in found.units]
-                rows.append((len(found.payload), hashlib.sha256(found.payload).hexdigest(), zlib.crc32(found.payload[-PAYLOAD_UNIT:]), len(stored or b""), hashlib.sha256(stored or b"").hexdigest(), found.feature(), units))
+                rows.append((len(found.payload), hashlib.sha256(found.payload).hexdigest(), zlib.crc32(found.payload[-PAYLOAD_UNIT:]), len(stored or b""), hashlib.sha256(stored or b"").hexdigest(), found.feature(), _rows(found.units)))
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *columns], names)
 
@@ -283,5 +294,5 @@ def parse(media: DataFrame) -> DataFrame:
 
 
 def op5_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents stored as transport streams and read back."""
-    return parse(store(table(spark, sf_dir, "documents"))).drop("units")
+    """All documents written as transport streams and read back from the files."""
+    return parse(materialise(store(table(spark, sf_dir, "documents")), "transport-streams")).drop("units")

@@ -67,3 +67,17 @@ def test_query(found):
 
 def test_empty(spark):
     assert M.parse(M.store(data.frame(spark, []))).count() == 0
+
+
+def test_query_reads_what_it_has_written(spark, tmp_path):
+    data.frame(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    found = M.op5_transport_stream(spark, str(tmp_path))
+    files = found.inputFiles()
+    assert files and all("/transport-streams-" in f for f in files)
+    stored = {r["doc_id"]: r for r in spark.read.parquet(*files).collect()}
+    rows = found.collect()
+    assert len(rows) == len(stored) == len(data.documents())
+    for r in rows:
+        media = bytes(stored[r["doc_id"]]["media"])
+        assert hashlib.sha256(media).hexdigest() == r["media_sha256"]
+        assert [tuple(u) for u in stored[r["doc_id"]]["units"]] == M.demux(media).units
