@@ -9,7 +9,7 @@ the rest would get lies above.
 Every document is shuffled by md5 of seed and id within its source and repeats up to three times. A
 copy's virtual finish time is the number of its source's words up to its end, over the target; in
 virtual time all sources advance together and reach their targets at 1, where the words taken add
-up to the total. The mix is cut there: a copy that starts before 1 and finishes after it is taken
+up to the total. The mix is cut there, source by source and before the copies are sorted: a copy that starts before 1 and finishes after it is taken
 for its first words alone, so that each source meets its target to the word.
 
 The running sums are made in two levels: documents fall in buckets by the leading digits of their
@@ -114,7 +114,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mix itself, a row for every copy taken; a copy that the cut divides has its first words.
+    """Pipeline stage: the mix itself, a row for every copy taken, in no order; a copy that the cut divides has its first words.
 
     Every row is a document of its own. Rows that repeat an id are told apart by a hash of their contents and, among
     equal ones, by a number; text and source stand for a missing id.
