@@ -2,8 +2,10 @@
 
 A turn costs its words plus ``TURN_TOKENS`` for its marks. Prefix sums of these costs over a
 conversation cut it into blocks of ``BUDGET`` tokens: the turns that lie inside a block make one
-window, a turn that crosses a block's end makes a window of its own. So a window never exceeds the
-budget, unless a single turn does, and no window depends on how earlier ones were filled. A window
+window, a turn that crosses a block's end makes a window of its own. So a window's own turns never
+exceed the budget, unless a single turn does, and no window depends on how earlier ones were filled.
+The system turn and the history come on top: a window has up to ``HISTORY`` tokens and the system
+turn's more than the budget, so who cuts windows at ``BUDGET`` may lose targets. A window
 starts with the system turn (the conversation's first turn, if its role is system), then repeats
 the turns that began at most ``HISTORY`` tokens before it, then has its own turns. Only the texts of
 its own assistant turns are under the loss mask, so each is a target once.
