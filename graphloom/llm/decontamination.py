@@ -232,13 +232,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without its contaminated rows, each judged where it lies; nothing is shuffled."""
+    """``docs`` without the rows that hold any window of an item, each judged where it lies; nothing is shuffled.
+
+    The share that makes ``contaminated`` does not count here: a passage is a leak in a text of any length.
+    """
     shipped = _indexes(docs.select("text"), benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            dirty = _judged(part, pa.nulls(part.num_rows, pa.int64()), shipped).column("contaminated")
-            yield part.filter(pc.invert(dirty))
+            hit = _judged(part, pa.nulls(part.num_rows, pa.int64()), shipped).column("n_hit")
+            yield part.filter(pc.equal(hit, 0))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -249,7 +252,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drop contaminated documents, row by row."""
+    """Pipeline stage: drop every document that holds a window of a benchmark item, row by row."""
     return clean(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -69,10 +69,19 @@ def test_stage_keeps_clean_rows(spark, tables):
     docs, items = tables
     rows = docs + [(None, items[3][1], "en", "s"), docs[0]]
     kept = D.clean(data.frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted(str(r[0]) for r in kept.select("doc_id").collect()) == sorted(str(k) for k, t, *_ in rows if not brute(t, items)[4])
+    assert sorted(str(r[0]) for r in kept.select("doc_id").collect()) == sorted(str(k) for k, t, *_ in rows if not brute(t, items)[1])
     assert kept.columns == data.frame(spark, rows).columns
 
 
+def test_stage_drops_a_short_passage_in_a_long_text(spark):
+    rng = random.Random(12)
+    item = " ".join(f"item{k}" for k in range(13))
+    long = data.prose(rng, "en", 500) + " " + item + " " + data.prose(rng, "en", 500)
+    docs, benchmark = data.frame(spark, [(1, long, "en", "s"), (2, data.prose(rng, "en", 1000), "en", "s")]), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r["n_hit"], r["contaminated"]) for r in D.contamination(docs, benchmark).orderBy("doc_id").collect()] == [(13, False), (0, False)]
+    assert [r["doc_id"] for r in D.clean(docs, benchmark).collect()] == [2]
+
+
 def test_empty(spark, tables):
     docs, items = tables
     none = spark.createDataFrame([], "item_id long, text string")

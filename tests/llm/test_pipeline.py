@@ -43,7 +43,7 @@ def test_stages(spark, folder, tmp_path):
     before, after = kept["near_duplicates"]
     assert ids(after) == sorted(k for k, _, least in classes(before) if k == least)
     before, after = kept["decontamination"]
-    assert ids(after) == sorted(k for k, t, _ in before if not brute(t, items)[4]) and not set(range(300, 305)) & set(ids(after))
+    assert ids(after) == sorted(k for k, t, _ in before if not brute(t, items)[1]) and not set(range(300, 305)) & set(ids(after))
     before, after = kept["mixing"]
     sized = spark.createDataFrame([(k, t, s) for k, t, s in before], "doc_id long, text string, source string")
     wanted = {r["doc_id"]: r["taken"] for r in mixing.mixture(sized).collect() if r["taken"]}
