@@ -6,32 +6,35 @@ looked up, bits are counted per language, and the counts are corrected for false
 share c of a text's n-grams found for a language whose slice answers yes by chance at rate f, the
 share that it really contains is (c - f) / (1 - f). The language with the largest share wins.
 
-N-grams are ``GRAM`` characters of the lower-cased text in which each run of non-letters is one
-space. A language contains an n-gram if at least ``MIN_SHARE`` of its sample's n-grams are that one
-and at least ``OWN_SHARE`` of the n-gram's shares of all languages are its own, which keeps out what
-foreign passages brought in. The filter is fitted on at most ``TRAIN_DOCS`` labelled documents a
-language, chosen by a hash of the id, and on all n-grams of their whole texts; at most ``MAX_GRAMS``
-n-grams a language enter it, the commonest first. Its size follows the number of those n-grams.
+N-grams are ``GRAM`` characters of the lower-cased text in which each run of other signs than letters
+and their combining marks (Unicode categories L and M) is one space. A language contains an n-gram if
+at least ``MIN_SHARE`` of its sample's n-grams are that one and at least ``OWN_SHARE`` of the n-gram's
+shares of all languages are its own, which keeps out what foreign passages brought in. The filter is
+fitted on at most ``TRAIN_DOCS`` labelled documents a language, chosen by a hash of the id, and on all
+n-grams of their whole texts. All that a language contains enter it, and its size follows their
+number, which cannot exceed 1 / ``MIN_SHARE`` a language.
 
 A text is in no learned language if the winner's share is below ``REJECT_BELOW``. Fewer than
 ``ENOUGH_GRAMS`` n-grams do not show that, as the filter holds a bounded sample's common n-grams
 alone: such a text must also have no letter of a script that the sample has.
 
-Defined cases: a null text or one without letters is ``und`` with score 0; a text none of whose
-n-grams is known gets the most frequent label with score 0; ties go to the more frequent label, then
-to the first in code-point order; without labelled documents every text is ``und``; null labels are
-not learned; repeated rows count repeatedly; other columns are ignored.
+Defined cases: a null text or one without letters (number signs and lone marks are none) is ``und``
+with score 0; a text none of whose n-grams is known gets the most frequent label with score 0; ties go
+to the more frequent label, then to the first in code-point order; without labelled documents every
+text is ``und``; null labels are not learned; a very long text is judged whole, a task holding one
+text at a time beside its batch; repeated rows count repeatedly; an empty table gives no rows; other
+columns are ignored and kept, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,19 +46,19 @@ from graphloom.session import materialise
 UNKNOWN = "und"
 LANG, SCORE, FOREIGN = "__predicted_lang", "__predicted_score", "__predicted_foreign"
 GRAM, HASHES, BITS_PER_GRAM = 4, 3, 16
-TRAIN_DOCS, MAX_GRAMS, MIN_SHARE, OWN_SHARE = 1_500, 60_000, 2e-6, 0.1
+TRAIN_DOCS, MIN_SHARE, OWN_SHARE = 1_500, 2e-6, 0.1
 #: Ids of the sample are broadcast if there are at most so many, else joined by shuffling.
 BROADCAST_ROWS = 200_000
 #: The pipeline drops a text if less than this share of its n-grams is the winner's; with fewer n-grams than enough, only if its script is foreign too.
 REJECT_BELOW, ENOUGH_GRAMS = 0.2, 50
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(text: str | None) -> np.ndarray | None:
     """A 64-bit number for each n-gram of a text; None if it has no letters."""
     plain = _OTHER.sub(" ", (text or "").lower()).strip()
-    if not plain:
+    if not any(map(str.isalpha, plain)):
         return None
     codes = np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     n = max(1, len(codes) - GRAM + 1)
@@ -109,7 +112,7 @@ class BitSlicedBloom:
         return np.maximum(0.0, (raw - self.chance) / (1 - self.chance))
 
     def decide(self, text: str | None) -> tuple[str, float, bool]:
-        """(label, score, foreign): score is the winner's part of all shares, foreign whether the text is in no learned language."""
+        """(label, score, foreign): score is the winner's share over the sum of all languages' shares, foreign whether the text is in no learned language."""
         numbers = grams(text)
         if numbers is None or not self.labels:
             return UNKNOWN, 0.0, True
@@ -140,8 +143,8 @@ def _sample(labelled: DataFrame, train_docs: int, languages: int, frequency: Dat
     return labelled.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l")), "left_semi").select("lang", "text")
 
 
-def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_GRAMS) -> BitSlicedBloom:
-    """Fit the filter on (doc_id, text, lang). The driver gets the sample's scripts and ``max_grams`` numbers a language at most."""
+def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> BitSlicedBloom:
+    """Fit the filter on (doc_id, text, lang). The driver gets the sample's scripts and 1 / ``MIN_SHARE`` numbers a language at most."""
     names = ["lang", "script", "gram", "n"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,12 +170,13 @@ def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS, max_grams: int = MAX_
     tallied = materialise(sample.groupBy("lang", "script", "gram").agg(F.sum("n").alias("n")), "lang-grams")
     seen = [r[0] for r in tallied.where("script is not null").select("script").collect()]
     counted = tallied.where("script is null").select("lang", "gram", "n")
-    whole = W.partitionBy("lang")
-    shared = counted.withColumn("share", F.col("n") / F.sum("n").over(whole)).where(F.col("share") >= MIN_SHARE)
+    totals = counted.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("total"))
+    if len(frequency) <= BROADCAST_ROWS:  # one row a label
+        totals = F.broadcast(totals)
+    shared = counted.join(totals, F.col("lang") == F.col("l")).withColumn("share", F.col("n") / F.col("total")).where(F.col("share") >= MIN_SHARE)
     held = shared.withColumn("own", F.col("share") / F.sum("share").over(W.partitionBy("gram"))).where(F.col("own") >= OWN_SHARE)
-    ranked = held.withColumn("place", F.row_number().over(whole.orderBy(F.desc("n"), "gram"))).where(F.col("place") <= max_grams)
     found: dict[str, list[int]] = {label: [] for label in frequency}
-    for row in ranked.select("lang", "gram").toLocalIterator():
+    for row in held.select("lang", "gram").toLocalIterator():
         found[row["lang"]].append(row["gram"])
     labels = sorted(frequency, key=lambda x: (-frequency[x], x))
     return BitSlicedBloom.build([(x, np.array(found[x], dtype=np.int64).view(np.uint64)) for x in labels], seen)

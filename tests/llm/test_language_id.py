@@ -1,7 +1,9 @@
 """Language identification: held-out accuracy, filter properties, and edge cases."""
 
 import random
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,6 +53,44 @@ def test_grams():
     assert len(L.grams("x" * 100_000)) == 99_999
 
 
+def test_letters_are_those_of_unicode():
+    assert all(L.grams(t) is None for t in ("①", "½", "²", "Ⅷ 7", "\u0941", "_"))  # number signs, a lone vowel sign
+    assert len(L.grams("हिन्दी")) == len(" हिन्दी ") - 3  # marks belong to their word
+    assert not np.array_equal(L.grams("ไทย"), L.grams("ไ ทย"))
+
+
+def plain_grams(text):
+    kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (text or "").lower())
+    spaced = f" {' '.join(kept.split())} "
+    return [spaced[k : k + 4] for k in range(max(1, len(spaced) - 3))] if any(unicodedata.category(c)[0] == "L" for c in kept) else []
+
+
+def test_against_plain_sets(spark, labelled):
+    """Shares and labels against sets of n-grams: the filter may add chance hits only, and its correction takes them off."""
+    rows, docs = labelled
+    model, counts, seen = L.fit(docs), {}, Counter()
+    for r in docs.collect():
+        if r["lang"] is not None:
+            seen[r["lang"]] += 1
+            counts.setdefault(r["lang"], Counter()).update(plain_grams(r["text"]))
+    share = {lang: {g: n / own.total() for g, n in own.items() if n / own.total() >= L.MIN_SHARE} for lang, own in counts.items()}
+    total = Counter()
+    for own in share.values():
+        total.update(own)
+    contained = {lang: {g for g, x in own.items() if x / total[g] >= L.OWN_SHARE} for lang, own in share.items()}
+    assert model.labels == sorted(seen, key=lambda x: (-seen[x], x))
+    for text in [r[1] for r in rows] + ["the und que", "Zq Xk!", "Ärger d'été ①", "日本 the"]:
+        own = plain_grams(text)
+        exact = np.array([sum(g in contained[lang] for g in own) / len(own) for lang in model.labels])
+        masks, found = model.lookup(L.grams(text))[0], model.shares(L.grams(text))
+        hits = np.array([np.count_nonzero(masks >> np.uint64(k) & np.uint64(1)) for k in range(len(model.labels))])
+        assert (hits >= np.round(exact * len(own))).all()  # nothing contained is missed
+        assert np.abs(found - exact).max() <= 3 / len(own) + 0.01
+        label, score, _ = model.decide(text)
+        if np.sort(exact)[-1] - np.sort(exact)[-2] > 0.1:
+            assert label == model.labels[int(np.argmax(exact))] and score == pytest.approx(exact.max() / exact.sum(), abs=0.1)
+
+
 def test_training_is_bounded_and_ignores_labels_left_out(spark, labelled):
     rows, docs = labelled
     model = L.fit(docs, train_docs=20)
