@@ -1,60 +1,137 @@
-"""Connected components of an undirected edge list by alternating large-star and small-star.
+"""Connected components of an undirected edge list.
 
-Every round replaces edges by edges to smaller neighbours until each component is a star around its
+Each partition first replaces its edges by a spanning forest of stars, ``CHUNK`` edges at a time. If
+at most ``LOCAL_EDGES`` edges are left, a single task settles them. Otherwise rounds of large-star and
+small-star replace edges by edges to smaller neighbours until each component is a star around its
 least vertex (Kiveris et al., "Connected Components in MapReduce and Beyond", SoCC 2014). A vertex's
-minimum is a partial aggregate joined back to its edges, so a hub's edges are never gathered in one
-task. Each round is written to the session's shared folder, which cuts lineage and survives lost
-executors.
+minimum is a partial aggregate joined back to its edges; the minima of hubs, vertices with more than
+one in ``HUB_SHARE`` edges, of which there are at most twice as many, are broadcast, so a hub's edges
+stay where they lie. Each round is written to the session's shared folder, which cuts lineage and
+survives lost executors, and is counted as it is written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from graphloom.plans.graph import PropertyGraph
 from graphloom.plans.names import NODE
 from graphloom.session import delete_path, fresh_path
 
-
-def _large_star(edges: DataFrame) -> DataFrame:
+CHUNK, LOCAL_EDGES, HUB_SHARE = 1_000_000, 1_000_000, 1_000
+
+
+def settle(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Join the sets of i and j; label holds the least member of each set."""
+    while len(i):
+        a, b = label[i], label[j]
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while not np.array_equal(label, up := label[label]):
+            label = up
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+    return label
+
+
+def _stars(u: pa.Array, v: pa.Array, roots: bool) -> tuple[pa.Array, pa.Array]:
+    """(member, least member) of the components of edges; least members themselves too if ``roots`` or if nothing else tells of them."""
+    coded = pa.concat_arrays([u, v]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    ends = rank[coded.indices.to_numpy()]
+    i, j = ends[: len(u)], ends[len(u) :]
+    label = settle(np.arange(len(order)), i, j)
+    shown = label != np.arange(len(order))
+    alone = np.ones(len(order), dtype=bool)
+    alone[label[shown]] = False
+    at = np.arange(len(order)) if roots else np.flatnonzero(shown | alone)
+    names = coded.dictionary.take(order)
+    return names.take(pa.array(at)), names.take(pa.array(label[at]))
+
+
+def _forest(edges: DataFrame, chunk: int, roots: bool = False) -> DataFrame:
+    """Edges with the same components, at most one a vertex, partition and chunk; loops for vertices that nothing else tells of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def made() -> Iterator[pa.RecordBatch]:
+            u, v = (pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
+            found = pa.RecordBatch.from_arrays(list(_stars(u, v, roots)), ["u", "v"])
+            yield from (found.slice(k, 100_000) for k in range(0, found.num_rows, 100_000))
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= chunk:
+                yield from made()
+                held, size = [], 0
+        if size:
+            yield from made()
+
+    return edges.mapInArrow(run, edges.schema)
+
+
+def _to_least(rows: DataFrame, total: int) -> DataFrame:
+    """(u, v, m): rows with the least v of their u."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > total / HUB_SHARE).select("u", "m"))
+    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= total / HUB_SHARE).select("u", "m"), "u")
+    return rows.join(hubs, "u").union(rest)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = _to_least(both, total).where("v > u").select("v", F.least("u", "m").alias("m"))
+    return least.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    moved = _to_least(down, total)
+    tied = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+    return moved.select(tied.alias("e")).select("e.*").where("u <> v").distinct()
+
+
+def _written(edges: DataFrame, path: str) -> tuple[DataFrame, tuple]:
+    """The edges as written, with their number and the sum of their hashes."""
+    seen = Observation()
+    edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).write.parquet(path)
+    found = seen.get
+    return edges.sparkSession.read.schema(edges.schema).parquet(path), (found["n"], found["h"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, component) for every vertex of ``edges`` (u, v): component is the least id reachable.
 
     Self-loops make a component of one vertex; null ends are ignored; repeated edges count once.
     """
     spark = edges.sparkSession
-    edges = edges.select("u", "v").where("u is not null and v is not null")
-    schema = edges.schema
     base, old = fresh_path(spark, "components"), None
-    edges.distinct().write.parquet(f"{base}/given")
-    given = spark.read.schema(schema).parquet(f"{base}/given")
-    current, state = given.where("u <> v"), None
+    given, state = _written(_forest(edges.select("u", "v").where("u is not null and v is not null"), CHUNK), f"{base}/given")
+    if state[0] <= local_edges:
+        settled, _ = _written(_forest(given.coalesce(1), local_edges + 1, roots=True), f"{base}/settled")
+        delete_path(spark, f"{base}/given")
+        return settled.toDF("id", "component")
+    current, total = given.where("u <> v"), state[0]
     for k in range(max_rounds):
-        path = f"{base}/round-{k}"
-        _small_star(_large_star(current)).write.parquet(path)
-        current = spark.read.schema(schema).parquet(path)
+        path, before = f"{base}/round-{k}", state
+        current, state = _written(_small_star(_large_star(current, total), total), path)
         if old:
             delete_path(spark, old)
-        old = path
-        seen = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state or not seen[0]:
+        old, total = path, state[0]
+        if state == before or not state[0]:
             break
-        state = tuple(seen)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
