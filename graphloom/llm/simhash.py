@@ -15,9 +15,13 @@ The number of compared pairs grows with the square of the number of distinct fin
 method is exact; more parts lower the factor (0.6 for one, 0.13 for four, 0.01 for eight on random
 fingerprints) as the input grows. Only histograms of population counts reach the driver.
 
+Fingerprints and classes of very many members, which may hold a third of all rows, are broadcast when
+they are joined to rows; there are at most ``HOT_SHARE`` of them.
+
 Defined cases: a null or empty text has fingerprint zero and links like any other; equal texts and
-repeated rows share a class; a null ``doc_id`` never names a class that has another id; an empty
-table gives no rows; other columns are ignored.
+repeated rows share a class; a very long text is hashed whole, a task holding one at a time beside its
+batch; a null ``doc_id`` never names a class that has another id; an empty table gives no rows; other
+columns are ignored, and kept by the stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import UPPER, slices, table
-from graphloom.operators.components import connected_components
+from graphloom.llm.common import UPPER, content_hash, lookup, may_hold, quoted, slices, table, unused
+from graphloom.operators.components import connected_components, settle
 from graphloom.session import materialise
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
@@ -40,8 +44,6 @@ SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
 TILE_ROWS, TILES, MAX_TILE_ROWS = 8_192, 512, 1 << 20
 #: Parts whose population counts make a tile, by the number of fingerprints from which they are used.
 PARTS = ((1, 0), (2, 8_000_000), (4, 64_000_000), (8, 1_000_000_000))
-#: The stage sends so many ids of dropped documents around at most; more are joined by shuffling.
-BROADCAST_IDS = 1_000_000
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 #: Pairs compared at a time; their differences stay in a processor's cache.
 _CHUNK = 1 << 16
@@ -97,20 +99,6 @@ def _ball(parts: int, radius: int) -> Iterator[tuple[int, ...]]:
             yield (first, *rest)
 
 
-def _settle(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Join the sets of i and j; label holds the least member of each set."""
-    while len(i):
-        a, b = label[i], label[j]
-        low = np.minimum(a, b)
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        while not np.array_equal(label, up := label[label]):
-            label = up
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-    return label
-
-
 def forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between two tiles, or within ``a``, as (member, set's first member)."""
     both = a if b is None else np.concatenate([a, b])
@@ -130,7 +118,7 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[n
         if b is None:
             i, j = i[i < j], j[i < j]
         if len(i):
-            label = _settle(label, i, j)
+            label = settle(label, i, j)
     moved = np.flatnonzero(label != np.arange(len(both)))
     return both[moved], both[label[moved]]
 
@@ -166,20 +154,22 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int | None = None, t
     return dealt.mapInArrow(compare, "u long, v long")
 
 
-def _classes(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every document, and (fp, component, component_id) of every fingerprint."""
+def _classes(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, int]:
+    """(doc_id, fp, component, component_id) of every document, and their number."""
     found = materialise(fingerprints(docs), "simhash")
-    distinct = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct = materialise(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "simhash-distinct")
     linked = connected_components(links(distinct.select("fp"), radius)).withColumnRenamed("id", "fp")
     members = distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = members.groupBy("component").agg(F.min("least").alias("component_id"))
-    return found, members.join(named, "component").select("fp", "component", "component_id")
+    named = members.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    total = found.count()
+    classes = materialise(lookup(members, named, "component", "members", total).select("fp", "rows", "component", "component_id"), "simhash-classes")
+    return lookup(found, classes, "fp", "rows", total).drop("rows"), total
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document; fingerprint has 16 hexadecimal digits."""
-    found, classes = _classes(docs, radius)
-    return found.join(classes.drop("component"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found, _ = _classes(docs, radius)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,36 +177,52 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def _one_a_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of rows that share ids, those whose class their own id names, or that have none: one an id and class, the first by its contents."""
+def _one_a_class(rows: DataFrame, judged: DataFrame, total: int) -> DataFrame:
+    """Of rows without id or that share ids, those whose class their own id names, or that have none: one an id and class.
+
+    Equal rows are made one before anything is joined; of different rows of one id and class the first by its
+    contents (as JSON) stays.
+    """
     names = rows.columns
+    fp, content, row = unused(names, "fp", "content", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             found = np.array([fingerprint(t) for t in part.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found.view(np.int64))], [*names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found.view(np.int64))], [*part.schema.names, fp])
 
-    marked = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_fp", T.LongType())]))
-    classes = classes.select(F.col("fp").alias("_fp"), F.col("component").alias("_class"), F.col("component_id").alias("_least"))
-    own = marked.join(classes, "_fp").where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("_least")))
-    whole = F.struct(*names)
-    return own.groupBy(F.col("doc_id").alias("_id"), "_class").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+    hashed = rows.withColumn(content, F.struct(content_hash(rows, 1).alias("a"), content_hash(rows, 2).alias("b")))
+    single = hashed.groupBy(content).agg(F.first(F.struct(*quoted(rows))).alias(row)).select(*[F.col(f"{row}.`{n}`").alias(n) for n in names])
+    marked = single.mapInArrow(run, T.StructType([*single.schema.fields, T.StructField(fp, T.LongType())]))
+    classes = judged.groupBy(F.col("fp").alias(fp)).agg(*[F.first(c).alias(f"{content}{c}") for c in ("component", "component_id")], F.count("*").alias(f"{content}rows"))
+    own = lookup(marked, classes, fp, f"{content}rows", total).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col(f"{content}component_id")))
+    whole = F.struct(*quoted(rows))
+    picked = own.groupBy(F.col("doc_id").alias(f"{content}id"), f"{content}component").agg(F.min_by(whole, F.to_json(whole)).alias(row))
+    return picked.select(*[F.col(f"{row}.`{n}`").alias(n) for n in names])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each near-duplicate class keep the document with the least id.
 
+    A filter of the ids to drop, of bounded size, leaves rows that it surely does not hold where they lie; the others, the
+    dropped ones and the filter's false alarms, are written apart and judged by an exact join.
+
     Rows that repeat an id are told apart by class: a row stays if its id is its own class's least, one row an id and
     class. No class can name a row without an id: of such rows one a class stays.
     """
-    found, classes = _classes(docs)
-    per_id = found.join(classes, "fp").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("least"))
+    judged, total = _classes(docs)
+    per_id = judged.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("least"))
     per_id = materialise(per_id.where("rows > 1 or not least"), "simhash-dropped")
-    gone = per_id.where("not least").select(F.col("doc_id").alias("gone"))
-    again = per_id.where("least").select(F.col("doc_id").alias("again"))
-    few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    if again.isEmpty():
+    known, several = per_id.agg(F.count("*"), F.count_if("least")).first()
+    maybe, key, rows, least = unused(docs.columns, "maybe", "key", "rows", "least")
+    flagged = may_hold(docs, F.col("doc_id").cast("long"), per_id, "doc_id", known, maybe)
+    kept = flagged.where(F.col("doc_id").isNotNull() & ~F.col(maybe)).select(*quoted(docs))
+    doubtful = materialise(flagged.where(F.col("doc_id").isNotNull() & F.col(maybe)).select(*quoted(docs), F.col("doc_id").cast("long").alias(key)), "simhash-doubtful")
+    found = lookup(doubtful, per_id.toDF(key, rows, least), key, rows, total, "left")
+    kept = kept.union(found.where(F.col(least).isNull()).select(*quoted(docs)))
+    again = docs.where("doc_id is null")
+    if several:
+        again = again.union(found.where(least).select(*quoted(docs)))
+    elif again.select("doc_id").isEmpty():
         return kept
-    repeated = F.col("doc_id").eqNullSafe(F.col("again"))
-    return kept.join(again, repeated, "left_anti").union(_one_a_class(docs.join(again, repeated, "left_semi"), classes))
+    return kept.union(_one_a_class(again, judged, total))

@@ -5,8 +5,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
+from graphloom.llm import common
 from graphloom.llm import simhash as H
 from graphloom.operators.components import connected_components
 from tests.llm import data
@@ -112,9 +114,11 @@ def test_forest_is_small():
     assert len(u) <= 59
 
 
-@pytest.mark.parametrize("ids", [0, H.BROADCAST_IDS])
-def test_stage(spark, monkeypatch, ids):
-    monkeypatch.setattr(H, "BROADCAST_IDS", ids)
+@pytest.mark.parametrize(("words", "share"), [(1, 1), (common.FILTER_WORDS, common.HOT_SHARE), (1, 10**9)])
+def test_stage(spark, monkeypatch, words, share):
+    """Whether the filter holds back all rows or few, and whether no key is hot or every one."""
+    monkeypatch.setattr(common, "FILTER_WORDS", words)
+    monkeypatch.setattr(common, "HOT_SHARE", share)
     rows = near_copies(2)
     kept = H.stage(spark, data.frame(spark, rows), "")
     assert kept.columns == data.frame(spark, rows).columns
@@ -124,6 +128,22 @@ def test_stage(spark, monkeypatch, ids):
     assert kept.where("doc_id is null").count() == 2
 
 
+def test_filter_misses_no_key(spark):
+    held, all_ids = spark.range(0, 40_000, 4), spark.range(40_000)
+    for words, alarms in ((1 << 20, 300), (1 << 10, 15_000)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(common, "FILTER_WORDS", words)
+            found = common.may_hold(all_ids.withColumn("slot", F.lit(1)), F.col("id"), held, "id", 10_000, "maybe")
+            assert found.where("id % 4 = 0 and not maybe").isEmpty() and found.where("id % 4 <> 0 and maybe").count() <= alarms
+
+
+def test_columns_named_like_the_stages_own(spark):
+    docs = data.frame(spark, near_copies(2)).selectExpr("*", "1 as maybe", "2 as KEY", "3 as rows", "4 as least", "5 as gone", "6 as again", "7 as _fp", "8 as content", "9 as row", "10 as slot", "11 as mask", "12 as component")
+    docs = docs.union(docs)
+    kept = H.stage(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(str(r[0]) for r in kept.select("doc_id").collect()) == sorted(str(r[0]) for r in H.stage(spark, data.frame(spark, near_copies(2)), "").select("doc_id").collect())
+
+
 def test_stage_with_one_id_for_two_texts(spark):
     rows = near_copies(3)
     texts = {k: t for k, t, *_ in rows}
