@@ -6,19 +6,25 @@ its source's size and the excess is reshared by weight until none is above. That
 found in closed form: sources are capped in the order of cap over weight, as long as the level that
 the rest would get lies above.
 
-Every document is shuffled by md5 of seed and id within its source and repeats up to three times. A
-copy's virtual finish time is the number of its source's words up to its end, over the target; in
-virtual time all sources advance together and reach their targets at 1, where the words taken add
-up to the total. The mix is cut there, source by source and before the copies are sorted: a copy that starts before 1 and finishes after it is taken
-for its first words alone, so that each source meets its target to the word.
-
-The running sums are made in two levels: documents fall in buckets by the leading digits of their
-shuffle key, sums of buckets are accumulated per source, and rows are accumulated within buckets, so
-a source with a third of all rows is spread over ``BUCKETS`` groups.
+Every document is shuffled by md5 of seed and id within its source and may repeat up to three times.
+A copy is queued in packets of ``PACKET`` words. A packet's virtual finish time is the number of its
+source's words up to its end, over the source's target. All packets are sorted globally by virtual
+finish time, their words are summed in that order, and the mix ends where the budget, the total of
+all sizes, is used up; the packet that crosses the end gives its first words. In virtual time all
+sources advance together, so each is within about a packet of its target there. The packets taken of
+a copy are its first words.
+
+Both running sums, of a source's words and of the mix, go over rows sorted by range (see
+``running_sums``): the order includes a row number, so a source, an id or a row that repeats without
+end is spread over ranges. A histogram of virtual time, of at most ``TIME_BINS`` rows, tells which
+packets lie beyond the end; they are not sorted.
 
 Defined cases: a null or empty text has size 0 and is taken for 0 words; a null source is a source
-of its own; repeated rows are documents of their own, in an arbitrary but equal order; a source
-without words has target 0; an empty table gives no rows; other columns are ignored.
+of its own; repeated rows are documents of their own, equal ones in an arbitrary order, which makes no
+difference; a very long text is one row of its words' number, and of the mix as many packets as it
+needs; packets that finish at the same time go by source, place in the source and copy; a source
+without words has target 0; an empty table gives no rows; other columns are ignored, and kept by the
+stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,20 +33,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import content_hash, lookup, quoted, running_sums, table, unused
 from graphloom.session import materialise
 
 WEIGHTS, MAX_REPEAT, SEED = (5, 2, 1), 3, "mix"
-#: Hexadecimal digits of the shuffle key that name a bucket: 4096 buckets a source.
-BUCKET_DIGITS = 3
+#: Words that are queued together; TIME_BINS / TIME_SCALE is the virtual time from which packets are counted together.
+PACKET, TIME_SCALE, TIME_BINS = 128, 1_024, 4_096
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def sizes(docs: DataFrame, *own: str) -> DataFrame:
-    """(doc_id, source, size, key) of every document, and its columns ``own``."""
+    """(doc_id, source, size, key, row) of every document, and its columns ``own``; row is a number of its own."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"), *own)
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row"), *own)
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -63,83 +69,101 @@ def targets(sized: DataFrame) -> DataFrame:
 
 
 def queue(docs: DataFrame, *own: str) -> DataFrame:
-    """(doc_id, source, size, source_size, target, before): before counts its source's words ahead of a document.
+    """(doc_id, source, row, size, source_size, target, before): before counts its source's words ahead of a document.
 
     own: columns that tell rows of one id apart; they are kept and order such rows.
     """
-    sized = materialise(sizes(docs, *own), "mix-sizes").withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
-    ahead = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    buckets = buckets.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("bucket_start"))
-    buckets = buckets.join(targets(sized).withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t")
-    within = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *own).rowsBetween(W.unboundedPreceding, -1)
-    placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    joined = placed.join(buckets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("bucket_start") + F.col("inside")).alias("before"), *own)
-
-
-def _words(copy: int) -> Column:
-    """Words that the mix takes of a document's ``copy``-th repeat."""
-    room = F.col("stop") - F.col("before") - copy * F.col("source_size")
-    return F.greatest(F.lit(0), F.least(F.col("size"), room))
+    sized = materialise(sizes(docs, *own), "mix-sizes")
+    order = [F.asc_nulls_last("source"), F.asc("key"), F.asc_nulls_first("doc_id"), F.asc("size"), *map(F.asc, own), F.asc("row")]
+    placed, ahead = running_sums(sized, order, ["size"], "mix-queue", group="source")
+    goals = targets(sized).withColumnRenamed("source", "s")
+    # a row for each source in each range: no key here is hot
+    ahead = ahead.join(goals, F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("part").alias("p"), "size_ahead", "source_size", "target")
+    joined = placed.join(ahead, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
+    return joined.select("doc_id", "source", "row", "size", "source_size", "target", (F.col("size_ahead") + F.col("size_inside")).alias("before"), *own)
+
+
+def packets(queued: DataFrame) -> DataFrame:
+    """(source, row, before, copy, piece, words, finish): all packets of all copies."""
+    pieces = F.ceil(F.col("size") / PACKET).cast("int")
+    wanted = queued.where("target > 0 and size > 0").select("*", F.explode(F.sequence(F.lit(0), pieces * MAX_REPEAT - 1)).alias("k"))
+    wanted = wanted.select("*", F.floor(F.col("k") / pieces).cast("int").alias("copy"), F.pmod("k", pieces).alias("piece"))
+    start = F.col("piece").cast("long") * PACKET
+    words = F.least(F.lit(PACKET).cast("long"), F.col("size") - start)
+    finish = (F.col("before") + F.col("copy") * F.col("source_size") + start + words) / F.col("target")
+    return wanted.select("source", "row", "before", "copy", "piece", words.alias("words"), finish.alias("finish"))
 
 
 def mix(queued: DataFrame, budget: int | None = None) -> DataFrame:
-    """(doc_id, source, before, copy, words, finish): the copies taken, globally sorted by virtual finish time.
+    """(source, row, before, copy, piece, words, finish, at): the packets taken; at is their place in the mix, in words.
 
-    budget: words in all, at most the total of all sizes, which it is by default.
+    budget: words in all, by default the total of all sizes, which is what it stops at.
     """
-    if budget is not None:
-        total = queued.agg(F.sum("size")).first()[0] or 0
-        queued = queued.withColumn("target", F.col("target") * (min(budget, total) / max(total, 1)))
-    queued = queued.withColumn("stop", F.round("target").cast("long"))
-    finish = [(F.col("before") + k * F.col("source_size") + F.col("size")) / F.col("target") for k in range(MAX_REPEAT)]
-    copies = F.array(*[F.struct(F.lit(k).alias("copy"), _words(k).alias("words"), finish[k].alias("finish")) for k in range(MAX_REPEAT)])
-    taken = queued.where("target > 0").select("doc_id", "source", "before", F.explode(F.filter(copies, lambda c: c["words"] > 0)).alias("c"))
-    ordered = ("finish", "source", "before", "copy")
-    return materialise(taken.select("doc_id", "source", "before", "c.*"), "mix-copies").repartitionByRange(*ordered).sortWithinPartitions(*ordered)
+    total = queued.agg(F.sum("size")).first()[0] or 0
+    budget = total if budget is None else min(budget, total)
+    binned = packets(queued).withColumn("bin", F.least(F.floor(F.col("finish") * TIME_SCALE), F.lit(TIME_BINS)).cast("int"))
+    end, seen = TIME_BINS, 0
+    for row in binned.groupBy("bin").agg(F.sum("words").alias("n")).orderBy("bin").collect():
+        seen += row["n"]
+        if seen >= budget:
+            end = row["bin"]
+            break
+    order = [F.asc("finish"), F.asc_nulls_last("source"), F.asc("before"), F.asc("copy"), F.asc("piece")]
+    placed, ahead = running_sums(binned.where(F.col("bin") <= end).drop("bin"), order, ["words"], "mix-packets")
+    ahead = F.broadcast(ahead.withColumnRenamed("part", "p"))  # a row a range
+    placed = placed.join(ahead, F.col("part") == F.col("p")).withColumn("at", F.col("words_ahead") + F.col("words_inside"))
+    words = F.least(F.col("words"), budget - F.col("at"))
+    return placed.where(F.col("at") < budget).select("source", "row", "before", "copy", "piece", words.alias("words"), "finish", "at")
+
+
+def copies(queued: DataFrame, budget: int | None = None) -> DataFrame:
+    """(row, copy, words, at): the copies that the mix takes, words of each, and the place of its first word in the mix."""
+    return mix(queued, budget).groupBy("row", "copy").agg(F.sum("words").alias("words"), F.min("at").alias("at"))
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every document, taken or not."""
-    queued = materialise(queue(docs), "mix-queue")
-    taken = mix(queued).groupBy(F.col("source").alias("s"), F.col("before").alias("b")).agg(F.sum("words").alias("words"))
-    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("before") == F.col("b")) & (F.col("size") > 0)
-    return queued.join(taken, same, "left").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
+    """(doc_id, size, source_size, target, taken, first_at) of every document, taken or not; first_at is its first place in the mix."""
+    queued = materialise(queue(docs), "mix-queued")
+    taken = copies(queued).groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("words"), F.min("at").alias("first_at"))
+    joined = queued.join(taken, F.col("row") == F.col("r"), "left")
+    return joined.select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"), "first_at")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
+    """How many words the mix takes of each document, and where in the mix it is first taken."""
     return mixture(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mix itself, a row for every copy taken, in no order; a copy that the cut divides has its first words.
+    """Pipeline stage: the mix itself, a row for every copy taken, sorted by place in the mix; a copy of which not all packets are taken has its first words.
 
-    Every row is a document of its own. Rows that repeat an id are told apart by a hash of their contents and, among
-    equal ones, by a number; text and source stand for a missing id.
+    Every row is a document of its own. Rows are known by two hashes of their contents; equal rows, which nothing can tell
+    apart, share one text, which is dealt out again to as many parts as they have thousands of rows.
     """
-    keyed = docs.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text", "source")))
-    again = materialise(keyed.groupBy("_key").count().where("count > 1").select("_key"), "mix-repeated")
-    single = keyed.withColumns({"_mark": F.lit(0).cast("long"), "_copy": F.lit(1)})
+    a, b, several, salt, at, words, size = unused(docs.columns, "a", "b", "several", "salt", "at", "words", "size")
+    hashed = docs.withColumns({a: content_hash(docs, 1), b: content_hash(docs, 2)})
+    queued = materialise(queue(hashed.select("doc_id", "source", "text", F.col(a).alias("a"), F.col(b).alias("b")), "a", "b"), "mix-queued")
+    taken = copies(queued).withColumnRenamed("row", "r")
+    taken = queued.select("row", "size", "a", "b").join(taken, F.col("row") == F.col("r"))
+    taken = taken.select(F.col("a").alias(a), F.col("b").alias(b), F.col("words").alias(words), F.col("size").alias(size), F.col("at").alias(at))
+    again = materialise(queued.groupBy(F.struct(F.col("a").alias(a), F.col("b").alias(b)).alias("key")).agg(F.count("*").alias("n")).where("n > 1"), "mix-repeated")
     if again.isEmpty():
-        keyed = single
+        mixed = hashed.join(taken, [a, b])
     else:
-        contents = F.to_json(F.struct(*docs.columns))
-        repeated = keyed.join(again, "_key", "left_semi").withColumn("_mark", F.xxhash64(contents))
-        repeated = repeated.withColumn("_copy", F.row_number().over(W.partitionBy("_key", "_mark").orderBy(contents)))
-        keyed = single.join(again, "_key", "left_anti").unionByName(repeated)
-    row = ("_key", "_mark", "_copy")
-    queued = materialise(queue(keyed.select(F.col("_key").alias("doc_id"), "source", "text", *row[1:]), *row[1:]), "mix-queue")
-    taken = mix(queued).select(F.col("source").alias("s"), F.col("before").alias("b"), F.col("words").alias("_words"))
-    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("before") == F.col("b")) & (F.col("size") > 0)
-    copies = taken.join(queued, same).select(F.col("doc_id").alias("_key"), *row[1:], "_words", F.col("size").alias("_size"))
-    cut = F.col("_words") < F.col("_size")
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    mixed = keyed.join(copies, list(row)).withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+        pair = F.struct(a, b)
+        texts = hashed.join(again.select(F.col("key").alias(several)), pair == F.col(several), "left_semi").groupBy(a, b).agg(F.first(F.struct(*quoted(docs))).alias(several))
+        texts = texts.join(again, pair == F.col("key")).withColumn(salt, F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 1_000).cast("int"))))
+        texts = texts.select(a, b, *[F.col(f"{several}.`{c}`").alias(c) for c in docs.columns], salt)
+        salted = lookup(taken.withColumn("key", pair), again, "key", "n", queued.count()).withColumn(salt, F.pmod(F.xxhash64(at), F.floor(F.col("n") / 1_000) + 1).cast("int"))
+        repeated = texts.join(salted.drop("key", "n"), [a, b, salt]).drop(salt)
+        keys = again.select(F.col("key").alias(several))
+        mixed = hashed.join(taken.join(keys, pair == F.col(several), "left_anti"), [a, b]).unionByName(repeated)
+    cut = F.col(words) < F.col(size)
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col(words).cast("int")), "")
+    mixed = mixed.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return mixed.select(*docs.columns)
+    return mixed.repartitionByRange(at).sortWithinPartitions(at).select(*quoted(docs))
 
 
 ORACLE = r"""
@@ -161,12 +185,18 @@ WITH sized AS (
 ), target AS (
   SELECT source, source_size, least(cap::DOUBLE, weight * s / w) AS target FROM levelled, level
 ), queued AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT row_number() OVER () AS row, doc_id, t.source, size, source_size, target,
          coalesce(sum(size) OVER (PARTITION BY t.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
   FROM sized d JOIN target t ON d.source IS NOT DISTINCT FROM t.source
+), packets AS (
+  SELECT row, source, ahead, copy, piece, least(128, size - 128 * piece) AS words,
+         (ahead + copy * source_size + 128 * piece + least(128, size - 128 * piece)) / target AS finish
+  FROM queued, unnest(range(3)) AS c(copy), unnest(range((size + 127) // 128)) AS p(piece) WHERE target > 0
+), placed AS (
+  SELECT row, words, coalesce(sum(words) OVER (ORDER BY finish, source NULLS LAST, ahead, copy, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins
+  FROM packets
+), taken AS (
+  SELECT row, sum(least(words, (SELECT sum(size) FROM sized) - begins)) AS words, min(begins) AS first_at FROM placed WHERE begins < (SELECT sum(size) FROM sized) GROUP BY row
 )
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, round(target)::BIGINT - ahead)) + greatest(0, least(size, round(target)::BIGINT - ahead - source_size))
-        + greatest(0, least(size, round(target)::BIGINT - ahead - 2 * source_size)))::BIGINT AS taken
-FROM queued
+SELECT doc_id, size, source_size, target, coalesce(words, 0)::BIGINT AS taken, first_at FROM queued LEFT JOIN taken USING (row)
 """
