@@ -8,10 +8,13 @@ four to a byte. Decoding looks the control bytes up in a 256-row table of length
 Documents are dealt to shards by ascending ``doc_id`` (null first), sorted within them, and packed
 in blocks of about ``BLOCK_TOKENS`` ids; a longer document is a block of its own. The bounds of the
 shards come from the id column alone, so no text is read or tokenised twice, and only token ids are
-shuffled. Rows that share an id keep together, ordered by their ids' bytes, so reruns agree.
+shuffled, by number of shard, so that the files, in the order of their names, have ascending ids. An
+id with so many rows that it is the bound of several shards is spread over those by a hash of its
+token ids; within a shard rows of one id are ordered by their token ids' bytes, so reruns agree.
 
-Defined cases: a null or empty text has the end id alone; an empty table gives no rows; columns
-other than ``doc_id`` and ``text`` are ignored.
+Defined cases: a null or empty text has the end id alone; a very long text is encoded whole and is a
+block of its own; rows that are equal in id and text lie together, of which a task holds one block at a
+time; an empty table gives no rows; columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ END_ID = 1
 BLOCK_TOKENS = 1_000_000
 SHARD_DOCS, MAX_SHARDS = 1_000, 16_384
 CACHE_WORDS = 300_000
+#: Stands for a missing id where shards are found.
+_NONE = -(1 << 63)
 BLOCK_SCHEMA = "shard int, block int, n_tokens long, doc_ids binary, null_ids int, counts binary, ranks binary, control binary, data binary"
 DOC_SCHEMA = "doc_id long, n_tokens long, ids_crc32 long, shard int, block int, before long"
 #: Runs of ASCII signs, or of other characters but white space.
@@ -43,7 +48,7 @@ _PIECE = re.compile(rb"[!-/:-@\[-`{-~]+|[^\s!-/:-@\[-`{-~]+")
 _PLAIN = bytes(c for c in b"\t\n\r\xc3" + bytes([*range(32, 127), *range(0x80, 0xC0)]) if c != ord("'"))
 #: Bytes of words in lower case: a-z and the letters of U+00DF to U+00FF.
 _LETTERS = bytes([*range(ord("a"), ord("z") + 1), 0xC3, *(c for c in range(0x9F, 0xC0) if c != 0xB7)])
-#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on.
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, others from U+0100 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {c: chr(256 + k) for k, c in enumerate(sorted({*range(256)} - {*_SHOWN}))}
 #: Bytes of each of the four codes of a control byte.
@@ -159,28 +164,38 @@ def decode_ranks(n: int, ranks: bytes, control: bytes, data: bytes) -> np.ndarra
     return np.frombuffer(ranks, dtype="<u4")[coded]
 
 
-def _bounds(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Upper bounds of all shards but the last; their number is limited by ``MAX_SHARDS``."""
-    n = docs.select("doc_id").count()
+def _bounds(docs: DataFrame) -> np.ndarray:
+    """Upper bounds of all shards but the last, one repeated for an id that fills several; their number is limited by ``MAX_SHARDS``."""
+    n, none = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
     shards = max(1, min(MAX_SHARDS, n // SHARD_DOCS))
     if shards == 1:
-        return np.zeros(0, dtype=np.int64), 1
-    cuts = [k / shards for k in range(1, shards)]
-    found = docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 10 * shards)).alias("b")).first()["b"] or []
-    return np.unique(np.array(found, dtype=np.int64)), shards
+        return np.zeros(0, dtype=np.int64)
+    # nulls are counted apart, as percentiles leave them out
+    alone = min(shards - 1, round(none * shards / n))
+    cuts = [k / (shards - alone) for k in range(1, shards - alone)]
+    found = docs.agg(F.percentile_approx("doc_id", cuts, max(10_000, 10 * shards)).alias("b")).first()["b"] if cuts else None
+    return np.array([_NONE] * alone + (found or []), dtype=np.int64)
+
+
+def _shards(ids: np.ndarray, packed: list[bytes], bounds: np.ndarray) -> np.ndarray:
+    """The shard of each document, from its id and its token ids."""
+    low, high = np.searchsorted(bounds, ids), np.searchsorted(bounds, ids, "right")
+    for k in np.flatnonzero(high - low > 1).tolist():
+        low[k] += zlib.crc32(packed[k]) % (high[k] - low[k])
+    return low
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode ``docs`` (doc_id, text) and write the blocks below ``path``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds, _ = _bounds(docs)
+    bounds = _bounds(docs)
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(("tokens", tokenizer, end_id), lambda: Encoder(tokenizer, end_id))
         for part in slices(batches, "text"):
             ids = part.column("doc_id")
-            shard = np.searchsorted(bounds, pc.fill_null(ids, -(1 << 63)).to_numpy(zero_copy_only=False))
             packed = [encoder.encode(text) for text in part.column("text").to_pylist()]
+            shard = _shards(pc.fill_null(ids, _NONE).to_numpy(zero_copy_only=False), packed, bounds)
             yield pa.RecordBatch.from_arrays([ids, pa.array(shard.astype(np.int32)), pa.array([encoder.dtype.itemsize] * len(packed), pa.int32()), pa.array(packed, pa.binary())], ["doc_id", "shard", "width", "ids"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +223,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         if held:
             yield packed()
 
+    shards = len(bounds) + 1
+    files = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     (
         docs.mapInArrow(tokenised, "doc_id long, shard int, width int, ids binary")
-        .repartition("shard")
+        .repartitionById(files, F.floor(F.col("shard").cast("long") * files / shards).cast("int"))
         .sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "ids")
         .mapInArrow(blocks, BLOCK_SCHEMA)
         .write.option("compression", "zstd")

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
@@ -61,6 +62,33 @@ def test_round_trip(spark, encoder, tmp_path, monkeypatch, block, shard):
     assert found == expected(encoder, [(r[0], r[1]) for r in rows])
 
 
+def test_files_in_order_have_ascending_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(O, "SHARD_DOCS", 20)
+    rows = [(k * 37 % 501, f"text {k}", "en", "s") for k in range(400)] + [(None, f"none {k}", "en", "s") for k in range(90)]
+    O.write_tokens(data.frame(spark, rows).repartition(7), str(tmp_path / "t"), O.tokenizer_path())
+    ids = []
+    for file in sorted((tmp_path / "t").glob("*.parquet")):
+        for row in pq.read_table(file).to_pylist():
+            own = np.frombuffer(row["doc_ids"], dtype="<i8").tolist()
+            ids += [-1] * row["null_ids"] + own[row["null_ids"] :]
+    assert ids == sorted(ids) and len(ids) == len(rows) and len(list((tmp_path / "t").glob("*.parquet"))) > 1
+
+
+def test_one_id_fills_several_shards(spark, encoder, tmp_path, monkeypatch):
+    monkeypatch.setattr(O, "SHARD_DOCS", 20)
+    rows = [(k, f"text {k}", "en", "s") for k in range(100)] + [(50, f"same id {k}", "en", "s") for k in range(200)] + [(None, f"none {k}", "en", "s") for k in range(100)]
+    starts = []
+    for parts in (2, 5):
+        path = str(tmp_path / str(parts))
+        O.write_tokens(data.frame(spark, rows).repartition(parts), path, O.tokenizer_path())
+        assert spark.read.parquet(path).groupBy("shard").agg({"n_tokens": "sum"}).count() > 10
+        found = sorted(map(tuple, O.read_tokens(spark, path).collect()), key=lambda r: r[1])
+        ids = [-1 if r[0] is None else r[0] for r in found]
+        assert ids == sorted(ids) and all(a[1] + a[2] == b[1] for a, b in zip(found, found[1:], strict=False))
+        starts.append(found)
+    assert starts[0] == starts[1]
+
+
 def test_full_generations_change(monkeypatch):
     encoder = O.Encoder(O.tokenizer_path())
     monkeypatch.setattr(O, "CACHE_WORDS", 5)
