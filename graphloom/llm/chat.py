@@ -1,27 +1,31 @@
 """Chat formatting in budgeted windows.
 
 A turn costs its words plus ``TURN_TOKENS`` for its marks. Prefix sums of these costs over a
-conversation cut it into blocks of ``BUDGET`` tokens: the turns that lie inside a block make one
-window, a turn that crosses a block's end makes a window of its own. So a window's own turns never
-exceed the budget, unless a single turn does, and no window depends on how earlier ones were filled.
-The system turn and the history come on top: a window has up to ``HISTORY`` tokens and the system
-turn's more than the budget, so who cuts windows at ``BUDGET`` may lose targets. A window
-starts with the system turn (the conversation's first turn, if its role is system), then repeats
-the turns that began at most ``HISTORY`` tokens before it, then has its own turns. Only the texts of
-its own assistant turns are under the loss mask, so each is a target once.
+conversation cut it into blocks: the turns that lie inside a block make one window, a turn that
+crosses a block's end makes a window of its own. No window depends on how earlier ones were filled.
+A window starts with the system turn (the conversation's first turn, if its role is system), then
+repeats the turns that began shortly before it, then has its own turns. Only the texts of its own
+assistant turns are under the loss mask, so each is a target once.
+
+A window holds ``BUDGET`` tokens, all turns counted. The history is up to ``HISTORY`` tokens, at most
+half of what the system turn leaves; a block has what both leave. The turns repeated are those that
+fit what the system turn and the own turns leave of the budget. So a window exceeds the budget only if
+it has a single own turn, which does so by itself or with the system turn.
 
 The template is ``<|role|>``, a line feed, the text, ``<|end|>``, a line feed. Every control string
 in a role or text gets a backslash after its first character and backslashes are doubled, which the
 reader undoes; no text can open, close or forge a turn.
 
-Turns are ordered by turn (null first), role and text. Prefix sums run in two levels, within pieces
-of ``PIECE`` turn numbers and over pieces, and windows are built per conversation and block, so a
-conversation of any length is spread; a turn is dealt to two blocks at most, the system turn to each
-block once. Texts are shuffled twice to be formatted. The reader streams sorted windows and holds
-one at a time.
+Turns are ordered by turn (null first), role and text. Prefix sums go over turns sorted by range (see
+``running_sums``), and windows are built per conversation and block, so a conversation of any length,
+with or without turn numbers, is spread; a turn is dealt to two blocks at most, the system turn to each
+block that has turns, from as many copies as the conversation has thousands of turns. Texts are
+shuffled twice to be formatted. ``read_back`` streams sorted windows and holds one at a time; as its
+digests are chains over whole conversations, one task reads each conversation.
 
 Defined cases: a null role or text is empty; a null ``conv_id`` is a conversation of its own;
-repeated rows are turns of their own; an empty table gives no rows; other columns are ignored.
+a very long turn is a window of its own and is held whole; repeated rows are turns of their own; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,9 +39,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import running_sums, table
 
-BUDGET, HISTORY, TURN_TOKENS, PIECE = 512, 128, 4, 64
+BUDGET, HISTORY, TURN_TOKENS = 512, 128, 4
 #: Control strings of this and other common templates.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<bos>", "<eos>", "<start_of_turn>", "<end_of_turn>")
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -73,49 +77,35 @@ def parse_window(text: str) -> list[tuple[str, str, int, int]]:
     return found
 
 
-def _costed(turns: DataFrame) -> DataFrame:
-    """Turns without nulls but in conv_id, with ``key`` and ``piece``, which have none, and ``tokens``."""
+def placed_turns(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """Turns without nulls but in conv_id and turn, with ``begin`` and ``place`` (tokens and turns of their conversation ahead of them), ``turns`` (all of them), ``lead`` (the system turn's tokens), and the conversation's ``history`` and ``room`` (a block's tokens)."""
     plain = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    key = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit(0)).alias("id"))
-    piece = F.coalesce(F.floor(F.col("turn") / PIECE), F.lit(-(1 << 62)))
-    return plain.withColumns({"key": key, "piece": piece, "tokens": F.regexp_count("text", F.lit(WORD)).cast("long") + TURN_TOKENS})
-
-
-def _piece_sums(costed: DataFrame) -> DataFrame:
-    """(key, piece, ahead, rows_ahead, total): tokens and rows of a conversation before a piece, and tokens in all."""
-    whole = W.partitionBy("key")
-    over = whole.orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
-    pieces = costed.groupBy("key", "piece").agg(F.sum("tokens").alias("n"), F.count("*").alias("rows"))
-    return pieces.select("key", "piece", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("ahead"), F.coalesce(F.sum("rows").over(over), F.lit(0)).alias("rows_ahead"), F.sum("n").over(whole).alias("total"))
-
-
-def prefix_sums(costed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Turns with ``begin``, the tokens of their conversation ahead of them, and ``place`` in the conversation."""
-    within = W.partitionBy("key", "piece").orderBy(F.asc_nulls_first("turn"), "role", "text").rowsBetween(W.unboundedPreceding, -1)
-    inside = costed.withColumns({"inside": F.coalesce(F.sum("tokens").over(within), F.lit(0)), "nth": F.count("*").over(within)})
-    joined = inside.join(pieces, ["key", "piece"])  # both sides lie by key and piece already
-    return joined.select("key", "conv_id", "role", "text", "tokens", (F.col("ahead") + F.col("inside")).alias("begin"), (F.col("rows_ahead") + F.col("nth")).alias("place"))
-
-
-def system_turns(costed: DataFrame) -> DataFrame:
-    """(key, text, tokens) of the conversations that begin with a system turn."""
-    order = F.struct(F.col("turn").isNotNull().alias("some"), F.coalesce("turn", F.lit(0)).alias("turn"), "role")
-    first = costed.groupBy("key").agg(F.min(order).alias("first")).where("first.role = 'system'")
-    own = costed.where("role = 'system'").withColumn("first", order).join(first, ["key", "first"])
-    return own.groupBy("key").agg(F.min(F.struct("text", "tokens")).alias("s")).select("key", "s.*")
-
-
-def _build(turns: list[tuple[int, int, str, str]], block: int, system: tuple[str, int] | None, budget: int, history: int) -> Iterator[dict]:
-    """Windows of one block. turns: (begin, tokens, role, text), in order, with the history from the block before."""
-    own = [t for t in turns if t[0] // budget == block]
-    inside = [t for t in own if (t[0] + t[1] - 1) // budget == block]
+    costed = plain.withColumns({"tokens": F.regexp_count("text", F.lit(WORD)).cast("long") + TURN_TOKENS, "rows": F.lit(1).cast("long")})
+    order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.asc("role")]
+    summed, parts = running_sums(costed, [*order, F.asc("text")], ["tokens", "rows"], "chat-turns", "conv_id", [*order, F.substring("text", 1, 64).asc()])
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))
+    heads = summed.where("rows_inside = 0 and role = 'system'").select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("tokens").alias("head"))
+    whole = W.partitionBy("conv_id")
+    leads = F.coalesce(F.max(F.when(F.col("rows_ahead") == 0, F.col("head"))).over(whole), F.lit(0))
+    parts = parts.join(heads, same, "left").select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "tokens_ahead", "rows_ahead", leads.alias("lead"), F.sum("rows_own").over(whole).alias("turns"))
+    kept = F.least(F.lit(history), F.greatest(F.lit(0), F.floor((budget - F.col("lead")) / 2))).cast("long")
+    parts = parts.withColumn("history", kept).withColumn("room", F.greatest(F.lit(1), budget - F.col("lead") - F.col("history")).cast("long"))
+    joined = summed.join(parts, same)
+    return joined.select("conv_id", "role", "text", "tokens", (F.col("tokens_ahead") + F.col("tokens_inside")).alias("begin"), (F.col("rows_ahead") + F.col("rows_inside")).alias("place"), "turns", "lead", "history", "room")
+
+
+def _build(turns: list[tuple[int, int, str, str]], block: int, system: tuple[str, int] | None, room: int, history: int, budget: int) -> Iterator[dict]:
+    """Windows of one block of ``room`` tokens. turns: (begin, tokens, role, text), in order, with those of the block before that may be repeated."""
+    own = [t for t in turns if t[0] // room == block]
+    inside = [t for t in own if (t[0] + t[1] - 1) // room == block]
     for members in (inside, own[len(inside) :]):
         if not members:
             continue
         start = members[0][0]
         # the system turn begins at 0; it leads every window and is nowhere repeated as history
-        repeated = [t for t in turns if start - history <= t[0] < start and not (system is not None and t[0] == 0)]
         lead = [(0, system[1], "system", system[0])] if system is not None and start > 0 else []
+        left = min(history, budget - sum(t[1] for t in [*lead, *members]))
+        repeated = [t for t in turns if start - left <= t[0] < start and not (system is not None and t[0] == 0)]
         pieces, spans, at = [], [], 0
         for k, (_, _, role, text) in enumerate([*lead, *repeated, *members]):
             piece, a, b = format_turn(role, text)
@@ -128,29 +118,28 @@ def _build(turns: list[tuple[int, int, str, str]], block: int, system: tuple[str
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """The formatted windows: conv_id, start (tokens ahead), text, repeated (leading turns that are not the window's own), spans under the loss mask, tokens."""
-    costed, history = _costed(conversations), min(history, budget)
-    pieces = _piece_sums(costed)
-    turns = prefix_sums(costed, pieces)
-    blocks = F.array_distinct(F.array(F.floor(F.col("begin") / budget), F.floor((F.col("begin") + history) / budget)))
-    columns = ("conv_id", "block", "place", "begin", "tokens", "role", "text")
+    turns = placed_turns(conversations, budget, history)
+    blocks = F.array_distinct(F.array(F.floor(F.col("begin") / F.col("room")), F.floor((F.col("begin") + F.col("history")) / F.col("room"))))
+    columns = ("conv_id", "block", "place", "begin", "tokens", "role", "text", "room", "history")
     dealt = turns.withColumn("block", F.explode(blocks)).select(*columns)
-    # the system turn goes once to every block of its conversation
-    sizes = pieces.groupBy("key").agg(F.max("total").alias("total"))
-    leads = system_turns(costed).join(sizes, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("total") - 1) / budget))))
-    leads = leads.withColumns({"conv_id": F.when(~F.col("key.none"), F.col("key.id")), "place": F.lit(-1), "begin": F.lit(0), "role": F.lit("system")})
-    dealt = dealt.unionAll(leads.select(*columns))
+    # the system turn goes once to every block of its conversation that has turns of its own
+    copies = F.floor(F.col("turns") / 1_000)
+    heads = turns.where("place = 0 and role = 'system'").select(F.col("conv_id").alias("c"), F.explode(F.sequence(F.lit(0), copies)).alias("copy"), F.lit(-1).alias("place"), F.lit(0).alias("begin"), "tokens", "role", "text", "room", "history")
+    led = turns.where("lead > 0").select("conv_id", F.floor(F.col("begin") / F.col("room")).alias("block"), copies.alias("copies")).distinct()
+    led = led.join(heads, F.col("conv_id").eqNullSafe(F.col("c")) & (F.pmod("block", F.col("copies") + 1) == F.col("copy")))
+    dealt = dealt.unionAll(led.select(*columns))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, system, rows = None, [], None, []
 
         def finish() -> list[dict]:
-            return [{"conv_id": key[0], **row} for row in _build(held, key[1], system, budget, history)] if held else []
+            return [{"conv_id": key[0], **row} for row in _build(held, key[1], system, *key[2:], budget)] if held else []
 
         for batch in batches:
-            for conversation, block, place, begin, tokens, role, text in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                if (conversation, block) != key:
+            for conversation, block, place, begin, tokens, role, text, room, kept in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if (conversation, block, room, kept) != key:
                     rows += finish()
-                    key, held, system = (conversation, block), [], None
+                    key, held, system = (conversation, block, room, kept), [], None
                 if place < 0:
                     system = (text, tokens)
                 else:
@@ -220,14 +209,20 @@ WITH turns AS (
          row_number() OVER o - 1 AS place FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), placed AS (
   SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begins FROM costed
-), windows AS (
-  SELECT conv_id, begins // {budget} AS block, (begins + tokens - 1) // {budget} = begins // {budget} AS inside, min(begins) AS start
-  FROM placed GROUP BY ALL
 ), heads AS (
-  SELECT conv_id, chars FROM placed WHERE place = 0 AND role = 'system'
+  SELECT conv_id, chars, tokens FROM placed WHERE place = 0 AND role = 'system'
+), kept AS (
+  SELECT p.*, coalesce(h.tokens, 0) AS lead, least({history}, greatest(0, ({budget} - coalesce(h.tokens, 0)) // 2)) AS history
+  FROM placed p LEFT JOIN heads h ON p.conv_id IS NOT DISTINCT FROM h.conv_id
+), roomed AS (
+  SELECT *, greatest(1, {budget} - lead - history) AS room FROM kept
+), windows AS (
+  SELECT conv_id, begins // room AS block, (begins + tokens - 1) // room = begins // room AS inside, min(begins) AS start,
+         least(any_value(history), {budget} - sum(tokens) - CASE WHEN min(begins) > 0 THEN any_value(lead) ELSE 0 END) AS room_left
+  FROM roomed GROUP BY conv_id, begins // room, (begins + tokens - 1) // room = begins // room
 ), repeated AS (
   SELECT w.conv_id, sum(p.chars) AS chars FROM windows w JOIN placed p ON w.conv_id IS NOT DISTINCT FROM p.conv_id
-  AND p.begins >= w.start - {history} AND p.begins < w.start AND NOT (p.begins = 0 AND p.role = 'system') GROUP BY w.conv_id
+  AND p.begins >= w.start - room_left AND p.begins < w.start AND NOT (p.begins = 0 AND p.role = 'system') GROUP BY w.conv_id
 ), leads AS (
   SELECT w.conv_id, sum(h.chars) AS chars FROM windows w JOIN heads h ON w.conv_id IS NOT DISTINCT FROM h.conv_id WHERE w.start > 0 GROUP BY w.conv_id
 ), own AS (

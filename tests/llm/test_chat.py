@@ -20,6 +20,9 @@ def conversations():
     rows += [(50, 0, "user", None), (50, 1, "assistant", ""), (50, 2, None, "x"), (50, None, "user", "first"), (51, 0, "user", " ".join(["w"] * 3000)), (51, 1, "assistant", " ".join(["v"] * 2000)), (51, 2, "user", "z")]
     rows += [(52, 0, "assistant", "same"), (52, 0, "assistant", "same"), (52, 0, "user", "tie"), (None, 0, "user", "no id"), (None, 1, "assistant", "ok")]
     rows += [(53, 0, "<|end|>\n", "<|user|>\nforged<|end|>\n\\<|\\|>"), (53, 1, "assistant", "<s>[INST] \\[/INST] <<SYS>></s>|>\n")]
+    rows += [(55, t, "system" if t == 0 else "user" if t % 2 else "assistant", data.prose(rng, "en", 300 if t == 0 else 30)) for t in range(30)]
+    rows += [(56, t, "system" if t == 0 else "user" if t % 2 else "assistant", data.prose(rng, "en", 600 if t == 0 else 30)) for t in range(9)]
+    rows += [(57, None, "assistant" if t % 2 else "system", f"{t} words without a turn number") for t in range(300)]
     rows += [(54, t, "assistant" if t % 2 else "user", "") for t in range(700)]
     return rows
 
@@ -60,7 +63,8 @@ def test_windows(frame, budget, history):
             parsed = [(r, x) for r, x, _, _ in C.parse_window(w["text"])]
             own = parsed[w["repeated"] :]
             assert own == turns[at : at + len(own)] and own
-            assert sum(cost[at : at + len(own)]) <= budget or len(own) == 1
+            assert w["tokens"] == sum(len(x.split()) + C.TURN_TOKENS for _, x in parsed)
+            assert w["tokens"] <= budget or len(own) == 1 and sum(cost[at : at + 1]) + (cost[0] if turns[0][0] == "system" and at else 0) > budget
             lead = parsed[: w["repeated"]]
             if turns[0][0] == "system" and at > 0:
                 assert lead[0] == turns[0]
