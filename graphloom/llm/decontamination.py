@@ -11,13 +11,17 @@ of those alone. The second probes every document shingle against the rarest ones
 length and positional bounds (the window must start at word 0 or later and end by the last word),
 and compares the window word by word.
 
-The benchmark's index is sent to the executors in blocks of ``BLOCK_WORDS`` item words, so what is
-broadcast has a fixed bound; a larger benchmark takes one more pass for each further block, and the
-hits are united as bit sets. Documents are read, never shuffled with their texts.
+The benchmark's index is sent to the executors in blocks of ``BLOCK_WORDS`` item words (a longer item
+is a block of its own), one block at a time, so what is broadcast and what a worker holds has a fixed
+bound. Each block takes two passes over the documents; with more than one, the hits of each text are
+written as bit sets and united by a hash of the text. Documents are read, never shuffled with their
+texts.
 
 Defined cases: a null text has no words and is clean; an item without words has no window; equal
 items and repeated rows each count; a null ``item_id`` marks hits but is not listed; an empty
-benchmark leaves all documents clean; columns other than ids and texts are ignored.
+benchmark leaves all documents clean; a very long text is judged whole, a task holding one at a time
+beside its batch; an empty table gives no rows; columns other than ids and texts are ignored, and kept
+by the stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,18 +29,19 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import slices, table
+from graphloom.llm.common import lookup, slices, table
+from graphloom.session import materialise
 
-WINDOW_WORDS, SHINGLE_WORDS, BLOCK_WORDS = 13, 4, 2_000_000
+WINDOW_WORDS, SHINGLE_WORDS, BLOCK_WORDS = 13, 4, 1_000_000
 #: A document is contaminated if one word in so many is hit.
 HIT_SHARE = 20
 #: Of UTF-8 bytes: A-Z in lower case, digits, a-z and bytes of other characters as they are, all else a space.
@@ -64,13 +69,19 @@ def _shingles(ids: np.ndarray, width: int) -> np.ndarray:
 class Index:
     """The windows of a block of items, by word numbers.
 
-    ``by_width`` has for each shingle width the sorted mixes of prefix shingles; position k there
-    belongs to ``entries[start[k]:start[k + 1]]``, rows of (window, offset of the shingle in it).
+    ``words`` has the numbers of all item words in a row. A window is a place there (``starts``) and a length (``sizes``);
+    equal windows are one. ``owners[owner_starts[k]:owner_starts[k + 1]]`` are the items, places in ``names``, of window k.
+    ``by_width`` has for each shingle width the sorted mixes of prefix shingles; position k there belongs to
+    ``entries[start[k]:start[k + 1]]``, rows of (window, offset of the shingle in it).
     """
 
     vocabulary: dict[bytes, int]
-    windows: list[np.ndarray]
-    items: list[list[str]]
+    words: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    names: list[str]
+    owner_starts: np.ndarray
+    owners: np.ndarray
     by_width: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def numbers(self, text: str | None) -> np.ndarray:
@@ -78,6 +89,9 @@ class Index:
         own = words(text)
         return np.fromiter(map(self.vocabulary.get, own, repeat(-1)), dtype=np.int64, count=len(own))
 
+    def window(self, k: int) -> np.ndarray:
+        return self.words[self.starts[k] : self.starts[k] + self.sizes[k]]
+
     def probes(self, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and mixes of the shingles of ``ids`` whose words are all the benchmark's."""
         n = len(ids) - width + 1
@@ -91,47 +105,62 @@ class Index:
         return at, _shingles(ids, width)[at]
 
 
+def _distinct(numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each window the number of the first that is equal to it."""
+    first = np.arange(len(starts))
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        _, lead, same = np.unique(_shingles(numbers, size)[starts[own]], return_index=True, return_inverse=True)
+        other = own[lead[same]]
+        equal = np.ones(len(own), dtype=bool)
+        for k in range(size):  # windows that share a hash alone stay apart
+            equal &= numbers[starts[own] + k] == numbers[starts[other] + k]
+        first[own[equal]] = other[equal]
+    return first
+
+
 def build(items: list[tuple[str | None, str | None]]) -> Index:
     """Windows of a block of items (item_id as text, text), not yet by prefix shingle."""
     vocabulary: dict[bytes, int] = {}
-    found: dict[bytes, int] = {}
-    windows: list[np.ndarray] = []
-    owners: list[set[str]] = []
-    for item, text in items:
-        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(text)], dtype=np.int64)
-        if not len(ids):
-            continue
-        width = min(WINDOW_WORDS, len(ids))
-        for k in range(len(ids) - width + 1):
-            window = ids[k : k + width]
-            at = found.setdefault(window.tobytes(), len(windows))
-            if at == len(windows):
-                windows.append(window)
-                owners.append(set())
-            if item is not None:
-                owners[at].add(item)
-    return Index(vocabulary, windows, [sorted(x) for x in owners])
-
-
-def order_by_rarity(index: Index, counts: dict[tuple[int, int], int]) -> None:
-    """Choose each window's prefix shingle: the one with the least count, of equals the first."""
-    chosen: dict[int, dict[int, list[tuple[int, int]]]] = {}
-    for number, window in enumerate(index.windows):
-        width = min(SHINGLE_WORDS, len(window))
-        mixes = _shingles(window, width).tolist()
-        offset = min(range(len(mixes)), key=lambda k: (counts.get((width, mixes[k]), 0), k))
-        chosen.setdefault(width, {}).setdefault(mixes[offset], []).append((number, offset))
-    for width, own in chosen.items():
-        keys = np.array(sorted(own), dtype=np.uint64)
-        entries = [own[int(k)] for k in keys]
-        index.by_width[width] = (keys, np.cumsum([0, *map(len, entries)]), np.array([e for x in entries for e in x], dtype=np.int64))
+    held = [[vocabulary.setdefault(w, len(vocabulary)) for w in words(text)] for _, text in items]
+    lengths = np.array([len(x) for x in held], dtype=np.int64)
+    numbers = np.fromiter((n for x in held for n in x), dtype=np.int64, count=int(lengths.sum()))
+    item = np.repeat(np.arange(len(items)), lengths)
+    size = np.minimum(WINDOW_WORDS, lengths)[item]
+    starts = np.flatnonzero(np.arange(len(numbers)) + size <= np.cumsum(lengths)[item])
+    first = _distinct(numbers, starts, size[starts])
+    kept, window = np.unique(first, return_inverse=True)
+    named = np.array([name is not None for name, _ in items], dtype=bool)[item[starts]] if len(items) else np.zeros(0, dtype=bool)
+    pairs = np.unique(np.stack([window[named], item[starts][named]], axis=1), axis=0)
+    owner_starts = np.searchsorted(pairs[:, 0], np.arange(len(kept) + 1))
+    return Index(vocabulary, numbers, starts[kept], size[starts][kept], [name or "" for name, _ in items], owner_starts, pairs[:, 1])
+
+
+def order_by_rarity(index: Index, counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+    """Choose each window's prefix shingle: the one with the least count, of equals the first. counts: by width, sorted mixes and their numbers."""
+    widths = np.minimum(SHINGLE_WORDS, index.sizes)
+    for width in np.unique(widths).tolist():
+        mixes = _shingles(index.words, width)
+        keys, n = counts.get(width, (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)))
+        count = np.zeros(len(mixes), dtype=np.int64)
+        if len(keys):
+            place = np.minimum(np.searchsorted(keys, mixes), len(keys) - 1)
+            count = np.where(keys[place] == mixes, n[place], 0)
+        chosen, offset = np.flatnonzero(widths == width), np.zeros(len(index.starts), dtype=np.int64)
+        for size in np.unique(index.sizes[chosen]).tolist():
+            own = chosen[index.sizes[chosen] == size]
+            offset[own] = np.argmin(np.stack([count[index.starts[own] + k] for k in range(size - width + 1)], axis=1), axis=1)
+        mix = mixes[index.starts[chosen] + offset[chosen]]
+        order = np.argsort(mix, kind="stable")
+        found, start = np.unique(mix[order], return_index=True)
+        index.by_width[width] = (found, np.append(start, len(mix)), np.stack([chosen[order], offset[chosen][order]], axis=1))
 
 
 def mark(index: Index, text: str | None) -> tuple[np.ndarray, set[str]]:
     """Which words of a text are hit, and the items that have an occurring window."""
     ids = index.numbers(text)
     edge = np.zeros(len(ids) + 1, dtype=np.int64)
-    hit: set[str] = set()
+    hit: set[int] = set()
     for width, (keys, start, entries) in index.by_width.items():
         at, mixes = index.probes(ids, width)
         if not len(at):
@@ -140,35 +169,40 @@ def mark(index: Index, text: str | None) -> tuple[np.ndarray, set[str]]:
         same = keys[place] == mixes
         for position, k in zip(at[same].tolist(), place[same].tolist(), strict=True):
             for number, offset in entries[start[k] : start[k + 1]].tolist():
-                window, first = index.windows[number], position - offset
+                window, first = index.window(number), position - offset
                 if first < 0 or first + len(window) > len(ids) or not np.array_equal(ids[first : first + len(window)], window):
                     continue
                 edge[first] += 1
                 edge[first + len(window)] -= 1
-                hit.update(index.items[number])
-    return np.cumsum(edge[:-1]) > 0, hit
+                hit.update(index.owners[index.owner_starts[number] : index.owner_starts[number + 1]].tolist())
+    return np.cumsum(edge[:-1]) > 0, {index.names[k] for k in hit}
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str | None]]]:
     """Items in blocks of about ``BLOCK_WORDS`` words, one block at a time on the driver."""
     block, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null").toLocalIterator():
-        block.append((row[0], row[1]))
-        size += len(words(row[1]))
-        if size >= BLOCK_WORDS:
+        own = len(words(row[1]))
+        if block and size + own > BLOCK_WORDS:
             yield block
             block, size = [], 0
-    if block:
-        yield block
+        block.append((row[0], row[1]))
+        size += own
+    yield block
 
 
-def _rarity(docs: DataFrame, index: Index) -> dict[tuple[int, int], int]:
-    """How often each shingle of the benchmark occurs in all documents; keys are (width, mix)."""
+def _rarity(docs: DataFrame, index: Index) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """How often each shingle of the block's windows occurs in all documents: by width, sorted mixes and their numbers."""
     wanted: dict[int, np.ndarray] = {}
-    for window in index.windows:
-        wanted.setdefault(min(SHINGLE_WORDS, len(window)), []).append(_shingles(window, min(SHINGLE_WORDS, len(window))))
-    wanted = {width: np.unique(np.concatenate(own)) for width, own in wanted.items()}
-    shipped = docs.sparkSession.sparkContext.broadcast((Index(index.vocabulary, [], []), wanted))
+    for size in np.unique(index.sizes).tolist():
+        width, own = min(SHINGLE_WORDS, size), index.starts[index.sizes == size]
+        mixes = _shingles(index.words, width)
+        held = [mixes[own + k] for k in range(size - width + 1)] + ([wanted[width]] if width in wanted else [])
+        wanted[width] = np.unique(np.concatenate(held))
+    if not wanted:
+        return {}
+    none = np.zeros(0, dtype=np.int64)
+    shipped = docs.sparkSession.sparkContext.broadcast((Index(index.vocabulary, none, none, none, [], none, none), wanted))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, keys = shipped.value
@@ -185,48 +219,90 @@ def _rarity(docs: DataFrame, index: Index) -> dict[tuple[int, int], int]:
             if len(seen):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), width, dtype=np.int32)), pa.array(keys[width][seen].view(np.int64)), pa.array(n[seen])], ["width", "mix", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "width int, mix long, n long").groupBy("width", "mix").agg(F.sum("n").alias("n")).collect()
-    return {(r["width"], r["mix"] & 0xFFFFFFFFFFFFFFFF): r["n"] for r in rows}
+    found = docs.select("text").mapInArrow(count, "width int, mix long, n long").groupBy("width", "mix").agg(F.sum("n").alias("n")).toArrow()
+    shipped.unpersist()
+    width, mix, n = (c.to_numpy() for c in found.columns)
+    by_width = {}
+    for w, keys in wanted.items():
+        own, counted = mix[width == w].view(np.uint64), np.zeros(len(keys), dtype=np.int64)
+        counted[np.searchsorted(keys, own)] = n[width == w]
+        by_width[w] = keys, counted
+    return by_width
 
 
-def _result(ids: list, total: list[int], hit: list[int], items: list[set[str]]) -> pa.RecordBatch:
+def _result(ids: pa.Array, total: list[int], hit: list[int], items: list[set[str]]) -> pa.RecordBatch:
     listed = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
     dirty = [h > 0 and HIT_SHARE * h >= n for n, h in zip(total, hit, strict=True)]
     return pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(listed, pa.string()), pa.array(dirty, pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame) -> list[Broadcast]:
-    """The benchmark's blocks, ordered by rarity in ``docs``, as broadcasts."""
-    shipped = []
-    for block in _blocks(benchmark):
+def _indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Broadcast, bool]]:
+    """The benchmark's blocks, ordered by rarity in ``docs``, as broadcasts, one at a time; and whether it is the last."""
+    blocks = _blocks(benchmark)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
         index = build(block)
         order_by_rarity(index, _rarity(docs, index))
-        shipped.append(docs.sparkSession.sparkContext.broadcast(index))
-    return shipped
+        shipped = docs.sparkSession.sparkContext.broadcast(index)
+        yield shipped, following is None
+        if following is not None:
+            shipped.unpersist()
+        block = following
+
+
+def _hits(docs: DataFrame, shipped: Broadcast, everything: bool) -> DataFrame:
+    """(doc_id, a, b, n_words, bits, items) of the documents that a block hits, or of all; a and b are hashes of the text."""
+    names = ["doc_id", "a", "b", "n_words", "bits", "items"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            found = [mark(shipped.value, t) for t in part.column("text").to_pylist()]
+            keep = pa.array([everything or bool(hit.any()) for hit, _ in found], pa.bool_())
+            bits = pa.array([np.packbits(hit).tobytes() if hit.any() else None for hit, _ in found], pa.binary())
+            own = [pa.array([len(hit) for hit, _ in found], pa.int64()), bits, pa.array([sorted(items) for _, items in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), *own], names).filter(keep)
+
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), "text")
+    return hashed.mapInArrow(run, "doc_id long, a long, b long, n_words long, bits binary, items array<string>")
+
 
+def _united(base: DataFrame, others: list[DataFrame]) -> DataFrame:
+    """The result from the hits of several blocks; base has a row for every document."""
+    key = F.struct("a", "b").alias("key")
+    each = [t.where("bits is not null").groupBy(key).agg(F.first("bits").alias("bits"), F.first("items").alias("items"), F.count("*").alias("rows")) for t in (base, *others)]
+    merged = reduce(DataFrame.union, each).groupBy("key").agg(F.collect_list("bits").alias("bits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("rows").alias("rows"))
+    merged = materialise(merged, "decontamination-hits")
+    joined = lookup(base.select("doc_id", "n_words", key), merged, "key", "rows", base.count(), "left").select("doc_id", "n_words", "bits", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = []
+            for bits in batch.column("bits").to_pylist():
+                hit.append(int(np.bitwise_count(np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in bits])).sum()) if bits else 0)
+            yield _result(batch.column("doc_id"), batch.column("n_words").to_pylist(), hit, [set(x or ()) for x in batch.column("items").to_pylist()])
 
-def _judged(part: pa.RecordBatch, ids: pa.Array, shipped: list[Broadcast]) -> pa.RecordBatch:
-    total, hits, items = [], [], []
-    for text in part.column("text").to_pylist():
-        hit, own = None, set()
-        for index in shipped:
-            marked, found = mark(index.value, text)
-            hit = marked if hit is None else hit | marked
-            own |= found
-        total.append(len(words(text)) if hit is None else len(hit))
-        hits.append(0 if hit is None else int(hit.sum()))
-        items.append(own)
-    return _result(ids, total, hits, items)
+    return joined.mapInArrow(run, RESULT)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shipped = _indexes(docs, benchmark)
+    held: list[DataFrame] = []
+    for shipped, last in _indexes(docs, benchmark):
+        if last and not held:
+            return _judged(docs, shipped)
+        held.append(materialise(_hits(docs, shipped, not held), "decontamination-block"))
+    return _united(held[0], held[1:])
+
+
+def _judged(docs: DataFrame, shipped: Broadcast) -> DataFrame:
+    """The result from the only block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            yield _judged(part, part.column("doc_id"), shipped)
+            found = [mark(shipped.value, t) for t in part.column("text").to_pylist()]
+            yield _result(part.column("doc_id"), [len(h) for h, _ in found], [int(h.sum()) for h, _ in found], [x for _, x in found])
 
     return docs.mapInArrow(run, RESULT)
 
@@ -234,16 +310,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold any window of an item, each judged where it lies; nothing is shuffled.
 
-    The share that makes ``contaminated`` does not count here: a passage is a leak in a text of any length.
+    The share that makes ``contaminated`` does not count here: a passage is a leak in a text of any length. Between two
+    blocks of the benchmark what is left is written.
     """
-    shipped = _indexes(docs.select("text"), benchmark)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            hit = _judged(part, pa.nulls(part.num_rows, pa.int64()), shipped).column("n_hit")
-            yield part.filter(pc.equal(hit, 0))
+    def without(shipped: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, "text"):
+                yield part.filter(pa.array([not mark(shipped.value, t)[0].any() for t in part.column("text").to_pylist()], pa.bool_()))
+
+        return left.mapInArrow(run, left.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    left = docs
+    for shipped, last in _indexes(docs.select("text"), benchmark):
+        left = without(shipped) if last else materialise(without(shipped), "decontamination-left")
+    return left
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

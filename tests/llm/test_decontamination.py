@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from graphloom.llm import decontamination as D
@@ -59,15 +60,28 @@ def test_against_direct_search(spark, tables, monkeypatch):
 
 def test_prefix_is_the_rarest_shingle():
     index = D.build([("a", " ".join(f"w{k}" for k in range(13)))])
-    mixes = D._shingles(index.windows[0], 4).tolist()
-    D.order_by_rarity(index, {(4, m): 9 for m in mixes if m != mixes[6]} | {(4, mixes[6]): 2})
+    mixes = D._shingles(index.window(0), 4)
+    order = np.argsort(mixes)
+    D.order_by_rarity(index, {4: (mixes[order], np.where(order == 6, 2, 9))})
     keys, _, entries = index.by_width[4]
     assert keys.tolist() == [mixes[6]] and entries.tolist() == [[0, 6]]
 
 
-def test_stage_keeps_clean_rows(spark, tables):
+def test_equal_windows_are_one_and_keep_their_items():
+    text = " ".join(f"w{k}" for k in range(15))
+    index = D.build([("a", text), (None, text), ("b", text + " x"), ("c", "w0"), ("d", None)])
+    assert sorted(zip(index.sizes.tolist(), np.diff(index.owner_starts).tolist(), strict=True)) == [(1, 1), (13, 1), (13, 2), (13, 2), (13, 2)]
+
+
+def test_stage_keeps_clean_rows(spark, tables, monkeypatch):
     docs, items = tables
     rows = docs + [(None, items[3][1], "en", "s"), docs[0]]
+    for block in (D.BLOCK_WORDS, 60):
+        monkeypatch.setattr(D, "BLOCK_WORDS", block)
+        check_clean(spark, rows, items)
+
+
+def check_clean(spark, rows, items):
     kept = D.clean(data.frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(str(r[0]) for r in kept.select("doc_id").collect()) == sorted(str(k) for k, t, *_ in rows if not brute(t, items)[1])
     assert kept.columns == data.frame(spark, rows).columns
