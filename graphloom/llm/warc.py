@@ -4,19 +4,25 @@ Writing: a page gives a request, a response (or a revisit of an earlier response
 payload) and a metadata record, tied by WARC-Concurrent-To. Of payloads of ``REVISIT_BYTES`` or more
 that are equal, the page with the least id is the response. Records are made by DataFrame expressions
 and written as gzipped text whose line separator is a record's end, so files appear through Spark's
-committer on any file system. Payloads are shuffled only if more than ``BROADCAST_ROWS`` digests
-repeat; else the repeated digests alone are sent around.
+committer on any file system; a file is one gzip member. A filter of bounded size tells which digests
+surely do not repeat; those pages are written where they lie, the others are joined to the repeated
+digests, the most frequent of which are broadcast.
 
 Reading: gzipped files are not split, so a task sees whole files in order. It parses them as one
-stream by Content-Length, whatever payloads contain, and holds one record at a time.
+stream by Content-Length, whatever payloads contain, and holds one record at a time. What is no record
+(no version line, no valid Content-Length, no end where the length says, an archive that ends within a
+record) gives a row of type ``damaged`` with the number of bytes, and reading goes on at the next
+record.
 
 Assembly: request and metadata records are joined to the response or revisit that they are
 concurrent to, and each capture becomes one nested row.
 
 Defined cases: a null html is an empty payload; a null url has no WARC-Target-URI; line breaks in a
 url are percent-encoded; a null ``page_id`` has no page-id field and reads back as null; of repeated
-rows that share id and payload one is the response and the others revisit it; a capture without
-request or metadata has null there; an empty table gives an empty archive; other columns are ignored.
+rows that share id and payload one is the response and the others revisit it; rows that are equal in
+all are made one, counted, and dealt out again by the thousand; a very long html is one record, held
+whole; a capture without request or metadata has null there; an empty table gives an empty archive;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,25 +32,25 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table
+from graphloom.llm.common import lookup, may_hold, table
 from graphloom.session import fresh_path, materialise
 
-REVISIT_BYTES, BROADCAST_ROWS, FILE_RECORDS = 100, 100_000, 9_000
+REVISIT_BYTES, FILE_RECORDS = 100, 9_000
 END = "\r\n\r\n"
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
+DAMAGED = "damaged"
 RECORD_SCHEMA = (
     "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, "
     "payload_bytes long, payload_digest string, intact boolean, fields map<string, string>, payload binary"
 )
 
 
-def _record_id(kind: str, page: str = "page_id", n: str = "n") -> Column:
-    h = F.md5(F.concat_ws(":", F.lit(kind), F.coalesce(F.col(page).cast("string"), F.lit("-")), F.col(n).cast("string")).cast("binary"))
+def _record_id(kind: str, page: Column, url: Column, digest: Column, n: Column) -> Column:
+    h = F.md5(F.concat_ws(":", F.lit(kind), F.coalesce(page.cast("string"), F.lit("-")), url, digest, n.cast("string")).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), *[x for a, b in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.substring(h, a, b), F.lit("-"))][:-1], F.lit(">"))
 
 
@@ -55,41 +61,58 @@ def _record(kind: Column | str, record_id: Column, block: Column, content_type:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
 
 
-def _numbered(pages: DataFrame) -> DataFrame:
-    """Pages with ``n``, which tells rows of one id apart."""
-    if pages.groupBy("page_id").count().where("count > 1").isEmpty():
-        return pages.withColumn("n", F.lit(0))
-    return pages.withColumn("n", F.row_number().over(W.partitionBy("page_id").orderBy("digest", "url")) - 1)
+def _joined_where_held(df: DataFrame, key: str, held: DataFrame, rows: str, total: int, name: str) -> DataFrame:
+    """Left join with ``held``, whose ``key`` is unique and has ``rows`` in ``df``; only rows that it may hold are moved."""
+    flagged = may_hold(df, F.col(key), held, key, held.count(), "maybe")
+    doubtful = materialise(flagged.where("maybe").drop("maybe"), name)
+    found = lookup(doubtful, held, key, rows, total, "left")
+    apart = flagged.where("not maybe").drop("maybe").select(key, *[c for c in df.columns if c != key], *[F.lit(None).cast(f.dataType).alias(f.name) for f in held.schema.fields if f.name != key])
+    return apart.union(found)
+
+
+def _dealt(read: DataFrame, equal: DataFrame, total: int) -> DataFrame:
+    """Rows with ``n``, which counts rows that are equal in page_id, url and digest."""
+    if equal.isEmpty():
+        return read.withColumn("n", F.lit(0))
+    marked = _joined_where_held(read, "same", equal, "rows", total, "warc-equal")
+    own = [c for c in read.columns if c != "same"]
+    one = marked.where("rows is not null").groupBy("same", "rows").agg(F.first(F.struct(*own)).alias("row"))
+    chunks = one.select("row.*", "same", "rows", F.explode(F.expr("sequence(0, cast((rows - 1) div 1000 as int))")).alias("chunk")).repartition("same", "chunk")
+    each = F.explode(F.expr("sequence(chunk * 1000, cast(least(rows, chunk * 1000 + 1000) - 1 as int))"))
+    return marked.where("rows is null").select(*read.columns, F.lit(0).alias("n")).union(chunks.select(*read.columns, each.alias("n")))
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Pages with payload, digest, bytes, n, and ``first`` and ``first_n`` of the response that a revisit refers to."""
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    read = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    read = _numbered(read.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "bytes": F.octet_length("payload").cast("long")}))
-    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n")).alias("least")
-    repeated = read.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.count("*").alias("k"), least).where("k > 1")
-    repeated = materialise(repeated.select("digest", F.col("least.page_id").alias("first"), F.col("least.n").alias("first_n")), "warc-repeated")
-    few = repeated.count() <= BROADCAST_ROWS
-    return read.join(F.broadcast(repeated) if few else repeated, "digest", "left")
+    """Pages with payload, digest, bytes, key (a hash of the url), n, and ``first``, ``first_key`` of the response that a revisit refers to."""
+    read = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).alias("payload"))
+    read = read.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "bytes": F.octet_length("payload").cast("long"), "key": F.md5(F.concat_ws(":", F.col("url").isNull().cast("string"), "url").cast("binary"))})
+    read = read.withColumn("same", F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "key", "digest"))
+    seen = materialise(read.select("page_id", "digest", "bytes", "key", "same"), "warc-digests")
+    total = seen.count()
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "key")).alias("least")
+    repeated = seen.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.count("*").alias("k"), least).where("k > 1")
+    repeated = materialise(repeated.select("digest", "k", F.col("least.page_id").alias("first"), F.col("least.key").alias("first_key")), "warc-repeated")
+    equal = materialise(seen.groupBy("same").agg(F.count("*").alias("rows")).where("rows > 1"), "warc-equal-rows")
+    return _joined_where_held(_dealt(read, equal, total), "digest", repeated, "k", total, "warc-doubtful").drop("k")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write the captures of (page_id, url, html) as gzipped archives below ``path``."""
-    found = captures(pages).withColumn("revisit", F.col("first_n").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("first")) & (F.col("n") == F.col("first_n"))))
+    found = captures(pages).withColumn("revisit", F.col("first_key").isNotNull() & ~(F.col("page_id").eqNullSafe(F.col("first")) & (F.col("key") == F.col("first_key")) & (F.col("n") == 0)))
+    ids = {kind: _record_id(kind, F.col("page_id"), F.col("key"), F.col("digest"), F.col("n")) for kind in ("request", "response", "metadata")}
     uri = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     target = F.concat(F.lit("WARC-Target-URI: "), uri)
-    response = _record_id("response")
+    response = ids["response"]
     tied = F.concat(F.lit("WARC-Concurrent-To: "), response)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     path_of = F.coalesce(F.nullif(F.regexp_extract(uri, "(?s)://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
     get = F.concat(F.lit("GET "), path_of, F.lit(" HTTP/1.1\r\nHost: "), F.coalesce(F.regexp_extract(uri, "(?s)://([^/?#]*)", 1), F.lit("")), F.lit(END))
-    refers = [F.when(F.col("revisit"), F.concat(F.lit(name), value)) for name, value in (("WARC-Refers-To: ", _record_id("response", "first", "first_n")), ("WARC-Profile: ", F.lit(PROFILE)))]
+    refers = [F.when(F.col("revisit"), F.concat(F.lit(name), value)) for name, value in (("WARC-Refers-To: ", _record_id("response", F.col("first"), F.col("first_key"), F.col("digest"), F.lit(0))), ("WARC-Profile: ", F.lit(PROFILE)))]
     digest = F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"))
     records = F.array(
-        _record("request", _record_id("request"), get, "application/http;msgtype=request", target, tied),
+        _record("request", ids["request"], get, "application/http;msgtype=request", target, tied),
         _record(F.when(F.col("revisit"), "revisit").otherwise("response"), response, F.concat(http, F.when(F.col("revisit"), "").otherwise(F.col("payload"))), "application/http;msgtype=response", target, digest, *refers),
-        _record("metadata", _record_id("metadata"), F.concat(F.lit("fetched: yes\r\n"), F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))), "application/warc-fields", target, tied),
+        _record("metadata", ids["metadata"], F.concat(F.lit("fetched: yes\r\n"), F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))), "application/warc-fields", target, tied),
     )
     found.select(F.explode(records).alias("value")).write.options(lineSep=END, compression="gzip", maxRecordsPerFile=FILE_RECORDS).text(path)
 
@@ -98,10 +121,15 @@ class Stream:
     """Cuts a stream of archive bytes into records; holds one record."""
 
     def __init__(self) -> None:
-        self.held, self.head, self.wanted = bytearray(), None, 0
+        self.held, self.head, self.wanted, self.size, self.damaged = bytearray(), None, 0, 0, 0
 
-    def feed(self, data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-        """Add bytes; yields (headers by lower-case name, block) of each record that is now whole."""
+    def _skipped(self) -> Iterator[tuple[None, int]]:
+        if self.damaged:
+            yield None, self.damaged
+            self.damaged = 0
+
+    def feed(self, data: bytes) -> Iterator[tuple[dict[str, str] | None, bytes | int]]:
+        """Add bytes; yields (headers by lower-case name, block) of each record that is now whole, or (None, bytes) of what is no record."""
         self.held += data
         while True:
             if self.head is None:
@@ -112,22 +140,38 @@ class Stream:
                 if end < 0:
                     return
                 lines = bytes(self.held[start:end]).decode("utf-8", "replace").split("\r\n")
-                if not lines[0].startswith("WARC/"):
-                    raise ValueError(f"no WARC record where one should begin: {lines[0][:60]!r}")
                 pairs = (x.partition(":") for x in lines[1:])
-                self.head = {k.strip().lower(): v.strip() for k, _, v in pairs}
-                self.wanted = int(self.head["content-length"])
+                head = {k.strip().lower(): v.strip() for k, _, v in pairs}
                 del self.held[: end + 4]
+                length = head.get("content-length", "")
+                if not lines[0].startswith("WARC/") or not (length.isascii() and length.isdigit()):
+                    self.damaged += end + 4 - start
+                    continue
+                self.head, self.wanted, self.size = head, int(length), end + 4 - start
             if len(self.held) < self.wanted + 4:
                 return
+            head, self.head = self.head, None
+            if self.held[self.wanted : self.wanted + 4] != b"\r\n\r\n":
+                self.damaged += self.size  # the length is wrong; what follows the headers is looked through
+                continue
             block = bytes(self.held[: self.wanted])
             del self.held[: self.wanted + 4]
-            head, self.head = self.head, None
+            yield from self._skipped()
             yield head, block
 
+    def finish(self) -> Iterator[tuple[dict[str, str] | None, bytes | int]]:
+        """What is left when the archive has ended."""
+        while self.head is not None:
+            self.head, self.damaged = None, self.damaged + self.size
+            yield from self.feed(b"")
+        self.damaged += len(self.held.strip(b"\r\n"))
+        yield from self._skipped()
+
 
-def _parsed(head: dict[str, str], block: bytes, with_payload: bool) -> dict:
+def _parsed(head: dict[str, str] | None, block: bytes | int, with_payload: bool) -> dict:
     """A row of ``RECORD_SCHEMA``; a revisit's size and digest are what its headers say of the full payload."""
+    if head is None:
+        return {"type": DAMAGED, "payload_bytes": block, "intact": False, "fields": []}
     kind, fields, payload = head.get("warc-type"), {}, b""
     lines, _, rest = block.partition(b"\r\n\r\n")
     if kind in ("response", "revisit", "request"):
@@ -141,33 +185,41 @@ def _parsed(head: dict[str, str], block: bytes, with_payload: bool) -> dict:
     digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
     intact = said is None or said == digest
     if kind == "revisit":
-        digest, size, intact = said, int(fields.get("content-length", 0)), True
+        length = fields.get("content-length", "")
+        digest, size, intact = said, int(length) if length.isascii() and length.isdigit() else 0, True
     row = {"record_id": head.get("warc-record-id"), "type": kind, "concurrent_to": head.get("warc-concurrent-to"), "refers_to": head.get("warc-refers-to"), "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date")}
     return row | {"payload_bytes": size, "payload_digest": digest, "intact": intact, "fields": list(fields.items()), "payload": payload if with_payload else None}
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of the gzipped archives below ``path``, in ``RECORD_SCHEMA``."""
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True, tolerant: bool = False) -> DataFrame:
+    """The records of the gzipped archives below ``path``, in ``RECORD_SCHEMA``.
+
+    tolerant: a file whose compression is broken is read up to there. That passes over errors of the file system too, so
+    it is off by default and such a file is an error.
+    """
     text, number, flag = pa.string(), pa.int64(), pa.bool_()
     types = [text] * 6 + [number, text, flag, pa.map_(text, text), pa.binary()]
     schema = pa.schema([(x.split()[0], t) for x, t in zip(RECORD_SCHEMA.replace("map<string, string>", "map").split(", "), types, strict=True)])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, rows, size = Stream(), [], 0
+        stream, rows, size, file = Stream(), [], 0, None
         for batch in batches:
-            for piece in batch.column(0):
+            for piece, own in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = stream.finish() if own != file else ()
+                rows += [_parsed(head, block, with_payload) for head, block in found]
+                stream, file = (Stream(), own) if own != file else (stream, file)
                 for head, block in stream.feed(piece.as_py() + b"\r\n\r\n"):
                     rows.append(_parsed(head, block, with_payload))
-                    size += len(block) if with_payload else 200
+                    size += len(block) if with_payload and head is not None else 200
                     if size > 8_000_000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, size = [], 0
+        rows += [_parsed(head, block, with_payload) for head, block in stream.finish()]
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
-        if stream.held.strip(b"\r\n") or stream.head is not None:
-            raise ValueError("an archive ends within a record")
 
-    return spark.read.option("lineSep", END).text(path).select(F.col("value").cast("binary")).mapInArrow(parse, RECORD_SCHEMA)
+    lines = spark.read.option("lineSep", END).option("ignoreCorruptFiles", tolerant).text(path)
+    return lines.select(F.col("value").cast("binary"), F.xxhash64("_metadata.file_path").alias("file")).mapInArrow(parse, RECORD_SCHEMA)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -187,8 +239,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = materialise(read_archives(spark, path, with_payload=False), "warc-records")
     found = assemble(records).select("record_id", F.col("metadata.fields")["page-id"].cast("long").alias("page_id"), "response")
     found = materialise(found, "warc-captures")
+    revisits = found.where("response.refers_to is not null").withColumn("_id", F.col("response.refers_to"))
     named = found.where("response.type = 'response'").select(F.col("record_id").alias("_id"), F.col("page_id").alias("refers_to"))
-    joined = found.join(named, F.col("response.refers_to") == F.col("_id"), "left")
+    named = revisits.groupBy("_id").agg(F.count("*").alias("rows")).join(named, "_id")
+    others = found.where("response.refers_to is null").withColumn("refers_to", F.lit(None).cast("long"))
+    joined = others.unionByName(lookup(revisits, named, "_id", "rows", found.count()).select(*others.columns))
     return joined.select("page_id", "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), "refers_to")
 
 

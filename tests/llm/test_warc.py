@@ -5,6 +5,7 @@ import hashlib
 
 import pytest
 
+from graphloom.llm import common
 from graphloom.llm import warc as A
 
 BIG = "x" * 150
@@ -38,9 +39,10 @@ def test_query(spark, table, tmp_path):
     assert sum(r[3] == "revisit" for r in found) == 5
 
 
-@pytest.mark.parametrize("rows", [0, 10**6])
-def test_captures(spark, table, tmp_path, monkeypatch, rows):
-    monkeypatch.setattr(A, "BROADCAST_ROWS", rows)
+@pytest.mark.parametrize(("words", "share"), [(1, 10**9), (common.FILTER_WORDS, common.HOT_SHARE), (1, 1)])
+def test_captures(spark, table, tmp_path, monkeypatch, words, share):
+    monkeypatch.setattr(common, "FILTER_WORDS", words)
+    monkeypatch.setattr(common, "HOT_SHARE", share)
     A.write_archives(table, str(tmp_path / "w"))
     records = A.read_archives(spark, str(tmp_path / "w"))
     assert records.count() == 3 * len(pages()) and records.where("not intact").isEmpty()
@@ -71,8 +73,43 @@ def test_stream_in_pieces():
         for k in range(0, 2 * len(one), size):
             got += list(stream.feed((one + one)[k : k + size]))
         assert [(h["warc-type"], b) for h, b in got] == [("resource", b"\r\nx\r\n")] * 2
-    with pytest.raises(ValueError, match="no WARC record"):
-        list(A.Stream().feed(b"<html>\r\n\r\n"))
+
+
+def record(body, length=None):
+    return b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (len(body) if length is None else length, body)
+
+
+@pytest.mark.parametrize(
+    "damage",
+    [b"<html>\r\n\r\n", b"WARC/1.1\r\nWARC-Type: resource\r\n\r\nbody\r\n\r\n", b"WARC/1.1\r\nContent-Length: -3\r\n\r\n", record(b"body", 7), record(b"body", 10**15), record(b"long body", 2), b"rubbish\r\n\r\n" * 5],
+)
+def test_damage_is_counted_and_passed_over(damage):
+    for size in (3, 10_000):
+        stream, got, data = A.Stream(), [], record(b"one") + damage + record(b"two")
+        for k in range(0, len(data), size):
+            got += list(stream.feed(data[k : k + size]))
+        got += list(stream.finish())
+        assert [b for h, b in got if h is not None] == [b"one", b"two"]
+        assert 0 < sum(b for h, b in got if h is None) <= len(damage)
+
+
+def test_truncated_archives(spark, tmp_path):
+    whole = b"".join(record(b"%d" % k * 50) for k in range(200))
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(whole[:5_000]))  # ends within a record
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(whole))
+    found = A.read_archives(spark, str(tmp_path)).groupBy("type").count().collect()
+    assert {r["type"]: r["count"] for r in found} == {"resource": 200 + whole[:5_000].count(b"WARC/") - 1, "damaged": 1}
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(whole)[:-30])  # its compression is cut
+    assert A.read_archives(spark, str(tmp_path), tolerant=True).where("type = 'resource'").count() >= 200
+    with pytest.raises(Exception, match="(?i)eof|unexpected end|corrupt"):
+        A.read_archives(spark, str(tmp_path)).collect()
+
+
+def test_equal_rows_beyond_a_chunk(spark, tmp_path):
+    rows = [(None, "u", BIG)] * 2_300 + [(3, "u", BIG)] * 3 + [(9, None, "short")] * 1_001
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    found = A.op4_warc(spark, str(tmp_path)).groupBy("page_id", "record_type", "refers_to").count().collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(None, "revisit", 3, 2_300), (3, "response", None, 1), (3, "revisit", 3, 2), (9, "response", None, 1_001)], key=str)
 
 
 def test_empty(spark, table, tmp_path):
