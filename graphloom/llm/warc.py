@@ -61,7 +61,7 @@ def _record(kind: Column | str, record_id: Column, block: Column, content_type:
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(END), block)
 
 
-def _joined_where_held(df: DataFrame, key: str, held: DataFrame, rows: str, total: int, name: str) -> DataFrame:
+def _with_held(df: DataFrame, key: str, held: DataFrame, rows: str, total: int, name: str) -> DataFrame:
     """Left join with ``held``, whose ``key`` is unique and has ``rows`` in ``df``; only rows that it may hold are moved."""
     flagged = may_hold(df, F.col(key), held, key, held.count(), "maybe")
     doubtful = materialise(flagged.where("maybe").drop("maybe"), name)
@@ -74,7 +74,7 @@ def _dealt(read: DataFrame, equal: DataFrame, total: int) -> DataFrame:
     """Rows with ``n``, which counts rows that are equal in page_id, url and digest."""
     if equal.isEmpty():
         return read.withColumn("n", F.lit(0))
-    marked = _joined_where_held(read, "same", equal, "rows", total, "warc-equal")
+    marked = _with_held(read, "same", equal, "rows", total, "warc-equal")
     own = [c for c in read.columns if c != "same"]
     one = marked.where("rows is not null").groupBy("same", "rows").agg(F.first(F.struct(*own)).alias("row"))
     chunks = one.select("row.*", "same", "rows", F.explode(F.expr("sequence(0, cast((rows - 1) div 1000 as int))")).alias("chunk")).repartition("same", "chunk")
@@ -93,7 +93,7 @@ def captures(pages: DataFrame) -> DataFrame:
     repeated = seen.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.count("*").alias("k"), least).where("k > 1")
     repeated = materialise(repeated.select("digest", "k", F.col("least.page_id").alias("first"), F.col("least.key").alias("first_key")), "warc-repeated")
     equal = materialise(seen.groupBy("same").agg(F.count("*").alias("rows")).where("rows > 1"), "warc-equal-rows")
-    return _joined_where_held(_dealt(read, equal, total), "digest", repeated, "k", total, "warc-doubtful").drop("k")
+    return _with_held(_dealt(read, equal, total), "digest", repeated, "k", total, "warc-doubtful").drop("k")
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
