@@ -14,12 +14,14 @@ counts and calibrate the threshold: the point that lies equally many standard de
 both classes (0 if a class has none there).
 
 Every URL is taken apart twice, once to count its n-grams and once to look up their log ratios; both
-passes aggregate before they shuffle. The table of n-grams is broadcast if it has at most
-``BROADCAST_GRAMS`` rows, else it is joined by shuffling.
+passes aggregate before they shuffle. A table of n-grams is broadcast if it was counted and has at
+most ``BROADCAST_GRAMS`` rows; a larger one is joined by shuffling, but for the n-grams that make up
+more than one in ``HOT_SHARE`` positions, which are broadcast.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, and a null URL is judged
-as the empty one; without labelled URLs of both classes all URLs that no rule decides are allowed;
-repeated rows are each returned; an empty table gives no rows; other columns are ignored.
+as the empty one; a very long URL is judged whole, by as many rows as it has characters; without
+labelled URLs of both classes all URLs that no rule decides are allowed; a score equal to the threshold
+is allowed; repeated rows are each returned; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import lower_ascii, table
+from graphloom.llm.common import lookup, lower_ascii, table
 from graphloom.session import materialise
 
 #: Fixed values of the contract: host, path, verdict.
@@ -74,31 +76,38 @@ def _is_held_out() -> Column:
     return F.md5(F.coalesce("url", F.lit("")).cast("binary")) < HELD_OUT
 
 
+def _side(table: DataFrame, rows: int) -> DataFrame:
+    """A side of a join: broadcast if it has few rows, never otherwise."""
+    return F.broadcast(table) if rows <= BROADCAST_GRAMS else table.hint("merge")
+
+
 def log_ratios(judged: DataFrame) -> DataFrame:
-    """(gram, ratio): for each n-gram of (url, verdict), labelled or not, the log ratio of both models."""
+    """(gram, n, ratio): for each n-gram of (url, verdict), labelled or not, its number and the log ratio of both models."""
     counted = judged.select(F.explode(_grams()).alias("gram"), "verdict", _is_held_out().alias("out"))
     used = {c: F.sum(((F.col("verdict") == v) & ~F.col("out")).cast("long")) for c, v in (("a", "allow"), ("b", "block"))}
-    all_grams = materialise(counted.groupBy("gram").agg(*[F.coalesce(x, F.lit(0)).alias(c) for c, x in used.items()]), "url-grams")
-    seen = all_grams.where("a + b > 0")
-    signs = seen.select(F.right("gram", F.lit(1)).alias("x")).distinct().count() + 1
+    all_grams = materialise(counted.groupBy("gram").agg(F.count("*").alias("n"), *[F.coalesce(x, F.lit(0)).alias(c) for c, x in used.items()]), "url-grams")
+    seen = all_grams.where("a + b > 0").select("gram", "a", "b")
+    # sizes[k]: how many different endings of k characters there are, which is the size of the k-th model
+    sizes = [1, *seen.agg(*[F.count_distinct(F.right("gram", F.lit(k))) for k in range(1, ORDER + 2)]).first()]
+    signs = sizes[1] + 1
     models: list[DataFrame] = []
     for k in range(1, ORDER + 2):
         own = seen.groupBy(F.right("gram", F.lit(k)).alias("gram")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         own = own.withColumn("h", F.left("gram", F.lit(k - 1)))
         after = own.groupBy("h").agg(*[F.sum(c).alias(f"n{c}") for c in "ab"], *[F.sum((F.col(c) > 0).cast("long")).alias(f"t{c}") for c in "ab"])
-        joined = own.join(after, "h")
+        joined = own.join(_side(after, sizes[k - 1]), "h")
         if k == 1:
             joined = joined.withColumns({"qa": F.lit(1 / signs), "qb": F.lit(1 / signs)})
         else:
             shorter = models[-1].select(F.col("gram").alias("shorter"), F.col("pa").alias("qa"), F.col("pb").alias("qb"))
-            joined = joined.join(shorter, F.right("gram", F.lit(k - 1)) == F.col("shorter"))
+            joined = joined.join(_side(shorter, sizes[k - 1]), F.right("gram", F.lit(k - 1)) == F.col("shorter"))
         smoothed = {f"p{c}": F.when(F.col(f"n{c}") == 0, F.col(f"q{c}")).otherwise((F.col(c) + F.col(f"t{c}") * F.col(f"q{c}")) / (F.col(f"n{c}") + F.col(f"t{c}"))) for c in "ab"}
         models.append(materialise(joined.select("gram", *[p.alias(c) for c, p in smoothed.items()]), f"url-model-{k}"))
-    found = all_grams.select("gram")
+    found = all_grams.select("gram", "n")
     for k, model in enumerate(models, 1):
-        found = found.join(model.select(F.col("gram").alias(f"g{k}"), F.log(F.col("pa") / F.col("pb")).alias(f"r{k}")), F.right("gram", F.lit(k)) == F.col(f"g{k}"), "left")
+        found = found.join(_side(model.select(F.col("gram").alias(f"g{k}"), F.log(F.col("pa") / F.col("pb")).alias(f"r{k}")), sizes[k]), F.right("gram", F.lit(k)) == F.col(f"g{k}"), "left")
     longest = reduce(lambda x, k: F.coalesce(x, F.col(f"r{k}")), range(ORDER, 0, -1), F.col(f"r{ORDER + 1}"))
-    return found.select("gram", F.coalesce(longest, F.lit(0.0)).alias("ratio"))
+    return found.select("gram", "n", F.coalesce(longest, F.lit(0.0)).alias("ratio"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -106,9 +115,13 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     split = pages.select("page_id", "url", host("url").alias("host"), path("url").alias("path"))
     ruled = split.withColumn("r", rule(rules)).select("page_id", "url", "host", "path", "r.rule", "r.verdict")
     ratios = materialise(log_ratios(ruled.select("url", "verdict")), "url-ratios")
-    small = ratios.count() <= BROADCAST_GRAMS
+    held = ratios.agg(F.count("*").alias("rows"), F.sum("n").alias("positions")).first()
     grams = ruled.select("page_id", "url", "rule", "verdict", F.posexplode(_grams()).alias("at", "gram"))
-    scored = grams.where(F.col("rule").isNull() | _is_held_out()).join(F.broadcast(ratios) if small else ratios, "gram")
+    grams = grams.where(F.col("rule").isNull() | _is_held_out())
+    if held["rows"] <= BROADCAST_GRAMS:
+        scored = grams.join(F.broadcast(ratios.drop("n")), "gram")
+    else:
+        scored = lookup(grams, ratios, "gram", "n", held["positions"])
     score = F.round(F.sum("ratio") / F.count("*"), 9).alias("score")
     rows = F.sum((F.col("at") == 0).cast("int")).alias("rows")
     scored = materialise(scored.groupBy("page_id", "url", "rule", "verdict").agg(score, rows), "url-scores")
