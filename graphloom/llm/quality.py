@@ -11,10 +11,12 @@ The statistics are computed once and written as a table. The classes' sums and p
 per partition and then as at most ``d * d`` numbers a class, from all labelled rows of the training
 part; the driver gets those sums only.
 
-Defined cases: a null text counts as the empty one, which is scored like any other; labels that are
-null or not 0 or 1 are not learned; a document with several labels counts with each; with fewer than
-two labelled documents of either class every score is the share of label 1 among those learned
-(0.5 without any); a constant statistic has no influence; other columns are ignored.
+Defined cases: a null text counts as the empty one, which is scored like any other; a very long text
+is read whole, a task holding one at a time beside its batch; labels that are null or not 0 or 1 are
+not learned; a document with several labels, or several documents of one id, count with each; equal
+texts have equal scores; a score of 0.5 predicts 1; with fewer than two labelled documents of either
+class every score is the share of label 1 among those learned (0.5 without any); a constant statistic
+has no influence; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

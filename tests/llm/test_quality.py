@@ -69,3 +69,68 @@ def test_degenerate_classes(spark, tables):
 def test_statistics():
     assert all(np.isfinite(K.statistics(t)).all() for t in (None, "", " ", "\n\n", "a", "!" * 1000, "日本 é", "\x00"))
     assert len(K.statistics("a b")) == len(K.FEATURES)
+
+
+def plain_statistics(text):
+    """The statistics one by one, as their names say."""
+    text = text or ""
+    size = max(1, len(text.encode()))
+    words = text.split()
+    n = max(1, len(words))
+    share = lambda wanted: sum(wanted(c) for c in text) / size
+    count = lambda wanted: sum(1 for w in words if wanted(w))
+    most = lambda wanted: max([words.count(w) for w in set(words) if wanted(w)], default=0)
+    lines = [x for x in text.split("\n") if x.strip()]
+    return {
+        "log_words": np.log(1 + len(words)),
+        "word_length": np.log(1 + len(text) / n),
+        "upper": share(lambda c: "A" <= c <= "Z") ** 0.5,
+        "digit": share(lambda c: c in "0123456789") ** 0.5,
+        "sign": share(lambda c: c in "#$%&()*+/<=>@[\\]^_`{}~") ** 0.5,
+        "shout": share(lambda c: c == "!") ** 0.5,
+        "bar": share(lambda c: c == "|") ** 0.5,
+        "stop": share(lambda c: c in ".,;:?") ** 0.5,
+        "distinct": len(set(words)) / n,
+        "top_word": (most(lambda w: True) / n) ** 0.5,
+        "top_sign_word": (most(lambda w: not w.isalpha()) / n) ** 0.5,
+        "same_neighbour": (sum(a == b for a, b in zip(words, words[1:], strict=False)) / n) ** 0.5,
+        "neighbour_pairs": len({(a, b) for a, b in zip(words, words[1:], strict=False)}) / n,
+        "line_repeats": (1 - len(set(lines)) / max(1, len(lines))) ** 0.5,
+        "log_line": np.log(1 + len(text) / max(1, len(lines))),
+        "sign_ends": (count(lambda w: not w[-1].isalnum() and w[-1] not in ".,;:?'\"") / n) ** 0.5,
+        "upper_words": (count(lambda w: w.isupper()) / n) ** 0.5,
+        "long_words": (count(lambda w: len(w) > 15) / n) ** 0.5,
+    }
+
+
+def test_statistics_one_by_one(tables):
+    rows = tables[0]
+    texts = [r[1] for r in rows[:60]] + [r[1] for r in data.documents()] + ["a\na\n\nb a|b!! #x# 12 12 ÄÖ", "\\ ~ ` ^", "averyveryverylongword x"]
+    for text in texts:
+        plain = plain_statistics(text)
+        assert list(plain) == list(K.FEATURES)
+        assert np.allclose(K.statistics(text), list(plain.values()), rtol=1e-12, atol=0), text
+
+
+def test_shrunk_scores_by_their_formula(spark, tables):
+    """The whole operator against statistics, shrinkage and densities computed directly."""
+    rows, labels, docs, known = tables
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    x = {k: np.array(list(plain_statistics(t).values())) for k, t in texts.items()}
+    learned = [(k, q) for k, q, _ in labels if k in x and q in (0, 1) and zlib.crc32(str(k).encode()) % 3 != 1]
+    every = np.array([x[k] for k, _ in learned])
+    centre, scale = every.mean(0), every.std(0)
+    scale[scale**2 <= 1e-12] = 1
+    own = {c: (np.array([x[k] for k, q in learned if q == c]) - centre) / scale for c in (0, 1)}
+    cov = {c: np.cov(v.T, bias=True) for c, v in own.items()}
+    pooled = sum(len(own[c]) * cov[c] for c in (0, 1)) / len(learned)
+    d = len(K.FEATURES)
+
+    def density(z, c):
+        shrunk = 0.95 * (0.8 * cov[c] + 0.2 * pooled) + 0.05 * np.eye(d)
+        gap = z - own[c].mean(0)
+        return np.log(len(own[c]) / len(learned)) - 0.5 * (gap @ np.linalg.solve(shrunk, gap) + np.linalg.slogdet(shrunk)[1])
+
+    for r in K.classify(docs, known).collect():
+        z = (x[r["doc_id"]] - centre) / scale
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(density(z, 1) - density(z, 0)) / d)), rel=1e-6, abs=1e-9)
