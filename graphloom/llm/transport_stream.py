@@ -17,8 +17,10 @@ errors, and the first and last timestamp.
 
 Defined cases: a null text is the empty one; bytes that are no packet (sync byte or length wrong, or
 flagged as damaged) are counted and skipped; a stream without valid tables yields no units; packets
-of a unit whose start is missing are dropped and counted as an error; columns other than ``doc_id``
-and ``text`` are ignored.
+of a unit whose start is missing are dropped and counted as an error; a very long text is one stream
+of as many units as it needs, held whole, a task holding one at a time beside its batch; equal texts
+and repeated rows give equal streams, a row each; an empty table gives no rows; columns other than
+``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
