@@ -28,8 +28,14 @@ def _shortest(values: pd.Series) -> pd.Series:
 
 
 def shortest_double(column: Column) -> Column:
-    """``shortest`` of a float or double column. Spark's own cast writes 1.0 and 1.0E20 and is not always the shortest."""
-    return F.when(F.isnan(column), "nan").otherwise(_shortest(column))
+    """``shortest`` of a float or double column. Spark's own cast writes 1.0 and 1.0E20 and is not always the shortest.
+
+    Integral numbers with at most four zeros at the end are the digits of a long, which no exponent shortens; Python sees
+    the others alone.
+    """
+    value = column.cast("double")
+    plain = (F.abs(value) < 1e15) & (value == F.floor(value)) & (value % 100_000 != 0)
+    return F.when(F.isnan(column), "nan").when(plain, value.cast("long").cast("string")).otherwise(_shortest(F.when(~plain, column)))
 
 
 def label(column: Column, data_type: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.plans.graph import PropertyGraph
 from graphloom.plans.names import EDGE, NODE, SeriesName
+from graphloom.session import materialise
 
 
 def _columns(graph: PropertyGraph, prefix: str, series: Sequence[Any] | None) -> list[SeriesName]:
@@ -64,18 +65,26 @@ def describe(graph: PropertyGraph, where: Any = None) -> dict[str, Any]:
 def nunique_frame(graph: PropertyGraph, series: Sequence[Any] | None = None, where: Any = None, approximate: bool = False) -> DataFrame:
     """(series, n): exact number of different values of each series under a clause, nulls apart.
 
-    Series of one table are counted in one pass; ``approximate`` uses sketches instead, without shuffles of values.
+    Each series is grouped by its values, which reads its column alone and combines before it shuffles; a clause is
+    evaluated once, its rows are written. ``approximate`` uses sketches instead, without shuffles of values.
     """
     names = [graph.resolve(s) for s in series] if series is not None else [SeriesName(p, c) for p in (EDGE, NODE) for c in graph.table(p).columns]
     parts = []
     for prefix in (EDGE, NODE):
-        own = [n for n in names if n.prefix == prefix]
+        own = list(dict.fromkeys(n for n in names if n.prefix == prefix))
         if not own:
             continue
-        count = F.approx_count_distinct if approximate else F.count_distinct
-        counted = graph.table_where(prefix, where).agg(*[count(F.col(f"`{n.name}`")).alias(f"n{k}") for k, n in enumerate(own)])
-        pairs = F.array(*[F.struct(F.lit(str(n)).alias("series"), F.col(f"n{k}").cast("long").alias("n")) for k, n in enumerate(own)])
-        parts.append(counted.select(F.explode(pairs).alias("p")).select("p.*"))
+        table = graph.table_where(prefix, where).select(*[F.col(f"`{n.name}`") for n in own])
+        if approximate:
+            counted = table.agg(*[F.approx_count_distinct(F.col(f"`{n.name}`")).alias(f"n{k}") for k, n in enumerate(own)])
+            pairs = F.array(*[F.struct(F.lit(str(n)).alias("series"), F.col(f"n{k}").alias("n")) for k, n in enumerate(own)])
+            parts.append(counted.select(F.explode(pairs).alias("p")).select("p.*"))
+            continue
+        if where is not None and len(own) > 1:
+            table = materialise(table, "nunique")
+        for n in own:
+            values = table.select(F.col(f"`{n.name}`").alias("value")).distinct()
+            parts.append(values.agg(F.count("value").alias("n")).select(F.lit(str(n)).alias("series"), "n"))
     if not parts:
         return graph.spark.createDataFrame([], "series string, n long")
     return reduce(DataFrame.unionAll, parts)

@@ -23,7 +23,8 @@ class PropertyGraph:
     """A property multigraph. Operations return DataFrames, values or a new graph; none changes this one.
 
     nodes has a unique column ``id``; edges has ``u``, ``v`` and ``directed``. All other columns are
-    nullable series. ``warnings`` counts what was skipped on the way here.
+    nullable series. ``warnings`` counts what was skipped on the way here. ``growth`` is the graph that
+    this one grew from by added rows alone, and these rows by table; a store then writes no others.
     """
 
     nodes: DataFrame
@@ -31,6 +32,7 @@ class PropertyGraph:
     warnings: Counter = field(default_factory=Counter)
     path: str | None = None
     strict_reference: bool = False
+    growth: tuple[PropertyGraph, dict[str, DataFrame]] | None = field(default=None, repr=False)
 
     @classmethod
     def empty(cls, spark: SparkSession, **more: Any) -> PropertyGraph:
@@ -56,7 +58,7 @@ class PropertyGraph:
 
     def replace(self, **changes: Any) -> PropertyGraph:
         """This graph with other nodes, edges or settings."""
-        return replace(self, **({"warnings": Counter(self.warnings)} | changes))
+        return replace(self, **({"warnings": Counter(self.warnings), "growth": None} | changes))
 
     def table(self, prefix: str) -> DataFrame:
         return self.nodes if prefix == NODE else self.edges

@@ -10,12 +10,13 @@ from pathlib import Path
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.jsonlogic import Compiler, variables
 from graphloom.plans.names import EDGE, NODE, Expression, SeriesName
+from graphloom.session import FileSystem
 
 ALL = "all"
 
@@ -63,8 +64,12 @@ class WhereClause:
 
     @classmethod
     def from_file(cls, path: str | Path, strict_reference: bool = False) -> WhereClause:
-        """A JSON file that holds ``{"rule": rule}``."""
-        held = json.loads(Path(path).read_text())
+        """A JSON file that holds ``{"rule": rule}``: of the driver's machine, or of any file system if ``path`` is a URI."""
+        if "://" in str(path):
+            spark = SparkSession.active()
+            held = json.loads(FileSystem(spark, str(path)).read_text(str(path)))
+        else:
+            held = json.loads(Path(path).read_text())
         if "rule" not in held:
             raise ValueError(f"no rule in {path}")
         return cls.from_rule(held["rule"], strict_reference)

@@ -132,6 +132,13 @@ def _cc(edges: str, alone: str | None = None, graph: str = OP, nodes: str = "opn
 SELECT id AS node_id, comp AS node_comp FROM {nodes} LEFT JOIN cc USING (id)"""
 
 
+def _edge_key(seed: int) -> str:
+    """SQL of the sampling key of the order-part edges."""
+    columns = ("u", "v", "directed", "quantity", "discount", "returnflag", "linestatus", "linenumber", "shipdate")
+    parts = ", ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
+    return f"md5(concat_ws(',', '{seed}', {parts}))"
+
+
 def _ingested(spark: SparkSession, sf_dir: str) -> tuple[PropertyGraph, dict[str, int]]:
     rows = _rows_op(spark, sf_dir)
     return ingest.ingest_frames(PropertyGraph.empty(spark), [rows], "order", "part", True)
@@ -244,10 +251,10 @@ Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "cc_ewhere": (lambda s, d: flat(query.select_nodes(components.components(op_graph(s, d), "node.comp", BIG))), _cc("(SELECT * FROM op WHERE quantity >= 45)")),
     "cc_nwhere": (lambda s, d: flat(query.select_nodes(components.components(_busy(s, d), "node.comp", BUSY), ["node.id", "node.comp"])), _cc("(SELECT * FROM op WHERE u IN (FROM busy) AND v IN (FROM busy))", "busy", f"{OP}, {DEG}")),
     # samples
-    "sample_edges": (lambda s, d: flat(query.select_edges(sample.sample_edges(op_graph(s, d), "edge.picked", 500, 7), ["edge.u", "edge.v", "edge.linenumber", "edge.picked"])), f"WITH {OP} SELECT u AS edge_u, v AS edge_v, linenumber AS edge_linenumber, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws(':', '7', u, v, directed, quantity, discount, returnflag, linestatus, linenumber, shipdate))) <= 500 THEN true END AS edge_picked FROM op"),
-    "sample_nodes": (lambda s, d: flat(query.select_nodes(sample.sample_nodes(op_graph(s, d), "node.picked", 200, 7, BIG))), f"WITH {OP}, t AS (SELECT u AS id FROM op WHERE quantity >= 45 UNION SELECT v FROM op WHERE quantity >= 45), p AS (SELECT id FROM t ORDER BY md5('7:' || id) LIMIT 200) SELECT opn.id AS node_id, CASE WHEN p.id IS NOT NULL THEN true END AS node_picked FROM opn LEFT JOIN p USING (id)"),
-    "select_sample_edges": (lambda s, d: flat(sample.select_sample_edges(op_graph(s, d), 50, ["edge.u", "edge.v"], 3, RETURNED)), f"WITH {OP} SELECT u AS edge_u, v AS edge_v FROM op WHERE returnflag = 'R' ORDER BY md5(concat_ws(':', '3', u, v, directed, quantity, discount, returnflag, linestatus, linenumber, shipdate)) LIMIT 50"),
-    "select_sample_nodes": (lambda s, d: flat(sample.select_sample_nodes(op_graph(s, d), 50, seed=8)), f"WITH {OP} SELECT id AS node_id FROM opn ORDER BY md5('8:' || id) LIMIT 50"),
+    "sample_edges": (lambda s, d: flat(query.select_edges(sample.sample_edges(op_graph(s, d), "edge.picked", 500, 7), ["edge.u", "edge.v", "edge.linenumber", "edge.picked"])), f"WITH {OP} SELECT u AS edge_u, v AS edge_v, linenumber AS edge_linenumber, CASE WHEN row_number() OVER (ORDER BY {_edge_key(7)}) <= 500 THEN true END AS edge_picked FROM op"),
+    "sample_nodes": (lambda s, d: flat(query.select_nodes(sample.sample_nodes(op_graph(s, d), "node.picked", 200, 7, BIG))), f"WITH {OP}, t AS (SELECT u AS id FROM op WHERE quantity >= 45 UNION SELECT v FROM op WHERE quantity >= 45), p AS (SELECT id FROM t ORDER BY md5('7,' || length(id) || ':' || id) LIMIT 200) SELECT opn.id AS node_id, CASE WHEN p.id IS NOT NULL THEN true END AS node_picked FROM opn LEFT JOIN p USING (id)"),
+    "select_sample_edges": (lambda s, d: flat(sample.select_sample_edges(op_graph(s, d), 50, ["edge.u", "edge.v"], 3, RETURNED)), f"WITH {OP} SELECT u AS edge_u, v AS edge_v FROM op WHERE returnflag = 'R' ORDER BY {_edge_key(3)} LIMIT 50"),
+    "select_sample_nodes": (lambda s, d: flat(sample.select_sample_nodes(op_graph(s, d), 50, seed=8)), f"WITH {OP} SELECT id AS node_id FROM opn ORDER BY md5('8,' || length(id) || ':' || id) LIMIT 50"),
     # changes
     "assign_edge": (lambda s, d: flat(query.select_edges(mutate.assign(op_graph(s, d), "edge.rate", 0.5, BIG), ["edge.u", "edge.v", "edge.rate"])), f"WITH {OP} SELECT u AS edge_u, v AS edge_v, CASE WHEN quantity >= 45 THEN 0.5::DOUBLE END AS edge_rate FROM op"),
     "assign_edge_nwhere": (lambda s, d: flat(query.select_edges(mutate.assign(_busy(s, d), "edge.within", True, BUSY), ["edge.u", "edge.v", "edge.within"])), f"WITH {OP}, {DEG} SELECT u AS edge_u, v AS edge_v, CASE WHEN u IN (FROM busy) AND v IN (FROM busy) THEN true END AS edge_within FROM op"),

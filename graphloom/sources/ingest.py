@@ -86,7 +86,7 @@ def ingest_frames(graph: PropertyGraph, frames: Sequence[DataFrame], col_u: str,
     if skipped:
         warnings["row skipped: no u or v"] += skipped
     fresh = materialise(endpoints(whole).join(graph.nodes.select("id"), "id", "left_anti"), "ingest-nodes")
-    grown = graph.replace(nodes=align([graph.nodes, fresh]), edges=align([graph.edges, whole]), warnings=warnings)
+    grown = graph.replace(nodes=align([graph.nodes, fresh]), edges=align([graph.edges, whole]), warnings=warnings, growth=(graph, {"nodes": fresh, "edges": whole}))
     return grown, {"num_edges_ingested": ingested, "num_nodes_ingested": fresh.count()}
 
 
@@ -103,13 +103,25 @@ def _files(spark: SparkSession, path: str, recursive: bool, suffix: str) -> list
     return sorted(names)
 
 
+def _merged(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """Files by schema, as few groups as their types allow: footers are read by a job, which is halved where types disagree."""
+    try:
+        schema = spark.read.option("mergeSchema", len(files) > 1).parquet(*files).schema
+    except Exception as error:
+        if len(files) == 1 or "MERGE_SCHEMA" not in str(error):
+            raise
+        found: dict[str, list[str]] = {}
+        for half in (files[: len(files) // 2], files[len(files) // 2 :]):
+            for key, own in _merged(spark, half).items():
+                found.setdefault(key, []).extend(own)
+        return found
+    return {schema.json(): files}
+
+
 def read_parquet(spark: SparkSession, path: str, recursive: bool = True) -> list[DataFrame]:
     """The Parquet files below a path, as one DataFrame per schema, since files may disagree on types."""
     files = _files(spark, path, recursive, ".parquet") or [path]
-    by_schema: dict[str, list[str]] = {}
-    for file in files:
-        by_schema.setdefault(spark.read.parquet(file).schema.json(), []).append(file)
-    return [spark.read.schema(T.StructType.fromJson(json.loads(s))).parquet(*own) for s, own in by_schema.items()]
+    return [spark.read.schema(T.StructType.fromJson(json.loads(s))).parquet(*own) for s, own in _merged(spark, files).items()]
 
 
 def ingest_parquet_edges(graph: PropertyGraph, path: str, col_u: str, col_v: str, directed: bool = True, metadata: Sequence[str] | None = None, recursive: bool = True) -> tuple[PropertyGraph, dict[str, int]]:

@@ -1,62 +1,30 @@
-"""Graphs at a path: versioned Parquet folders and a manifest that names the current ones.
+"""Graphs at a path: Parquet folders and numbered manifests that name the current ones.
 
-A change writes only the table that changed, below a new version, and then replaces the manifest, so
-a reader sees the old or the new graph and nothing is read while it is written over.
+A table is a list of parts, each a folder with its own schema. An ingest adds a part with the new rows
+alone; a change of another kind writes the table that changed as one new part. Then the next manifest is
+created, which fails if another writer made it first, so no change is lost, a reader sees the old or the
+new graph, and nothing is read while it is written over.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from graphloom.plans.graph import PropertyGraph
-from graphloom.session import delete_path
+from graphloom.session import FileSystem, delete_path
+from graphloom.sources.ingest import align
 
-MANIFEST = "_manifest.json"
+MANIFEST, TABLES = "_manifest-{:08d}.json", ("nodes", "edges")
 
 
-class FileSystem:
-    """The few file operations a store needs, through Hadoop, for any URI."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.jvm = spark.sparkContext._jvm
-        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self.fs = self.path(path).getFileSystem(self.conf)
-
-    def path(self, name: str) -> Any:
-        return self.jvm.org.apache.hadoop.fs.Path(name)
-
-    def exists(self, name: str) -> bool:
-        return self.fs.exists(self.path(name))
-
-    def read_text(self, name: str) -> str:
-        stream = self.fs.open(self.path(name))
-        try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def write_text(self, name: str, text: str) -> None:
-        """Write beside the target, then rename over it."""
-        beside = self.path(f"{name}.new")
-        stream = self.fs.create(beside, True)
-        try:
-            self.jvm.org.apache.commons.io.IOUtils.write(text, stream, "UTF-8")
-        finally:
-            stream.close()
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
-        rename = self.jvm.org.apache.hadoop.fs.Options.Rename
-        overwrite = self.jvm.java.lang.reflect.Array.newInstance(rename.OVERWRITE.getClass(), 1)
-        overwrite[0] = rename.OVERWRITE
-        context.rename(beside, self.path(name), overwrite)
-
-    def copy(self, source: str, target: str) -> None:
-        other = self.path(target).getFileSystem(self.conf)
-        self.jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs, self.path(source), other, self.path(target), False, self.conf)
+class ConcurrentChange(RuntimeError):
+    """Another writer changed the graph since it was read."""
 
 
 class GraphStore:
@@ -68,47 +36,67 @@ class GraphStore:
         self.files = FileSystem(spark, self.path)
         if overwrite:
             delete_path(spark, self.path)
-        if self.files.exists(f"{self.path}/{MANIFEST}"):
-            self.manifest = json.loads(self.files.read_text(f"{self.path}/{MANIFEST}"))
-        elif create:
-            self.manifest = {"version": -1}
+        self.manifest: dict[str, Any] = {"version": -1}
+        if not self.reload():
+            if not create:
+                raise FileNotFoundError(f"no graph at {path}")
             self.save(PropertyGraph.empty(spark))
-        else:
-            raise FileNotFoundError(f"no graph at {path}")
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n[10:18]) for n in self.files.names(self.path) if n.startswith("_manifest-") and n.endswith(".json") and len(n) == 23)
+
+    def reload(self) -> bool:
+        """Read the newest manifest; false if there is none."""
+        versions = self._versions()
+        if versions and versions[-1] != self.manifest["version"]:
+            self.manifest = json.loads(self.files.read_text(f"{self.path}/{MANIFEST.format(versions[-1])}"))
+        return bool(versions)
+
+    def _table(self, parts: list[dict[str, Any]]) -> DataFrame:
+        """All parts of a table; those of one schema are read together."""
+        by_schema: dict[str, list[str]] = {}
+        for part in parts:
+            by_schema.setdefault(json.dumps(part["schema"]), []).append(f"{self.path}/{part['folder']}")
+        return align([self.spark.read.schema(T.StructType.fromJson(json.loads(s))).parquet(*folders) for s, folders in by_schema.items()])
 
     @property
     def graph(self) -> PropertyGraph:
         """The current graph."""
-        tables = {}
-        for name in ("nodes", "edges"):
-            schema = T.StructType.fromJson(self.manifest[name]["schema"])
-            tables[name] = self.spark.read.schema(schema).parquet(f"{self.path}/{self.manifest[name]['folder']}")
-        return PropertyGraph(**tables, path=self.path, strict_reference=self.strict_reference)
+        return PropertyGraph(**{name: self._table(self.manifest[name]) for name in TABLES}, path=self.path, strict_reference=self.strict_reference)
+
+    def _write(self, table: DataFrame, name: str, version: int) -> dict[str, Any]:
+        folder = f"v{version}-{uuid.uuid4().hex[:8]}/{name}"
+        table.write.parquet(f"{self.path}/{folder}")
+        nullable = T.StructType([T.StructField(f.name, f.dataType) for f in table.schema.fields])
+        return {"folder": folder, "schema": json.loads(nullable.json())}
+
+    def _commit(self, manifest: dict[str, Any]) -> None:
+        if not self.files.create_text(f"{self.path}/{MANIFEST.format(manifest['version'])}", json.dumps(manifest)):
+            raise ConcurrentChange(f"{self.path} was changed by another writer after version {self.manifest['version']}")
+        self.manifest = manifest
 
     def save(self, graph: PropertyGraph, before: PropertyGraph | None = None, **notes: Any) -> PropertyGraph:
-        """Make ``graph`` the current one; a table that is still that of ``before`` is not written again.
+        """Make ``graph`` the current one.
 
-        Notes are kept in the manifest, in the same step, and stay until they are replaced.
+        A table that is still that of ``before`` is not written again; of one that ``before`` grew to by an ingest only the
+        new rows are written. Notes are kept in the manifest, in the same step, and stay until they are replaced.
         """
         version = self.manifest["version"] + 1
         manifest: dict[str, Any] = {**self.manifest, **notes, "version": version}
-        for name in ("nodes", "edges"):
-            table = getattr(graph, name)
-            if before is not None and table is getattr(before, name):
-                manifest[name] = self.manifest[name]
-                continue
-            folder = f"v{version}/{name}"
-            table.write.mode("overwrite").parquet(f"{self.path}/{folder}")
-            nullable = T.StructType([T.StructField(f.name, f.dataType) for f in table.schema.fields])
-            manifest[name] = {"folder": folder, "schema": json.loads(nullable.json())}
-        self.files.write_text(f"{self.path}/{MANIFEST}", json.dumps(manifest))
-        self.manifest = manifest
+        grown = graph.growth[1] if before is not None and graph.growth and graph.growth[0] is before else {}
+        for name in TABLES:
+            if name in grown:
+                manifest[name] = [*self.manifest[name], self._write(grown[name], name, version)]
+            elif before is None or getattr(graph, name) is not getattr(before, name):
+                manifest[name] = [self._write(getattr(graph, name), name, version)]
+        self._commit(manifest)
         current = self.graph
         current.warnings.update(graph.warnings)
         return current
 
     def update(self, operation: Callable[..., Any], *args: Any, **options: Any) -> Any:
-        """Apply ``operation(graph, ...)`` and keep the graph it returns, alone or first in a tuple; returns the rest."""
+        """Apply ``operation(graph, ...)`` to the newest graph and keep the one it returns, alone or first in a tuple; returns the rest."""
+        self.reload()
         before = self.graph
         made = operation(before, *args, **options)
         graph, rest = made if isinstance(made, tuple) else (made, None)
@@ -117,22 +105,32 @@ class GraphStore:
 
     def good(self) -> bool:
         """Whether manifest and tables are there and the reserved series have their types."""
-        present = all(self.files.exists(f"{self.path}/{self.manifest[t]['folder']}") for t in ("nodes", "edges"))
+        present = all(self.files.exists(f"{self.path}/{part['folder']}") for t in TABLES for part in self.manifest[t])
         return present and self.graph.good()
 
+    def compact(self, most: int = 1) -> list[str]:
+        """Rewrite tables of more than ``most`` parts as one part; returns their names."""
+        self.reload()
+        many, version = [t for t in TABLES if len(self.manifest[t]) > most], self.manifest["version"] + 1
+        if many:
+            self._commit({**self.manifest, "version": version} | {t: [self._write(self._table(self.manifest[t]), t, version)] for t in many})
+        return many
+
     def vacuum(self) -> list[str]:
-        """Remove versions that the manifest no longer names; returns their folders."""
-        kept = {self.manifest[t]["folder"] for t in ("nodes", "edges")}
+        """Remove folders and manifests that the newest manifest does not need; returns the folders. Not while others write."""
+        self.reload()
+        kept = {part["folder"] for t in TABLES for part in self.manifest[t]}
+        for version in self._versions():
+            if version < self.manifest["version"]:
+                delete_path(self.spark, f"{self.path}/{MANIFEST.format(version)}")
         gone = []
-        for status in self.files.fs.listStatus(self.files.path(self.path)):
-            version = status.getPath().getName()
-            if not version.startswith("v"):
-                continue
-            for table in ("nodes", "edges"):
-                folder = f"{version}/{table}"
-                if folder not in kept and self.files.exists(f"{self.path}/{folder}"):
-                    delete_path(self.spark, f"{self.path}/{folder}")
-                    gone.append(folder)
+        for version in self.files.names(self.path):
+            held = [f"{version}/{t}" for t in self.files.names(f"{self.path}/{version}")] if version.startswith("v") else []
+            for folder in (f for f in held if f not in kept):
+                delete_path(self.spark, f"{self.path}/{folder}")
+                gone.append(folder)
+            if held and not kept.intersection(held):
+                delete_path(self.spark, f"{self.path}/{version}")
         return gone
 
 

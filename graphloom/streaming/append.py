@@ -17,10 +17,11 @@ def append_stream(store: GraphStore, rows: DataFrame, col_u: str, col_v: str, ch
     """A writer that ingests a stream of edge rows into ``store``; call ``start()`` on it.
 
     The store's manifest keeps the last batch that went in, so a batch that is replayed after a
-    failure is ingested once.
+    failure is ingested once. A batch writes its own rows only.
     """
 
     def ingest(batch: DataFrame, number: int) -> None:
+        store.reload()
         done = store.manifest.get("streams", {})
         if done.get(checkpoint, -1) >= number:
             return
