@@ -23,6 +23,7 @@ from graphloom.plans.names import NODE, SeriesName
 from graphloom.sources import ingest, sinks
 from graphloom.sources.store import GraphStore, copy_graph, remove_graph
 
+ALIASES = ("meta", "metadata", "fields", "addl_series")
 LEVELS = {0: "ALL", 10: "DEBUG", 20: "INFO", 30: "WARN", 40: "ERROR", 50: "FATAL"}
 
 
@@ -65,7 +66,7 @@ def _output(name: str) -> SeriesName:
 
 #: Commands that change the graph: (graph, options) to the new graph, alone or with a result.
 WRITING: dict[str, Callable[..., Any]] = {
-    "ingest_parquet_edges": lambda g, input_path, col_u, col_v, directed=True, series_names=None: ingest.ingest_parquet_edges(g, input_path, col_u, col_v, directed, series_names),
+    "ingest_parquet_edges": lambda g, input_path, col_u, col_v, directed=True, series_names=None, recursive=True: ingest.ingest_parquet_edges(g, input_path, col_u, col_v, directed, series_names, recursive),
     "ingest_csv_edges": lambda g, input_path, col_u, col_v, directed=True, series_names=None: ingest.ingest_csv_edges(g, input_path, col_u, col_v, directed, series_names),
     "in_degree": lambda g, output, where=None: degree.in_degree(g, _output(output), where),
     "out_degree": lambda g, output, where=None: degree.out_degree(g, _output(output), where),
@@ -87,12 +88,17 @@ _ARGUMENTS: dict[str, dict[str, Any]] = {
     "--series_names": {"type": lambda x: x.split(",")}, "--series_name": {}, "--series": {}, "--where": {"type": json.loads}, "--limit": {"type": int}, "--k": {"type": int},
     "--seed": {"type": int}, "--output": {}, "--in_output": {}, "--out_output": {}, "--nhops": {"type": int}, "--seeds": {"type": lambda x: x.split(",")},
     "--value": {"type": json.loads}, "--kind": {}, "--generator_type": {}, "--old_name": {}, "--new_name": {}, "--erase_list": {"type": lambda x: x.split(",")},
-    "--overwrite": {"action": "store_const", "const": True},
+    "--overwrite": {"action": "store_const", "const": True}, "--recursive": {"action": "store_const", "const": True},
+    **{f"--{name}": {"type": lambda x: x.split(",")} for name in ("meta", "metadata", "fields", "addl_series")},
 }
 
 
 def run(spark: SparkSession, command: str, path: str, **options: Any) -> Any:
-    """Run a command on the graph stored at ``path`` and return its result."""
+    """Run a command on the graph stored at ``path`` and return its result.
+
+    The commands' own names of options are taken too: ``metadata``, ``meta``, ``fields`` and ``addl_series`` for ``series_names``.
+    """
+    options = {("series_names" if name in ALIASES else name): value for name, value in options.items()}
     if command == "create":
         GraphStore(spark, path, overwrite=options.get("overwrite", False))
         return {"path": path}
@@ -100,7 +106,9 @@ def run(spark: SparkSession, command: str, path: str, **options: Any) -> Any:
         return copy_graph(spark, path, options["output_path"])
     if command == "remove":
         return remove_graph(spark, path)
-    if command == "convert":  # an edge list to a new graph, whatever was there
+    if command == "convert":  # an edge list to a new graph, whatever was there; without names of series the ends alone
+        options = {"col_u": "u", "col_v": "v", "series_names": [], "recursive": False} | options
+        path = path or options["input_path"].rstrip("/").rpartition("/")[2].removesuffix(".parquet")
         store = GraphStore(spark, path, overwrite=True)
         counts = store.update(WRITING["ingest_parquet_edges"], **options)
         return counts | query.describe(store.graph) | {"edge_series": store.graph.edge_series()}

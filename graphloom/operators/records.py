@@ -7,14 +7,18 @@ column, and deleting records one with fewer rows.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.operators.mutate import TYPES
-from graphloom.plans.graph import HIT, PropertyGraph
-from graphloom.plans.names import NODE
+from graphloom.plans.graph import HIT, PropertyGraph, endpoints
+from graphloom.plans.names import EDGE, NODE
+from graphloom.session import materialise
+from graphloom.sources.ingest import align
 
 
 def series_values(graph: PropertyGraph, series: Any, where: Any = None) -> DataFrame:
@@ -40,6 +44,46 @@ def get(graph: PropertyGraph, node: str, series: Any) -> Any:
     return rows[0][0]
 
 
+def get_edges(graph: PropertyGraph, ends: Sequence[tuple[str, str]] | DataFrame, series: Sequence[Any] | None = None) -> DataFrame:
+    """Edges from u to v, as stored, for pairs from a list or a DataFrame with columns ``u`` and ``v``; parallel edges each have a row."""
+    if not isinstance(ends, DataFrame):
+        ends = graph.spark.createDataFrame(list(dict.fromkeys(ends)), "u string, v string")
+    names = [graph.resolve(s, EDGE) for s in (series if series is not None else graph.edges.columns)]
+    return graph.edges.join(ends.select("u", "v").distinct(), ["u", "v"], "left_semi").select(*[F.col(f"`{n.name}`").alias(str(n)) for n in names])
+
+
+def get_edge(graph: PropertyGraph, u: str, v: str, series: Any) -> list[Any]:
+    """The values of the edges from u to v, None where one is not set; KeyError if there is no such edge."""
+    rows = get_edges(graph, [(u, v)], [graph.resolve(series, EDGE)]).collect()
+    if not rows:
+        raise KeyError((u, v))
+    return [r[0] for r in rows]
+
+
+def add_node(graph: PropertyGraph, node: str, **values: Any) -> PropertyGraph:
+    """The graph with one more node; values by series name. ValueError if it exists or a series does not."""
+    if not graph.nodes.where(F.col("id") == node).isEmpty():
+        raise ValueError(f"node exists: {node}")
+    row = _row(graph, NODE, {"id": node} | values)
+    return graph.replace(nodes=align([graph.nodes, row]), growth=(graph, {"nodes": row}))
+
+
+def add_edge(graph: PropertyGraph, u: str, v: str, directed: bool = True, **values: Any) -> PropertyGraph:
+    """The graph with one more edge, and its ends as nodes if they are none yet; values by series name."""
+    row = _row(graph, EDGE, {"u": u, "v": v, "directed": directed} | values)
+    ends = materialise(endpoints(row).join(graph.nodes.select("id"), "id", "left_anti"), "ends")
+    return graph.replace(nodes=align([graph.nodes, ends]), edges=align([graph.edges, row]), growth=(graph, {"nodes": ends, "edges": row}))
+
+
+def _row(graph: PropertyGraph, prefix: str, values: Mapping[str, Any]) -> DataFrame:
+    """One row for a table, with its types; absent series are null."""
+    schema = graph.table(prefix).schema
+    for name in values:
+        graph.resolve(f"{prefix}.{name}", prefix)
+    made = [float(v) if v is not None and f.dataType.typeName() == "double" else v for f in schema.fields for v in [values.get(f.name)]]
+    return graph.spark.createDataFrame([tuple(made)], T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields]))
+
+
 def is_none(graph: PropertyGraph, node: str, series: Any) -> bool:
     """Whether a node's value is not set."""
     return get(graph, node, series) is None
@@ -60,29 +104,34 @@ def load_factors(graph: PropertyGraph, prefix: str) -> DataFrame:
     return counted.select("records", F.explode(pairs).alias("p")).select("p.series", "records", "p.filled", factor.alias("load_factor"))
 
 
-def set_values(graph: PropertyGraph, series: Any, values: Mapping[str, Any] | DataFrame, kind: Any = None) -> PropertyGraph:
-    """A node series with new values for some ids, from a mapping or (id, value); made if it does not exist.
+def set_values(graph: PropertyGraph, series: Any, values: Mapping[Any, Any] | DataFrame, kind: Any = None) -> PropertyGraph:
+    """A series with new values for some records; made if it does not exist.
 
-    Ids without a node are counted in the warnings; several values of one id are an error. Other
-    nodes keep what they have.
+    Node series take a mapping by id or (id, value); edge series a mapping by (u, v) or (u, v, value), for all edges from u
+    to v, as stored. Keys without a record are counted in the warnings; several values of one key are an error. Other
+    records keep what they have.
     """
+    name = graph.resolve(series) if graph.has_series(series) else graph.resolve_new(series)
+    if name.reserved:
+        raise ValueError(f"reserved series: {name}")
+    keys, table = (("id",), graph.nodes) if name.prefix == NODE else (("u", "v"), graph.edges)
     if not isinstance(values, DataFrame):
         found = {type(v) for v in values.values() if v is not None}
         kind = kind or (found.pop() if len(found) == 1 else str)
-        values = graph.spark.createDataFrame(list(values.items()), f"id string, value {TYPES[kind]}")
-    side = values.select(F.col("id").cast("string").alias("__id"), F.col("value").alias("__value"))
-    if not side.groupBy("__id").count().where("count > 1").isEmpty():
-        raise ValueError("several values for one id")
-    name = graph.resolve(series, NODE) if graph.has_series(series) else graph.resolve_new(series, NODE)
-    if name.reserved:
-        raise ValueError(f"reserved series: {name}")
-    unknown = side.join(graph.nodes.select(F.col("id").alias("__id")), "__id", "left_anti").count()
-    joined = graph.nodes.join(side.withColumn("__given", F.lit(True)), F.col("id") == F.col("__id"), "left")
-    old = F.col(f"`{name.name}`") if name.name in graph.nodes.columns else F.lit(None)
-    own = [F.col(f"`{c}`") for c in graph.nodes.columns if c != name.name]
-    made = graph.replace(nodes=joined.select(*own, F.when(F.col("__given"), F.col("__value")).otherwise(old).alias(name.name)))
+        rows = [(*(k if name.prefix == EDGE else (k,)), v) for k, v in values.items()]
+        values = graph.spark.createDataFrame(rows, f"{', '.join(f'{k} string' for k in keys)}, value {TYPES[kind]}")
+    side = values.select(*[F.col(k).cast("string").alias(f"__{k}") for k in keys], F.col("value").alias("__value"))
+    own = [f"__{k}" for k in keys]
+    if not side.groupBy(*own).count().where("count > 1").isEmpty():
+        raise ValueError("several values for one key")
+    unknown = side.join(table.select(*[F.col(k).alias(f"__{k}") for k in keys]), own, "left_anti").count()
+    same = reduce(Column.__and__, [F.col(k) == F.col(f"__{k}") for k in keys])
+    joined = table.join(side.withColumn("__given", F.lit(True)), same, "left")
+    old = F.col(f"`{name.name}`") if name.name in table.columns else F.lit(None)
+    others = [F.col(f"`{c}`") for c in table.columns if c != name.name]
+    made = graph.with_table(name.prefix, joined.select(*others, F.when(F.col("__given"), F.col("__value")).otherwise(old).alias(name.name)))
     if unknown:
-        made.warnings["invalid nodes"] += unknown
+        made.warnings[f"invalid {name.prefix}s"] += unknown
     return made
 
 

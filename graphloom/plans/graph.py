@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field, replace
+from functools import partial
+from importlib import import_module
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,19 @@ from graphloom.plans.names import EDGE, NODE, Selector, SeriesName
 from graphloom.plans.where import ALL, WhereClause
 
 HIT = "__hit"
+#: Operations that a graph offers as methods, by module; each takes the graph first.
+METHODS = {
+    "graphloom.operators.query": "select_edges select_nodes num_edges num_nodes describe describe_frame nunique nunique_frame value_counts topk",
+    "graphloom.operators.degree": "in_degree out_degree degrees",
+    "graphloom.operators.traverse": "nhops",
+    "graphloom.operators.components": "components",
+    "graphloom.operators.sample": "sample_edges sample_nodes select_sample_edges select_sample_nodes",
+    "graphloom.operators.mutate": "assign add_series add_generated drop_series rename_series erase_edges",
+    "graphloom.operators.records": "get get_records get_edge get_edges is_none load_factors series_values add_node add_edge set_values unset remove_nodes",
+    "graphloom.sources.ingest": "ingest_frames ingest_parquet_edges ingest_csv_edges",
+    "graphloom.sources.sinks": "dump_edges dump_nodes",
+}
+_MODULE_OF = {name: module for module, names in METHODS.items() for name in names.split()}
 NODE_SCHEMA = T.StructType([T.StructField("id", T.StringType())])
 EDGE_SCHEMA = T.StructType([T.StructField("u", T.StringType()), T.StructField("v", T.StringType()), T.StructField("directed", T.BooleanType())])
 
@@ -44,6 +59,15 @@ class PropertyGraph:
         """From an edge table with u, v and directed; nodes default to the edges' ends."""
         return cls(endpoints(edges) if nodes is None else nodes, edges, **more)
 
+    def __getattr__(self, name: str) -> Any:
+        """Operations as methods: ``graph.nunique(...)`` is ``query.nunique(graph, ...)``."""
+        if name in _MODULE_OF:
+            return partial(getattr(import_module(_MODULE_OF[name]), name), self)
+        raise AttributeError(name)
+
+    def __dir__(self) -> list[str]:
+        return [*super().__dir__(), *_MODULE_OF]
+
     @property
     def spark(self) -> SparkSession:
         return self.edges.sparkSession

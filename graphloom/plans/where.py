@@ -97,12 +97,14 @@ class WhereClause:
                 asked = F.pandas_udf(lambda *x, f=self.predicate: pd.Series(f(*x)).astype(bool), T.BooleanType())
             held = F.coalesce(asked(*(own[n] for n in self.names)), F.lit(False))
         else:
-            held = Compiler(lambda n: (own[n], types[columns[n]]) if n in own else _absent(n)).condition(self.rule)
+            held = Compiler(lambda n: (own[n], types[columns[n]]) if n in own else _asked_for(n, types)).condition(self.rule)
         return reduce(Column.__and__, [c.isNotNull() for c in own.values()] + [held])
 
 
-def _absent(name: str) -> tuple[Column, T.DataType]:
-    raise ValueError(f"unknown variable {name!r}")
+def _asked_for(name: str, types: dict[str, T.DataType]) -> tuple[Column, T.DataType]:
+    """A series that a clause does not read but asks after, as ``missing`` does: its column, or null if there is none."""
+    series = SeriesName.parse(name).name
+    return (F.col(f"`{series}`"), types[series]) if series in types else (F.lit(None).cast("string"), T.StringType())
 
 
 def _kind(names: Sequence[str], strict_reference: bool) -> str:

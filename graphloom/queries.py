@@ -6,6 +6,7 @@ UE: events as user -> event type edges. GEO: the tree customer -> nation -> regi
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Callable
 from typing import Any
@@ -13,12 +14,13 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom import cli
 from graphloom.operators import components, degree, mutate, query, records, sample, traverse
 from graphloom.plans.graph import PropertyGraph
 from graphloom.plans.where import WhereClause
-from graphloom.session import fresh_path
+from graphloom.session import FileSystem, fresh_path
 from graphloom.sources import ingest, sinks
-from graphloom.sources.store import GraphStore
+from graphloom.sources.store import GraphStore, copy_graph, remove_graph
 
 SEEDS = ["O1", "O2", "P7"]
 
@@ -164,6 +166,98 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query.value_counts(GraphStore(spark, path, create=False).graph, "edge.big")
 
 
+def _ingested_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ingests into one store, the second with a series of its own."""
+    store, rows = GraphStore(spark, fresh_path(spark, "store")), _rows_op(spark, sf_dir)
+    first = store.update(ingest.ingest_frames, [rows.where("linenumber <= 3").drop("shipdate")], "order", "part")
+    second = store.update(ingest.ingest_frames, [rows.where("linenumber > 3")], "order", "part")
+    found = query.value_counts(GraphStore(spark, store.path, create=False).graph, "edge.linenumber")
+    return found.withColumn("new_nodes", F.lit(first["num_nodes_ingested"] + second["num_nodes_ingested"]))
+
+
+def _copied_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that is compacted, copied and then removed: what is left of both."""
+    store = GraphStore(spark, fresh_path(spark, "store"))
+    for nation in (True, False):
+        rows = geo_graph(spark, sf_dir).edges.where(F.col("segment").isNull() == nation)
+        store.update(ingest.ingest_frames, [rows.select("u", "v", "segment")], "u", "v")
+    store.compact()
+    store.vacuum()
+    target = fresh_path(spark, "store")
+    copy_graph(spark, store.path, target)
+    removed = remove_graph(spark, store.path)
+    copied = GraphStore(spark, target, create=False)
+    return query.describe_frame(copied.graph).withColumns({"good": F.lit(copied.good()), "removed": F.lit(removed and not remove_graph(spark, store.path))})
+
+
+def _written_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and nations through the row writer."""
+    path = fresh_path(spark, "rows")
+    with sinks.RowWriter(spark, path, "key:i, name:s, region:b, half:f", batch_rows=10) as writer:
+        writer.write_rows((r[0], r[1], True, r[0] / 2) for r in _read(spark, sf_dir, "region").toLocalIterator())
+        writer.write_rows((r[0], r[1], False, None) for r in _read(spark, sf_dir, "nation").select("n_nationkey", "n_name").toLocalIterator())
+    return spark.read.parquet(path)
+
+
+def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in nested folders through the converter, with one series."""
+    path = fresh_path(spark, "convert")
+    for status in ("F", "O", "P"):
+        co_graph(spark, sf_dir).edges.where(F.col("status") == status).select("u", "v", "status", "priority").write.parquet(f"{path}/in/{status}/x")
+    cli.run(spark, "convert", f"{path}/graph", input_path=f"{path}/in", directed=False, meta=["status"], recursive=True)
+    return flat(query.select_edges(GraphStore(spark, f"{path}/graph", create=False).graph))
+
+
+def _rule_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A where-clause from a file in the shared folder."""
+    path = fresh_path(spark, "rule") + ".json"
+    path = path if "://" in path else f"file://{path}"
+    FileSystem(spark, path).create_text(path, json.dumps({"rule": BIG}))
+    return flat(query.select_edges(op_graph(spark, sf_dir), ["edge.u", "edge.v"], where=path))
+
+
+def _command_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The topk and stats commands on a stored graph."""
+    path = fresh_path(spark, "store")
+    GraphStore(spark, path).update(ingest.ingest_frames, [_rows_op(spark, sf_dir).select("order", "part", "quantity", "linenumber")], "order", "part")
+    rows = cli.run(spark, "topk", path, series="edge.quantity", k=5, addl_series=["edge.u", "edge.v"])
+    stats = cli.run(spark, "stats", path)
+    return spark.createDataFrame([(*r, stats["nv"], len(stats["series"])) for r in rows], "quantity double, u string, v string, nv long, series long")
+
+
+def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph without most of its orders and with some parts twice."""
+    graph = op_graph(spark, sf_dir)
+    nodes = graph.nodes.where("id like 'P%' or id like 'O%7'")
+    return graph.replace(nodes=nodes.union(nodes.where("id like 'P%1'"))).check_integrity()
+
+
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series, whether some exist, and fields of edges and nodes by key."""
+    graph = _gnum(spark, sf_dir)
+    rows = [(s, graph.has_series(s), graph.selector_info()[s]) for s in [*graph.node_series(), *graph.edge_series()]]
+    return spark.createDataFrame([*rows, ("edge.nothing", graph.has_series("edge.nothing"), None)], "series string, known boolean, kind string")
+
+
+def _edge_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge values set by (u, v) from a table, read back for the edges of some parts."""
+    graph, rows = op_graph(spark, sf_dir), _rows_op(spark, sf_dir)
+    rates = rows.where("discount > 0.05").groupBy(F.col("order").alias("u"), F.col("part").alias("v")).agg(F.max("discount").alias("value"))
+    graph = graph.set_values("edge.rate", rates)
+    wanted = graph.edges.where("v like 'P%3'").select("u", "v")
+    return flat(graph.get_edges(wanted, ["edge.u", "edge.v", "edge.linenumber", "edge.rate"]))
+
+
+def _added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A node and two edges added one by one to a stored graph."""
+    store = GraphStore(spark, fresh_path(spark, "store"))
+    store.update(ingest.ingest_frames, [_rows_op(spark, sf_dir).select("order", "part", "quantity")], "order", "part")
+    store.update(records.add_node, "lonely")
+    store.update(records.add_edge, "lonely", "P1", quantity=99)
+    store.update(records.add_edge, "new", "newer", False)
+    return flat(query.select_edges(store.graph, where={"in": [{"var": "edge.u"}, ["lonely", "new", "O1"]]})).withColumn("nodes", F.lit(query.num_nodes(store.graph)))
+
+
 def _dumped(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "dump")
     sinks.dump_edges(op_graph(spark, sf_dir), path, ["edge.quantity", "edge.returnflag"])
@@ -189,6 +283,16 @@ Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "ingest_counts": (_counts, f"WITH {OP} SELECT (SELECT count(*) FROM op)::BIGINT AS num_edges, (SELECT count(*) FROM opn)::BIGINT AS num_nodes"),
     "ingest_parquet": (_parquet_ingested, "SELECT o_custkey::VARCHAR AS edge_u, o_orderkey::VARCHAR AS edge_v, false AS edge_directed, o_orderstatus AS edge_o_orderstatus, o_totalprice AS edge_o_totalprice, epoch_us(o_orderdate) AS edge_o_orderdate FROM orders"),
     "store_reopened": (_stored, f"WITH {OP} SELECT CASE WHEN quantity >= 45 THEN true END AS value, count(*)::BIGINT AS count FROM op WHERE returnflag <> 'R' GROUP BY 1"),
+    "ingest_twice": (_ingested_twice, f"WITH {OP} SELECT linenumber AS value, count(*)::BIGINT AS count, (SELECT count(*) FROM opn)::INT AS new_nodes FROM op GROUP BY 1"),
+    "store_copied": (_copied_store, "WITH g AS (SELECT 'C' || c_custkey AS u, 'N' || c_nationkey AS v FROM customer UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation) SELECT (SELECT count(*) FROM (SELECT u FROM g UNION SELECT v FROM g))::BIGINT AS nv, (SELECT count(*) FROM g)::BIGINT AS ne, true AS good, true AS removed"),
+    "row_writer": (_written_rows, "SELECT r_regionkey::BIGINT AS key, r_name AS name, true AS region, r_regionkey / 2 AS half FROM region UNION ALL SELECT n_nationkey, n_name, false, NULL FROM nation"),
+    "converter": (_converted, f"WITH {CO} SELECT u AS edge_u, v AS edge_v, false AS edge_directed, status AS edge_status FROM co"),
+    "rule_file": (_rule_file, f"WITH {OP} SELECT u AS edge_u, v AS edge_v FROM op WHERE quantity >= 45"),
+    "commands": (_command_rows, f"WITH {OP} SELECT quantity, u, v, (SELECT count(*) FROM opn)::BIGINT AS nv, 8::BIGINT AS series FROM op ORDER BY quantity DESC, u, v LIMIT 5"),
+    "integrity_broken": (_broken, f"WITH {OP} SELECT 'edge end without node' AS problem, id FROM opn WHERE id LIKE 'O%' AND id NOT LIKE 'O%7' UNION ALL SELECT 'repeated node', id FROM opn WHERE id LIKE 'P%1'"),
+    "catalogue": (_catalogue, "SELECT unnest(['node.id', 'node.gnum', 'edge.u', 'edge.v', 'edge.directed', 'edge.quantity', 'edge.discount', 'edge.returnflag', 'edge.linestatus', 'edge.linenumber', 'edge.shipdate', 'edge.nothing']) AS series, unnest([true, true, true, true, true, true, true, true, true, true, true, false]) AS known, unnest(['string', 'bigint', 'string', 'string', 'boolean', 'double', 'double', 'string', 'string', 'bigint', 'bigint', NULL]) AS kind"),
+    "edge_cells": (_edge_cells, f"WITH {OP}, r AS (SELECT u, v, max(discount) AS rate FROM op WHERE discount > 0.05 GROUP BY u, v) SELECT op.u AS edge_u, op.v AS edge_v, linenumber AS edge_linenumber, rate AS edge_rate FROM op LEFT JOIN r ON op.u = r.u AND op.v = r.v WHERE op.v LIKE 'P%3'"),
+    "added_records": (_added, f"WITH {OP}, n AS (SELECT count(*) + 3 AS n FROM opn) SELECT u AS edge_u, v AS edge_v, directed AS edge_directed, quantity AS edge_quantity, n::INT AS nodes FROM (SELECT u, v, directed, quantity FROM op WHERE u = 'O1' UNION ALL VALUES ('lonely', 'P1', true, 99.0::DOUBLE), ('new', 'newer', false, NULL)), n"),
     "dump_edges": (_dumped, f"WITH {OP} SELECT u, v, directed, quantity, returnflag FROM op"),
     "dump_nodes": (_dumped_nodes, f"""WITH {OP}, {DEG} SELECT id, i AS "in" FROM deg"""),
     "integrity_check": (lambda s, d: op_graph(s, d).check_integrity(), "SELECT '' AS problem, '' AS id WHERE false"),
@@ -216,7 +320,12 @@ Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "jl_logic": (_edges_json({"and": [{"!": [RETURNED]}, {"or": [BIG, {"<": [{"var": "edge.discount"}, 0.02]}]}]}), _jl("returnflag <> 'R' AND (quantity >= 45 OR discount < 0.02)")),
     "jl_if": (_edges_json({"if": [RETURNED, {">": [{"var": "edge.quantity"}, 30]}, {"==": [{"var": "edge.linestatus"}, "O"]}, True, False]}), _jl("CASE WHEN returnflag = 'R' THEN quantity > 30 WHEN linestatus = 'O' THEN true ELSE false END")),
     "jl_arithmetic": (_edges_json({">": [{"*": [{"var": "edge.quantity"}, {"-": [1, {"var": "edge.discount"}]}]}, {"+": [{"/": [{"var": "edge.quantity"}, 2]}, {"%": [{"var": "edge.linenumber"}, 3]}, 20]}]}), _jl("quantity * (1 - discount) > quantity / 2 + linenumber % 3 + 20")),
-    "jl_min_max": (_edges_json({"<": [{"max": [{"var": "edge.quantity"}, 10]}, {"min": [{"var": "edge.linenumber"}, 50]}]}), _jl("greatest(quantity, 10) < least(linenumber, 50)")),
+    "jl_min_max": (_edges_json({"<": [{"max": [{"var": "edge.linenumber"}, 3]}, {"min": [{"var": "edge.quantity"}, 6]}]}), _jl("greatest(linenumber, 3) < least(quantity, 6)")),
+    "jl_missing": (_edges_json({"and": [{"!": [{"missing": ["edge.quantity", "edge.discount"]}]}, {"!": [{"missing_some": [1, ["edge.quantity", "edge.nothing"]]}]}, {"missing": ["edge.nothing"]}, BIG]}), _jl("quantity >= 45")),
+    "jl_map_filter": (_edges_json({"in": [{"var": "edge.linenumber"}, {"map": [[0, 1, 2], {"*": [{"var": ""}, 3]}]}]}), _jl("linenumber IN (0, 3, 6)")),
+    "jl_reduce": (_edges_json({"<": [{"reduce": [[1, 2, 3], {"+": [{"var": "current"}, {"var": "accumulator"}]}, {"var": "edge.linenumber"}]}, 9]}), _jl("6 + linenumber < 9")),
+    "jl_all_none": (_edges_json({"and": [{"all": [[1, 2], {"<=": [{"var": ""}, {"var": "edge.linenumber"}]}]}, {"none": [[3, 5], {"==": [{"var": ""}, {"var": "edge.linenumber"}]}]}]}), _jl("linenumber >= 2 AND linenumber NOT IN (3, 5)")),
+    "jl_merge": (_edges_json({"in": [{"var": "edge.linenumber"}, {"merge": [[1, 2], 5, [7]]}]}), _jl("linenumber IN (1, 2, 5, 7)")),
     "jl_in": (_edges_json({"and": [{"in": [{"var": "edge.returnflag"}, ["R", "A"]]}, {"in": ["9", {"var": "edge.v"}]}]}), _jl("returnflag IN ('R', 'A') AND contains(v, '9')")),
     "jl_text": (_edges_json({"==": [{"cat": [{"substr": [{"var": "edge.v"}, -2]}, "-", {"substr": [{"var": "edge.u"}, 0, 2]}]}, "17-O1"]}), _jl("right(v, 2) || '-' || left(u, 2) = '17-O1'")),
     "jl_lists": (_edges_json({"some": [[1, 4, 7], {"==": [{"var": ""}, {"var": "edge.linenumber"}]}]}), _jl("linenumber IN (1, 4, 7)")),
@@ -272,6 +381,8 @@ Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "get_records": (lambda s, d: flat(records.get_records(_busy(s, d), ["P1", "P2", "O1", "X9"])), f"WITH {OP}, {DEG} SELECT id AS node_id, i AS node_in, o AS node_out FROM deg WHERE id IN ('P1', 'P2', 'O1', 'X9')"),
     "remove_nodes": (lambda s, d: query.describe_frame(records.remove_nodes(_busy(s, d), BUSY)), f"WITH {OP}, {DEG} SELECT (SELECT count(*) FROM opn ANTI JOIN busy USING (id))::BIGINT AS nv, (SELECT count(*) FROM op WHERE u NOT IN (FROM busy) AND v NOT IN (FROM busy))::BIGINT AS ne"),
     "generator_series": (lambda s, d: flat(query.select_nodes(mutate.add_generated(op_graph(s, d), "node.who", "email", seed=5))), None),
+    "generator_shape": (lambda s, d: mutate.add_generated(op_graph(s, d), "edge.p", "int_percentage", BIG, 3).edges.agg(F.count("*").alias("n"), F.count("p").alias("filled"), F.count_if(F.expr("p between 0 and 100")).alias("fit")), f"WITH {OP} SELECT count(*)::BIGINT AS n, count(*) FILTER (quantity >= 45)::BIGINT AS filled, count(*) FILTER (quantity >= 45)::BIGINT AS fit FROM op"),
+    "generator_function": (lambda s, d: mutate.add_generated(op_graph(s, d), "node.n", lambda rows: rows * 0 + 7, kind="long").nodes.groupBy("n").count(), f"WITH {OP} SELECT 7::BIGINT AS n, count(*)::BIGINT AS count FROM opn"),
     "copy_edges_csv": (lambda s, d: _csv_round_trip(s, d), f"WITH {CO} SELECT u AS edge_u, v AS edge_v, false AS edge_directed, status AS edge_status, totalprice AS edge_totalprice FROM co"),
 }
 
