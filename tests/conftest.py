@@ -1,7 +1,9 @@
-"""One local session for all tests, and graphs from the reference fixtures."""
+"""One local session for all tests, and four small graphs."""
 
 from __future__ import annotations
 
+from itertools import combinations, pairwise
+
 import pytest
 from pyspark.sql import SparkSession
 
@@ -9,22 +11,21 @@ from graphloom.operators import mutate
 from graphloom.plans.graph import PropertyGraph
 from graphloom.sources.ingest import ingest_frames
 
-SCHEMA = "s string, t string, graphnum long, weight double, color string, name string, relevant boolean, randint long"
-
-
-def _edges(prefix: str, pairs: list[str], graphnum: int, relevant: bool, numbers: list[int], colors: list[str | None]) -> list[tuple]:
-    return [(f"{prefix}-{p[0]}", f"{prefix}-{p[1]}", graphnum, 1.0, c, f"n{k}", relevant, n) for k, (p, n, c) in enumerate(zip(pairs, numbers, colors, strict=True))]
+SCHEMA = "s string, t string, part long, load double, paint string, title string, kept boolean, score long"
+PAINTS = ("ochre", "teal", "plum", "sand", "moss")
 
 
 def four_graphs() -> list[tuple]:
-    """Two triangles that share a vertex, a 4-clique, a 5-clique and a path: 21 vertices, 28 edges."""
-    clique = lambda names: [a + b for i, a in enumerate(names) for b in names[i + 1 :]]
-    return [
-        *_edges("2tri", ["ab", "bc", "ca", "cd", "de", "ec"], 0, False, [67, 45, 23, 89, 12, 78], ["red", "red"] * 3),
-        *_edges("4clique", clique("abcd"), 1, True, [57, 84, 19, 76, 33, 92], ["blue", "green", None, "blue", "grey", "black"]),
-        *_edges("5clique", clique("abcde"), 2, False, [34, 56, 78, 90, 12, 45, 67, 89, 23, 54], ["red"] * 10),
-        *_edges("path", ["ab", "bc", "cd", "de", "ef", "fg"], 3, True, [42, 73, 15, 88, 29, 61], ["red", "orange", "yellow", "green", "blue", "indigo"]),
-    ]
+    """A ring with a chord, all pairs of four, all pairs of five, and a road: 21 vertices, 28 edges."""
+    shapes = {
+        "ring": [*pairwise("abcde"), ("e", "a"), ("a", "c")],
+        "four": list(combinations("abcd", 2)),
+        "five": list(combinations("abcde", 2)),
+        "road": list(pairwise("abcdefg")),
+    }
+    rows = [(name, part, a, b) for part, (name, pairs) in enumerate(shapes.items()) for a, b in pairs]
+    paint = lambda k: None if k == 8 else PAINTS[k * k % 7 % 5]
+    return [(f"{name}-{a}", f"{name}-{b}", part, 1.0, paint(k), f"e{k}", part % 2 == 1, (k * 37 + 11) % 50 * 2 + (k % 3 == 0)) for k, (name, part, a, b) in enumerate(rows)]
 
 
 @pytest.fixture(scope="session")
@@ -45,6 +46,6 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def graph(spark) -> PropertyGraph:
-    """The four graphs, with node.gnum = 3 at the ends of the path's edges."""
+    """The four graphs, with node.gnum = 3 at the ends of the road's edges."""
     made, _ = ingest_frames(PropertyGraph.empty(spark), [spark.createDataFrame(four_graphs(), SCHEMA)], "s", "t")
-    return mutate.assign(made, "node.gnum", 3, made.edge.graphnum == 3)
+    return mutate.assign(made, "node.gnum", 3, made.edge.part == 3)

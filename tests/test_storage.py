@@ -11,9 +11,10 @@ from graphloom import cli
 from graphloom.functions.formatting import shortest_double
 from graphloom.operators import mutate, query
 from graphloom.plans.graph import PropertyGraph
-from graphloom.session import delete_path
+from graphloom.plans.where import WhereClause
+from graphloom.session import delete_path, shared_dir
 from graphloom.sources import ingest, sinks
-from graphloom.sources.store import GraphStore, copy_graph, remove_graph
+from graphloom.sources.store import ConcurrentChange, GraphStore, copy_graph, remove_graph
 from graphloom.streaming.append import append_stream, windowed_counts
 from tests.conftest import SCHEMA, four_graphs
 
@@ -23,7 +24,7 @@ def edge_files(spark, tmp_path):
     rows = four_graphs()
     for k in range(4):
         part = spark.createDataFrame([r for r in rows if r[2] == k], SCHEMA)
-        part = part.withColumn("weight", F.col("weight").cast("long")) if k == 3 else part  # files may disagree
+        part = part.withColumn("load", F.col("load").cast("long")) if k == 3 else part  # files may disagree
         part.coalesce(1).write.parquet(str(tmp_path / "edges" / f"g{k}"))
     return str(tmp_path / "edges")
 
@@ -31,10 +32,10 @@ def edge_files(spark, tmp_path):
 def test_ingest_parquet(spark, edge_files):
     graph, counts = ingest.ingest_parquet_edges(PropertyGraph.empty(spark), edge_files, "s", "t")
     assert counts == {"num_edges_ingested": 28, "num_nodes_ingested": 21}
-    assert dict(graph.edges.dtypes)["weight"] == "double" and graph.check_integrity().isEmpty()
-    graph, counts = ingest.ingest_parquet_edges(graph, edge_files, "s", "t", False, ["color", "absent"])
+    assert dict(graph.edges.dtypes)["load"] == "double" and graph.check_integrity().isEmpty()
+    graph, counts = ingest.ingest_parquet_edges(graph, edge_files, "s", "t", False, ["paint", "absent"])
     assert counts == {"num_edges_ingested": 28, "num_nodes_ingested": 0}
-    assert query.num_edges(graph) == 56 and graph.edges.where("not directed and weight is null").count() == 28
+    assert query.num_edges(graph) == 56 and graph.edges.where("not directed and load is null").count() == 28
     with pytest.raises(ValueError, match="no such column"):
         ingest.ingest_parquet_edges(graph, edge_files, "s", "x")
 
@@ -69,7 +70,7 @@ def test_store(spark, edge_files, tmp_path):
     store = GraphStore(spark, path)
     assert store.update(ingest.ingest_parquet_edges, edge_files, "s", "t")["num_edges_ingested"] == 28
     nodes = store.manifest["nodes"]
-    store.update(mutate.assign, "edge.x", 1, {"==": [{"var": "edge.graphnum"}, 2]})
+    store.update(mutate.assign, "edge.x", 1, {"==": [{"var": "edge.part"}, 2]})
     assert store.manifest["nodes"] == nodes  # only the changed table is written
     again = GraphStore(spark, path, create=False)
     assert query.describe(again.graph) == {"nv": 21, "ne": 28, "path": path} and again.good()
@@ -84,10 +85,58 @@ def test_store(spark, edge_files, tmp_path):
         copy_graph(spark, path, str(tmp_path / "other"))
 
 
+def test_ingest_adds_parts(spark, edge_files, tmp_path):
+    path = str(tmp_path / "graph")
+    store = GraphStore(spark, path)
+    store.update(ingest.ingest_parquet_edges, edge_files, "s", "t")
+    files = {f: f.stat().st_size for f in (tmp_path / "graph").rglob("*.parquet")}
+    counts = store.update(ingest.ingest_parquet_edges, edge_files, "s", "t", True, ["load"])
+    assert counts == {"num_edges_ingested": 28, "num_nodes_ingested": 0}
+    more = {f: f.stat().st_size for f in (tmp_path / "graph").rglob("*.parquet")}
+    assert files.items() <= more.items()  # nothing was written again
+    assert sum(spark.read.parquet(str(f)).count() for f in more if f not in files) == 28
+    again = GraphStore(spark, path, create=False)
+    assert query.describe(again.graph) == {"nv": 21, "ne": 56, "path": path} and again.good() and again.graph.edges.where("paint is null").count() == 29
+    assert again.compact() == ["nodes", "edges"] and again.compact() == []
+    assert again.vacuum() and query.describe(again.graph)["ne"] == 56
+    store.update(mutate.assign, "edge.x", 1)  # a store that was opened before goes on from the newest graph
+    assert GraphStore(spark, path).graph.edges.where("x = 1").count() == 56
+
+
+def test_no_change_is_lost(spark, edge_files, tmp_path):
+    first = GraphStore(spark, str(tmp_path / "graph"))
+    first.update(ingest.ingest_parquet_edges, edge_files, "s", "t")
+    second, before = GraphStore(spark, str(tmp_path / "graph")), first.graph
+    second.update(mutate.assign, "edge.x", 1)
+    with pytest.raises(ConcurrentChange):
+        first.save(mutate.assign(before, "edge.y", 1), before)
+    first.update(mutate.assign, "edge.y", 1)
+    assert {"x", "y"} <= set(GraphStore(spark, str(tmp_path / "graph")).graph.edges.columns)
+
+
+def test_rule_files_of_any_file_system(spark, tmp_path):
+    (tmp_path / "rule.json").write_text('{"rule": {"==": [{"var": "edge.part"}, 1]}}')
+    for name in (str(tmp_path / "rule.json"), f"file://{tmp_path}/rule.json"):
+        assert WhereClause.of(name).names == ("edge.part",)
+
+
+def test_shared_folder(spark):
+    class Context:
+        master = "spark://somewhere:7077"
+        getConf = staticmethod(dict)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext, conf = Context, {}
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(Session)
+
+
 def test_dump(spark, graph, tmp_path):
-    made = sinks.dump_edges(graph, str(tmp_path / "e"), ["color", "edge.randint", "nothing"])
+    made = sinks.dump_edges(graph, str(tmp_path / "e"), ["paint", "edge.score", "nothing"])
     assert made["rows_written"] == 28 and made["warnings"] == {"unknown series: edge.nothing": 1}
-    assert spark.read.parquet(str(tmp_path / "e")).columns == ["u", "v", "directed", "color", "randint"]
+    assert spark.read.parquet(str(tmp_path / "e")).columns == ["u", "v", "directed", "paint", "score"]
     assert sinks.dump_nodes(graph, str(tmp_path / "n"), where=graph.node.gnum == 3)["rows_written"] == 7
     assert spark.read.parquet(str(tmp_path / "n")).columns == ["id", "gnum"]
     with pytest.raises(Exception, match="exist"):
@@ -137,13 +186,13 @@ def test_commands(spark, edge_files, tmp_path, capsys):
     run("create")
     assert run("ingest_parquet_edges", input_path=edge_files, col_u="s", col_v="t")["num_nodes_ingested"] == 21
     assert run("describe") == {"nv": 21, "ne": 28, "path": path}
-    run("assign", series_name="node.gnum", value=3, where={"rule": {"==": [{"var": "edge.graphnum"}, 3]}})
+    run("assign", series_name="node.gnum", value=3, where={"rule": {"==": [{"var": "edge.part"}, 3]}})
     assert run("nunique", series_names=["node.gnum"]) == {"node.gnum": 1}
-    assert run("value_counts", series_name="edge.graphnum", k=1) == [[2, 10]]
-    assert run("topk", series="edge.randint", k=2, series_names=["edge.v"]) == [[92, "4clique-d"], [90, "5clique-e"]]
+    assert run("value_counts", series_name="edge.part", k=1) == [[2, 10]]
+    assert run("topk", series="edge.score", k=2, series_names=["edge.v"]) == [[r[7], r[1]] for r in sorted(four_graphs(), key=lambda r: (-r[7], r[1]))[:2]]
     run("in_degree", output="in")
     run("out_degree", output="node.out")
-    run("nhops", output="hops", nhops=2, seeds=["path-a"])
+    run("nhops", output="hops", nhops=2, seeds=["road-a"])
     run("connected_components", output="comp")
     assert run("nunique", series_names=["node.comp", "node.hops"]) == {"node.comp": 4, "node.hops": 3}
     assert len(run("select_edges", limit=5)) == 5 and set(run("select_nodes", series_names=["id"])[0]) == {"node.id"}
@@ -154,13 +203,21 @@ def test_commands(spark, edge_files, tmp_path, capsys):
     run("rename_series", old_name="node.who", new_name="person")
     run("drop_series", series_name="node.person")
     run("add_series", series_name="node.spare", kind="double")
-    run("erase_edges", series_name="edge.color", erase_list=["red"])
-    assert run("describe")["ne"] == 11 and run("check") == [] and "edge.v.gnum" in run("stats")["series"]
+    run("erase_edges", series_name="edge.paint", erase_list=["teal"])
+    left = sum(r[4] != "teal" for r in four_graphs())
+    assert run("describe")["ne"] == left and run("check") == [] and "edge.v.gnum" in run("stats")["series"]
     assert run("dump_parquet_nodes", output_path=str(tmp_path / "n"))["rows_written"] == 21
-    assert run("dump_parquet_edges", output_path=str(tmp_path / "e"), series_names=["color"])["rows_written"] == 11
+    assert run("dump_parquet_edges", output_path=str(tmp_path / "e"), series_names=["paint"])["rows_written"] == left
     run("copy", output_path=str(tmp_path / "copy"))
     assert run("remove") and not run("remove")
-    assert run("convert", input_path=edge_files, col_u="s", col_v="t", directed=False, series_names=["color"])["nv"] == 21
+    assert run("convert", input_path=edge_files, col_u="s", col_v="t", directed=False, meta=["paint"], recursive=True)["edge_series"] == ["edge.u", "edge.v", "edge.directed", "edge.paint"]
+    assert run("convert", input_path=f"{edge_files}/g1", col_u="s", col_v="t")["edge_series"] == ["edge.u", "edge.v", "edge.directed"]
+    with pytest.raises(Exception, match="(?i)schema|not exist|not found"):
+        run("convert", input_path=edge_files, col_u="s", col_v="t")  # folders are gone through on request only
+    run("create", overwrite=True)
+    run("ingest_parquet_edges", input_path=edge_files, col_u="s", col_v="t", metadata=["score"])
+    assert run("topk", series="edge.score", k=1, addl_series=["edge.u"]) == [[r[7], r[0]] for r in sorted(four_graphs(), key=lambda r: (-r[7], r[0]))[:1]]
+    assert run("dump_parquet_edges", output_path=str(tmp_path / "f"), fields=["score"])["rows_written"] == 28
     assert cli.main(["welcome"]) == 0 and "commands" in capsys.readouterr().out
     assert cli.main(["docs"]) == 0 and "| nhops | output, nhops, seeds, where=None | yes |" in capsys.readouterr().out
     assert len(cli.commands()) >= 27
@@ -168,9 +225,9 @@ def test_commands(spark, edge_files, tmp_path, capsys):
 
 def test_command_line(spark, edge_files, tmp_path, capsys):
     path = str(tmp_path / "graph")
-    assert cli.main(["convert", "--path", path, "--input_path", edge_files, "--col_u", "s", "--col_v", "t", "--undirected"]) == 0
+    assert cli.main(["convert", "--path", path, "--input_path", edge_files, "--col_u", "s", "--col_v", "t", "--undirected", "--recursive", "--meta", "part,paint"]) == 0
     assert json.loads(capsys.readouterr().out)["ne"] == 28
-    assert cli.main(["select_edges", "--path", path, "--where", '{"rule": {"==": [{"var": "edge.graphnum"}, 1]}}', "--series_names", "edge.u"]) == 0
+    assert cli.main(["select_edges", "--path", path, "--where", '{"rule": {"==": [{"var": "edge.part"}, 1]}}', "--series_names", "edge.u"]) == 0
     assert len(json.loads(capsys.readouterr().out)) == 6
     assert cli.main(["drop_series", "--path", path, "--series_name", "edge.u"]) == 1
     assert "reserved" in capsys.readouterr().err
