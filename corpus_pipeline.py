@@ -1,4 +1,15 @@
-"""Corpus pipeline: each stage reads what its predecessor kept, written as Parquet in between."""
+"""Corpus pipeline: each stage reads what its predecessor kept, written as Parquet in between.
+
+Stages: texts in no learned language go; of each class of near duplicates the row with the least id
+stays; documents that hold any window of a benchmark item go; sources are mixed to their target
+weights; what is left is written as token ids and read back.
+
+Defined cases: rows with a null, empty or wordless text are in no language and go in the first stage;
+a very long text passes through whole; a null ``doc_id`` stays null, and of such near copies one stays;
+rows that are equal, or share an id, are told apart as the stages' docstrings say; a null source is a
+source of its own; other columns stay, whatever their names, up to the last stage; an empty table gives
+no rows.
+"""
 
 from __future__ import annotations
 
