@@ -65,19 +65,25 @@ def plain_grams(text):
     return [spaced[k : k + 4] for k in range(max(1, len(spaced) - 3))] if any(unicodedata.category(c)[0] == "L" for c in kept) else []
 
 
-def test_against_plain_sets(spark, labelled):
-    """Shares and labels against sets of n-grams: the filter may add chance hits only, and its correction takes them off."""
-    rows, docs = labelled
-    model, counts, seen = L.fit(docs), {}, Counter()
-    for r in docs.collect():
-        if r["lang"] is not None:
-            seen[r["lang"]] += 1
-            counts.setdefault(r["lang"], Counter()).update(plain_grams(r["text"]))
+def plain_sets(rows):
+    """The n-grams that each language of (text, lang) contains, and how many rows it has."""
+    counts, seen = {}, Counter()
+    for text, lang in rows:
+        if lang is not None:
+            seen[lang] += 1
+            counts.setdefault(lang, Counter()).update(plain_grams(text))
     share = {lang: {g: n / own.total() for g, n in own.items() if n / own.total() >= L.MIN_SHARE} for lang, own in counts.items()}
     total = Counter()
     for own in share.values():
         total.update(own)
-    contained = {lang: {g for g, x in own.items() if x / total[g] >= L.OWN_SHARE} for lang, own in share.items()}
+    return {lang: {g for g, x in own.items() if x / total[g] >= L.OWN_SHARE} for lang, own in share.items()}, seen
+
+
+def test_against_plain_sets(spark, labelled):
+    """Shares and labels against sets of n-grams: the filter may add chance hits only, and its correction takes them off."""
+    rows, docs = labelled
+    model = L.fit(docs)
+    contained, seen = plain_sets((r["text"], r["lang"]) for r in docs.collect())
     assert model.labels == sorted(seen, key=lambda x: (-seen[x], x))
     for text in [r[1] for r in rows] + ["the und que", "Zq Xk!", "Ärger d'été ①", "日本 the"]:
         own = plain_grams(text)
