@@ -130,17 +130,22 @@ def _positions(numbers: np.ndarray, size: int) -> Iterator[np.ndarray]:
 
 
 def _sample(labelled: DataFrame, train_docs: int, languages: int, frequency: DataFrame) -> DataFrame:
-    """(lang, text) of at most ``train_docs`` documents a language; only ids are ranked and shuffled."""
-    order = W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id")
+    """(lang, text) of at most ``train_docs`` documents a language; only hashes are ranked and shuffled.
+
+    Documents are known by a hash of the id, or of the text where there is none. A hash with many rows comes after the
+    others and is left out if its rows do not fit, so that no id or copied text, however frequent, breaks the bound.
+    """
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    keyed = labelled.select("lang", "text", key.alias("key"))
     # hashes below the share wanted, with a margin, go on to the exact ranks
-    reach = F.broadcast(frequency.select(F.col("lang").alias("l"), (train_docs * 1.5 + 200) / F.col("count")).toDF("l", "reach"))
-    near = labelled.select("doc_id", "lang").join(reach, F.col("lang") == F.col("l"))
-    near = near.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("reach") * (1 << 30))
-    chosen = near.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= train_docs)
-    chosen = chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct()
+    reach = frequency.select(F.col("lang").alias("l"), (train_docs * 1.5 + 200) / F.col("count")).toDF("l", "reach")
+    near = keyed.select("lang", "key").join(F.broadcast(reach) if languages <= BROADCAST_ROWS else reach, F.col("lang") == F.col("l"))
+    near = near.where(F.pmod("key", F.lit(1 << 30)) < F.col("reach") * (1 << 30)).groupBy("lang", "key").agg(F.count("*").alias("n")).where(F.col("n") <= train_docs)
+    order = W.partitionBy("lang").orderBy(F.col("n") > 10, F.pmod("key", F.lit(1 << 30)), "key").rowsBetween(W.unboundedPreceding, 0)
+    chosen = near.withColumn("held", F.sum("n").over(order)).where(F.col("held") <= train_docs).select(F.col("key").alias("k"), F.col("lang").alias("l"))
     if languages * train_docs <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    return labelled.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("l")), "left_semi").select("lang", "text")
+    return keyed.join(chosen, (F.col("key") == F.col("k")) & (F.col("lang") == F.col("l")), "left_semi").select("lang", "text")
 
 
 def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> BitSlicedBloom:

@@ -105,6 +105,17 @@ def test_training_is_bounded_and_ignores_labels_left_out(spark, labelled):
     assert sum(model.decide(t)[0] == lang for _, t, lang, _ in rows) >= 0.98 * len(rows)
 
 
+def test_no_id_or_text_breaks_the_bound(spark):
+    rng = random.Random(2)
+    rows = [(k, data.prose(rng, "en", 20), "en", "s") for k in range(60)] + [(7_000, data.prose(rng, "en", 20), "en", "s") for _ in range(300)]
+    rows += [(None, "same text again", "en", "s")] * 300 + [(None, data.prose(rng, "de", 20), "de", "s") for _ in range(200)]
+    labelled = data.frame(spark, rows).select("doc_id", "lang", "text")
+    per = labelled.groupBy("lang").count()
+    held = {r["lang"]: r["count"] for r in L._sample(labelled, 50, 2, per).groupBy("lang").count().collect()}
+    assert 25 <= held["en"] <= 50 and held["de"] == 50
+    assert L.fit(data.frame(spark, rows), train_docs=50).decide(rows[0][1])[0] == "en"
+
+
 def test_without_labels_everything_is_und(spark):
     docs = data.frame(spark, [(1, "hello there", None, None)])
     model = L.fit(docs)
