@@ -16,12 +16,15 @@ The template is ``<|role|>``, a line feed, the text, ``<|end|>``, a line feed. E
 in a role or text gets a backslash after its first character and backslashes are doubled, which the
 reader undoes; no text can open, close or forge a turn.
 
-Turns are ordered by turn (null first), role and text. Prefix sums go over turns sorted by range (see
-``running_sums``), and windows are built per conversation and block, so a conversation of any length,
-with or without turn numbers, is spread; a turn is dealt to two blocks at most, the system turn to each
-block that has turns, from as many copies as the conversation has thousands of turns. Texts are
-shuffled twice to be formatted. ``read_back`` streams sorted windows and holds one at a time; as its
-digests are chains over whole conversations, one task reads each conversation.
+Turns are ordered by turn (null first), role and text, and sorted by range. A task cuts the
+conversations that lie inside its range as they stream by. The first and the last of a range, which may
+go on in another, and any of more than ``WHOLE_TURNS`` turns or ``WHOLE_CHARS`` characters are left over:
+their prefix sums go over ranges in two levels (see ``sums_ahead``), and their windows are built per
+conversation and block, so a conversation of any length, with or without turn numbers, is spread; a turn
+is dealt to two blocks at most, the system turn to each block that has turns, from as many copies as the
+conversation has thousands of turns. Texts are shuffled once to be formatted, those left over twice.
+``read_back`` streams sorted windows and holds one at a time; as its digests are chains over whole
+conversations, one task reads each conversation.
 
 Defined cases: a null role or text is empty; a null ``conv_id`` is a conversation of its own;
 a very long turn is a window of its own and is held whole; repeated rows are turns of their own; an
@@ -32,22 +35,28 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import running_sums, table
+from graphloom.llm.common import sums_ahead, table
+from graphloom.session import materialise
 
 BUDGET, HISTORY, TURN_TOKENS = 512, 128, 4
 #: Control strings of this and other common templates.
 CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<bos>", "<eos>", "<start_of_turn>", "<end_of_turn>")
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Conversations of more turns or characters are not held whole.
+WHOLE_TURNS, WHOLE_CHARS = 10_000, 8_000_000
 _ESCAPE = re.compile("|".join(["\\\\", *(re.escape(c) for c in CONTROL)]))
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 WINDOW_SCHEMA = "conv_id long, start long, text string, repeated int, spans array<struct<from: int, to: int>>, tokens long"
+CUT_SCHEMA = WINDOW_SCHEMA + ", turn long, role string, rows long, part int, tokens_inside long, rows_inside long"
 
 
 def escape(text: str) -> str:
@@ -77,12 +86,84 @@ def parse_window(text: str) -> list[tuple[str, str, int, int]]:
     return found
 
 
-def placed_turns(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Turns without nulls but in conv_id and turn, with ``begin`` and ``place`` (tokens and turns of their conversation ahead of them), ``turns`` (all of them), ``lead`` (the system turn's tokens), and the conversation's ``history`` and ``room`` (a block's tokens)."""
+def _rooms(lead: int, budget: int, history: int) -> tuple[int, int]:
+    """(room, history): tokens of a block and of the history, where the system turn has ``lead`` tokens."""
+    kept = min(history, max(0, (budget - lead) // 2))
+    return max(1, budget - lead - kept), kept
+
+
+class Cutter:
+    """Takes the sorted turns of one range: gives windows of the conversations that surely lie inside it, and the turns of the others."""
+
+    def __init__(self, part: int, budget: int, history: int, most_turns: int, most_chars: int):
+        self.part, self.budget, self.history, self.most_turns, self.most_chars = part, budget, history, most_turns, most_chars
+        self.key: tuple | None = None
+        self.held: list[tuple] = []
+        self.windows: list[dict] = []
+        self.rest: list[dict] = []
+        self.begin = self.place = self.chars = self.seen = 0
+        self.whole = False
+
+    def _leave(self) -> None:
+        """Leave the turns held over."""
+        for begin, place, turn, tokens, role, text in self.held:
+            self.rest.append({"conv_id": self.key[0], "text": text, "tokens": tokens, "turn": turn, "role": role, "rows": 1, "part": self.part, "tokens_inside": begin, "rows_inside": place})
+        self.held, self.whole = [], False
+
+    def end(self, last: bool) -> None:
+        """The conversation is over; ``last``: and so is the range."""
+        if not self.held:
+            return
+        if last or not self.whole:
+            self._leave()
+            return
+        turns = [(begin, tokens, role, text) for begin, _, _, tokens, role, text in self.held]
+        lead = turns[0][1] if turns[0][2] == "system" else 0
+        room, kept = _rooms(lead, self.budget, self.history)
+        system, begins = (turns[0][3], lead) if lead else None, [t[0] for t in turns]
+        for block in sorted({x // room for x in begins}):
+            near = turns[bisect_left(begins, block * room - kept) : bisect_left(begins, (block + 1) * room)]
+            self.windows += [{"conv_id": self.key[0], **row} for row in _build(near, block, system, room, kept, self.budget)]
+        self.held = []
+
+    def add(self, conversation: int | None, turn: int | None, role: str, text: str, tokens: int) -> None:
+        if self.key != (conversation,):
+            self.end(False)
+            self.key, self.whole, self.seen = (conversation,), self.seen > 0, self.seen + 1
+            self.begin = self.place = self.chars = 0
+        self.held.append((self.begin, self.place, turn, tokens, role, text))
+        self.begin, self.place, self.chars = self.begin + tokens, self.place + 1, self.chars + len(text)
+        if not self.whole or self.place > self.most_turns or self.chars > self.most_chars:
+            self._leave()
+
+
+def cut(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """``CUT_SCHEMA``, written: windows (those with ``start``), and turns that are left over, with sums inside their range."""
     plain = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    costed = plain.withColumns({"tokens": F.regexp_count("text", F.lit(WORD)).cast("long") + TURN_TOKENS, "rows": F.lit(1).cast("long")})
+    costed = plain.withColumn("tokens", F.regexp_count("text", F.lit(WORD)).cast("long") + TURN_TOKENS)
     order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), F.asc("role")]
-    summed, parts = running_sums(costed, [*order, F.asc("text")], ["tokens", "rows"], "chat-turns", "conv_id", [*order, F.substring("text", 1, 64).asc()])
+    columns = ("conv_id", "turn", "role", "text", "tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(TaskContext.get().partitionId(), budget, history, WHOLE_TURNS, WHOLE_CHARS)
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                cutter.add(*row)
+                if len(cutter.windows) + len(cutter.rest) >= 1_000:
+                    yield _batch([*cutter.windows, *cutter.rest], CUT_TYPES)
+                    cutter.windows, cutter.rest = [], []
+        cutter.end(True)
+        if cutter.windows or cutter.rest:
+            yield _batch([*cutter.windows, *cutter.rest], CUT_TYPES)
+
+    # the ends of ranges need not hold whole texts
+    ranged = costed.repartitionByRange(*order, F.substring("text", 1, 64).asc()).sortWithinPartitions(*order, "text")
+    return materialise(ranged.mapInArrow(run, CUT_SCHEMA), "chat-cut")
+
+
+def placed_turns(summed: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """Turns left over by ``cut`` with ``begin`` and ``place`` (tokens and turns of their conversation ahead of them), ``turns`` (all of them), ``lead`` (the system turn's tokens), and the conversation's ``history`` and ``room``."""
+    parts = sums_ahead(summed, ["tokens", "rows"], "conv_id")
     same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))
     heads = summed.where("rows_inside = 0 and role = 'system'").select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("tokens").alias("head"))
     whole = W.partitionBy("conv_id")
@@ -118,7 +199,8 @@ def _build(turns: list[tuple[int, int, str, str]], block: int, system: tuple[str
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """The formatted windows: conv_id, start (tokens ahead), text, repeated (leading turns that are not the window's own), spans under the loss mask, tokens."""
-    turns = placed_turns(conversations, budget, history)
+    made = cut(conversations, budget, history)
+    turns = placed_turns(made.where("start is null").select("conv_id", "role", "text", "tokens", "rows", "part", "tokens_inside", "rows_inside"), budget, history)
     blocks = F.array_distinct(F.array(F.floor(F.col("begin") / F.col("room")), F.floor((F.col("begin") + F.col("history")) / F.col("room"))))
     columns = ("conv_id", "block", "place", "begin", "tokens", "role", "text", "room", "history")
     dealt = turns.withColumn("block", F.explode(blocks)).select(*columns)
@@ -150,12 +232,17 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         if rows := finish():
             yield _batch(rows)
 
-    return dealt.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "place").mapInArrow(build, WINDOW_SCHEMA)
+    built = dealt.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "place").mapInArrow(build, WINDOW_SCHEMA)
+    return made.where("start is not null").select(*built.columns).union(built)
+
+
+_SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+WINDOW_TYPES = pa.schema([("conv_id", pa.int64()), ("start", pa.int64()), ("text", pa.string()), ("repeated", pa.int32()), ("spans", _SPANS), ("tokens", pa.int64())])
+CUT_TYPES = pa.schema([*WINDOW_TYPES, ("turn", pa.int64()), ("role", pa.string()), ("rows", pa.int64()), ("part", pa.int32()), ("tokens_inside", pa.int64()), ("rows_inside", pa.int64())])
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    spans = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-    return pa.RecordBatch.from_pylist(rows, pa.schema([("conv_id", pa.int64()), ("start", pa.int64()), ("text", pa.string()), ("repeated", pa.int32()), ("spans", spans), ("tokens", pa.int64())]))
+def _batch(rows: list[dict], types: pa.Schema = WINDOW_TYPES) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, types)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -124,14 +124,13 @@ def may_hold(df: DataFrame, key: Column, held: DataFrame, held_key: str, count:
     return joined.select(*quoted(df), found.alias(flag))
 
 
-def running_sums(df: DataFrame, order: list[Column], amounts: list[str], name: str, group: str | None = None, ranges: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def running_sums(df: DataFrame, order: list[Column], amounts: list[str], name: str, group: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Sums of ``amounts`` ahead of each row in a global order, in two levels.
 
     Rows are range-sorted by ``order``, of which ``group``, if any, must be the first; each range is summed as it streams
     by, so a group or a key of any size is spread over ranges. Returns the written rows with ``part`` and, for each
     amount, the sum ``inside`` of the rows ahead in the same part and group; and a small table of (group, part), the sum
-    ``ahead`` of the parts before and the part's ``own``. Names: ``<amount>_inside``, ``_ahead``, ``_own``. ``ranges`` is
-    what ranges go by, ``order`` by default, of which it may be a coarser form.
+    ``ahead`` of the parts before and the part's ``own``. Names: ``<amount>_inside``, ``_ahead``, ``_own``.
     """
     fields = [T.StructField("part", T.IntegerType()), *[T.StructField(f"{a}_inside", T.LongType()) for a in amounts]]
 
@@ -161,10 +160,15 @@ def running_sums(df: DataFrame, order: list[Column], amounts: list[str], name: s
                     sums[k] += int(total[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, dtype=np.int32)), *map(pa.array, made)], [*batch.schema.names, "part", *[f"{a}_inside" for a in amounts]])
 
-    ordered = df.repartitionByRange(*(ranges or order)).sortWithinPartitions(*order)
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     summed = materialise(ordered.mapInArrow(run, T.StructType([*df.schema.fields, *fields])), name)
+    return summed, sums_ahead(summed, amounts, group)
+
+
+def sums_ahead(summed: DataFrame, amounts: list[str], group: str | None = None) -> DataFrame:
+    """The second table of ``running_sums``, from its first."""
     by = [group] if group else []
     parts = summed.groupBy(*by, "part").agg(*[F.sum(a).alias(f"{a}_own") for a in amounts])
     before = (W.partitionBy(*by) if by else W).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     ahead = [F.coalesce(F.sum(f"{a}_own").over(before), F.lit(0)).cast("long").alias(f"{a}_ahead") for a in amounts]
-    return summed, parts.select(*by, "part", *ahead, *[f"{a}_own" for a in amounts])
+    return parts.select(*by, "part", *ahead, *[f"{a}_own" for a in amounts])

@@ -50,9 +50,13 @@ def test_read_back(frame):
         assert (found[c]["loss_chars"], found[c]["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest()), c
 
 
-@pytest.mark.parametrize(("budget", "history"), [(512, 128), (60, 20), (100, 100), (40, 0)])
-def test_windows(frame, budget, history):
+@pytest.mark.parametrize(("budget", "history", "whole"), [(512, 128, C.WHOLE_TURNS), (512, 128, 0), (60, 20, 10), (100, 100, C.WHOLE_TURNS), (40, 0, 50)])
+def test_windows(frame, budget, history, whole, monkeypatch):
+    """Whether conversations are cut as they stream by, or none (whole = 0), or short ones alone."""
+    monkeypatch.setattr(C, "WHOLE_TURNS", whole)
     expected = ordered(conversations())
+    left = C.cut(frame, budget, history).where("start is null").select("conv_id").distinct().count()
+    assert left == len(expected) if whole == 0 else left < len(expected) / 2 if whole > 100 else left > 3
     by = {}
     for w in C.windows(frame, budget, history).collect():
         by.setdefault(w["conv_id"], []).append(w)
