@@ -66,7 +66,8 @@ def drop_series(graph: PropertyGraph, series: Any) -> PropertyGraph:
     name = graph.resolve(series)
     if name.reserved:
         raise ValueError(f"reserved series: {name}")
-    return graph.with_table(name.prefix, graph.table(name.prefix).drop(name.name))
+    made = graph.with_table(name.prefix, graph.table(name.prefix).drop(name.name))
+    return made.replace(relabelled=(graph, name.prefix, {name.name: None}))
 
 
 def rename_series(graph: PropertyGraph, old: Any, new: Any) -> PropertyGraph:
@@ -79,7 +80,8 @@ def rename_series(graph: PropertyGraph, old: Any, new: Any) -> PropertyGraph:
         raise ValueError(f"a series keeps its prefix: {name} to {other}")
     if graph.has_series(other):
         raise ValueError(f"series exists: {other}")
-    return graph.with_table(name.prefix, graph.table(name.prefix).withColumnRenamed(name.name, other.name))
+    made = graph.with_table(name.prefix, graph.table(name.prefix).withColumnRenamed(name.name, other.name))
+    return made.replace(relabelled=(graph, name.prefix, {name.name: other.name}))
 
 
 def erase_edges(graph: PropertyGraph, where: Any = None, series: Any = None, values: Sequence[str] | None = None) -> PropertyGraph:

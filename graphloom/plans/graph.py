@@ -40,6 +40,8 @@ class PropertyGraph:
     nodes has a unique column ``id``; edges has ``u``, ``v`` and ``directed``. All other columns are
     nullable series. ``warnings`` counts what was skipped on the way here. ``growth`` is the graph that
     this one grew from by added rows alone, and these rows by table; a store then writes no others.
+    ``relabelled`` is the graph that this one differs from by names of series alone, the prefix, and the
+    names (None for a dropped one); a store then writes no rows.
     """
 
     nodes: DataFrame
@@ -48,6 +50,7 @@ class PropertyGraph:
     path: str | None = None
     strict_reference: bool = False
     growth: tuple[PropertyGraph, dict[str, DataFrame]] | None = field(default=None, repr=False)
+    relabelled: tuple[PropertyGraph, str, dict[str, str | None]] | None = field(default=None, repr=False)
 
     @classmethod
     def empty(cls, spark: SparkSession, **more: Any) -> PropertyGraph:
@@ -82,7 +85,7 @@ class PropertyGraph:
 
     def replace(self, **changes: Any) -> PropertyGraph:
         """This graph with other nodes, edges or settings."""
-        return replace(self, **({"warnings": Counter(self.warnings), "growth": None} | changes))
+        return replace(self, **({"warnings": Counter(self.warnings), "growth": None, "relabelled": None} | changes))
 
     def table(self, prefix: str) -> DataFrame:
         return self.nodes if prefix == NODE else self.edges

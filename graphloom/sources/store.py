@@ -14,6 +14,7 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.plans.graph import PropertyGraph
@@ -53,11 +54,16 @@ class GraphStore:
         return bool(versions)
 
     def _table(self, parts: list[dict[str, Any]]) -> DataFrame:
-        """All parts of a table; those of one schema are read together."""
-        by_schema: dict[str, list[str]] = {}
+        """All parts of a table; those of one schema and the same names are read together."""
+        alike: dict[str, list[str]] = {}
         for part in parts:
-            by_schema.setdefault(json.dumps(part["schema"]), []).append(f"{self.path}/{part['folder']}")
-        return align([self.spark.read.schema(T.StructType.fromJson(json.loads(s))).parquet(*folders) for s, folders in by_schema.items()])
+            alike.setdefault(json.dumps([part["schema"], part.get("names", {})]), []).append(f"{self.path}/{part['folder']}")
+        read = []
+        for key, folders in alike.items():
+            schema, names = json.loads(key)
+            held = self.spark.read.schema(T.StructType.fromJson(schema)).parquet(*folders)
+            read.append(held.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in held.columns]))
+        return align(read)
 
     @property
     def graph(self) -> PropertyGraph:
@@ -70,6 +76,14 @@ class GraphStore:
         nullable = T.StructType([T.StructField(f.name, f.dataType) for f in table.schema.fields])
         return {"folder": folder, "schema": json.loads(nullable.json())}
 
+    @staticmethod
+    def _relabel(part: dict[str, Any], change: dict[str, str | None]) -> dict[str, Any]:
+        """A part whose files stay, with other names of its columns or without some of them."""
+        fields, names = part["schema"]["fields"], part.get("names", {})
+        now = {f["name"]: change.get(names.get(f["name"], f["name"]), names.get(f["name"], f["name"])) for f in fields}
+        kept = {"fields": [f for f in fields if now[f["name"]] is not None]}
+        return part | {"schema": part["schema"] | kept, "names": {k: v for k, v in now.items() if v not in (None, k)}}
+
     def _commit(self, manifest: dict[str, Any]) -> None:
         if not self.files.create_text(f"{self.path}/{MANIFEST.format(manifest['version'])}", json.dumps(manifest)):
             raise ConcurrentChange(f"{self.path} was changed by another writer after version {self.manifest['version']}")
@@ -79,13 +93,16 @@ class GraphStore:
         """Make ``graph`` the current one.
 
         A table that is still that of ``before`` is not written again; of one that ``before`` grew to by an ingest only the
-        new rows are written. Notes are kept in the manifest, in the same step, and stay until they are replaced.
+        new rows are written, and of one whose series were renamed or dropped nothing. Notes are kept in the manifest, in the same step, and stay until they are replaced.
         """
         version = self.manifest["version"] + 1
         manifest: dict[str, Any] = {**self.manifest, **notes, "version": version}
         grown = graph.growth[1] if before is not None and graph.growth and graph.growth[0] is before else {}
+        base, prefix, change = graph.relabelled or (None, None, {})
         for name in TABLES:
-            if name in grown:
+            if before is not None and base is before and name == f"{prefix}s":
+                manifest[name] = [self._relabel(part, change) for part in self.manifest[name]]
+            elif name in grown:
                 manifest[name] = [*self.manifest[name], self._write(grown[name], name, version)]
             elif before is None or getattr(graph, name) is not getattr(before, name):
                 manifest[name] = [self._write(getattr(graph, name), name, version)]

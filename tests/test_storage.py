@@ -103,6 +103,23 @@ def test_ingest_adds_parts(spark, edge_files, tmp_path):
     assert GraphStore(spark, path).graph.edges.where("x = 1").count() == 56
 
 
+def test_names_change_without_rows(spark, edge_files, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "graph"))
+    store.update(ingest.ingest_parquet_edges, edge_files, "s", "t")
+    files = set((tmp_path / "graph").rglob("*.parquet"))
+    before = sorted(map(tuple, store.graph.edges.select("u", "v", "score", "paint").collect()), key=str)
+    store.update(mutate.rename_series, "edge.score", "points")
+    store.update(mutate.rename_series, "edge.paint", "score")  # a name that a column in the files has had
+    store.update(mutate.drop_series, "edge.title")
+    store.update(mutate.rename_series, "edge.points", "title")
+    again = GraphStore(spark, str(tmp_path / "graph")).graph
+    assert sorted(map(tuple, again.edges.select("u", "v", "title", "score").collect()), key=str) == before
+    assert set(again.edges.columns) == {"u", "v", "directed", "part", "load", "score", "kept", "title"} and dict(again.edges.dtypes)["title"] == "bigint"
+    assert set((tmp_path / "graph").rglob("*.parquet")) == files  # nothing was written
+    store.update(ingest.ingest_parquet_edges, edge_files, "s", "t", True, ["load"])
+    assert query.describe(store.graph)["ne"] == 56 and store.graph.edges.where("title is null").count() == 28
+
+
 def test_no_change_is_lost(spark, edge_files, tmp_path):
     first = GraphStore(spark, str(tmp_path / "graph"))
     first.update(ingest.ingest_parquet_edges, edge_files, "s", "t")
