@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 from types import ModuleType
@@ -39,6 +40,14 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task, as its worker lives on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice holds about ``max_chars`` bytes of a text column, at least one row."""
     for batch in batches:
@@ -51,7 +60,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_chars: int = 4_00
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
-    pa.default_memory_pool().release_unused()  # the worker lives on
+    release()
 
 
 def per_worker(key: tuple, make: Callable[[], object]) -> object:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import per_worker, slices, table
+from graphloom.llm.common import per_worker, release, slices, table
 from graphloom.session import fresh_path
 
 END_ID = 1
@@ -222,6 +222,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                 size += len(ids)
         if held:
             yield packed()
+        held = []
+        release()
 
     shards = len(bounds) + 1
     files = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -249,6 +251,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 keys = pa.array(np.frombuffer(row["doc_ids"], dtype="<i8"), mask=np.arange(len(counts)) < row["null_ids"])
                 same = [np.full(len(counts), row[c], dtype=np.int32) for c in ("shard", "block")]
                 yield pa.RecordBatch.from_arrays([keys, pa.array(counts), pa.array(crc, pa.int64()), *map(pa.array, same), pa.array(ends - counts)], ["doc_id", "n_tokens", "ids_crc32", "shard", "block", "before"])
+        release()
 
     sizes = stored.select("shard", "block", "n_tokens")
     total = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
