@@ -1,13 +1,19 @@
 """Connected components of an undirected edge list.
 
 Each partition first replaces its edges by a spanning forest of stars, ``CHUNK`` edges at a time. If
-at most ``LOCAL_EDGES`` edges are left, a single task settles them. Otherwise rounds of large-star and
-small-star replace edges by edges to smaller neighbours until each component is a star around its
-least vertex (Kiveris et al., "Connected Components in MapReduce and Beyond", SoCC 2014). A vertex's
-minimum is a partial aggregate joined back to its edges; the minima of hubs, vertices with more than
-one in ``HUB_SHARE`` edges, of which there are at most twice as many, are broadcast, so a hub's edges
-stay where they lie. Each round is written to the session's shared folder, which cuts lineage and
-survives lost executors, and is counted as it is written.
+at most ``LOCAL_EDGES`` edges are left, a single task settles them. Otherwise rounds contract the graph:
+every member of a star takes the centre with the least hash among its stars, both ends of each star edge
+are replaced by what they took, and the edges between different centres, again cut down to forests, are
+the next round's graph; what each vertex took is kept and followed backwards in the end (randomised
+contraction: Boegeholz, Brand and Todor, "In-database connected component analysis", ICDE 2020). The
+hash differs from round to round, so the vertices shrink by a constant factor whatever their names and
+order. In the first round the second ends of edges are centres before the first ends; if these are
+different vertices, as in a table of orders and parts, only second ends are left.
+
+An edge is shuffled twice a round, by its member and by its centre. A vertex is a member once a chunk at
+most; centres with more than one in ``HUB_SHARE`` edges, of which there are at most twice as many, are
+looked up by a broadcast, so a hub's edges stay where they lie. Each round is written to the session's
+shared folder, which cuts lineage and survives lost executors, and is counted as it is written.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.plans.graph import PropertyGraph
@@ -42,32 +49,47 @@ def settle(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _stars(u: pa.Array, v: pa.Array, roots: bool) -> tuple[pa.Array, pa.Array]:
-    """(member, least member) of the components of edges; least members themselves too if ``roots`` or if nothing else tells of them."""
+def _stars(u: pa.Array, v: pa.Array, roots: bool, hashes: tuple[np.ndarray, np.ndarray] | None = None, seconds: bool = False) -> tuple[pa.Array, pa.Array]:
+    """(member, centre) of the components of edges; centres themselves too if ``roots`` or if nothing else tells of them.
+
+    The centre is the least member, or that with the least of ``hashes``, with ``seconds`` among the members in v.
+    """
     coded = pa.concat_arrays([u, v]).dictionary_encode()
-    order = pc.sort_indices(coded.dictionary)
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order.to_numpy()] = np.arange(len(order))
-    ends = rank[coded.indices.to_numpy()]
+    codes, n = coded.indices.to_numpy(), len(coded.dictionary)
+    if hashes is None:
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+    else:
+        drawn, first = np.empty(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        drawn[codes] = np.concatenate(hashes)
+        first[codes[: len(u)]] = True
+        first[codes[len(u) :]] = False
+        order = np.lexsort((drawn, first)) if seconds else np.argsort(drawn, kind="stable")
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    ends = rank[codes]
     i, j = ends[: len(u)], ends[len(u) :]
-    label = settle(np.arange(len(order)), i, j)
-    shown = label != np.arange(len(order))
-    alone = np.ones(len(order), dtype=bool)
+    label = settle(np.arange(n), i, j)
+    shown = label != np.arange(n)
+    alone = np.ones(n, dtype=bool)
     alone[label[shown]] = False
-    at = np.arange(len(order)) if roots else np.flatnonzero(shown | alone)
-    names = coded.dictionary.take(order)
+    at = np.arange(n) if roots else np.flatnonzero(shown | alone)
+    names = coded.dictionary.take(pa.array(order))
     return names.take(pa.array(at)), names.take(pa.array(label[at]))
 
 
-def _forest(edges: DataFrame, chunk: int, roots: bool = False) -> DataFrame:
-    """Edges with the same components, at most one a vertex, partition and chunk; loops for vertices that nothing else tells of."""
+def _forest(edges: DataFrame, chunk: int, roots: bool = False, seed: int | None = None) -> DataFrame:
+    """Edges with the same components, at most one a vertex, partition and chunk; loops for vertices that nothing else tells of.
+
+    They lead to the least vertex or, with a ``seed``, to that with the least hash; seed 0 prefers vertices in v.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def made() -> Iterator[pa.RecordBatch]:
-            u, v = (pa.concat_arrays([b.column(k) for b in held]) for k in (0, 1))
-            found = pa.RecordBatch.from_arrays(list(_stars(u, v, roots)), ["u", "v"])
+            u, v, *h = (pa.concat_arrays([b.column(k) for b in held]) for k in range(held[0].num_columns))
+            stars = _stars(u, v, roots, (h[0].to_numpy(), h[1].to_numpy()) if h else None, seed == 0)
+            found = pa.RecordBatch.from_arrays(list(stars), ["u", "v"])
             yield from (found.slice(k, 100_000) for k in range(0, found.num_rows, 100_000))
 
         for batch in batches:
@@ -79,36 +101,61 @@ def _forest(edges: DataFrame, chunk: int, roots: bool = False) -> DataFrame:
         if size:
             yield from made()
 
-    return edges.mapInArrow(run, edges.schema)
+    drawn = [] if seed is None else [F.xxhash64(F.lit(seed), "u").alias("hu"), F.xxhash64(F.lit(seed), "v").alias("hv")]
+    return edges.select("u", "v", *drawn).mapInArrow(run, edges.select("u", "v").schema)
+
+
+def _hubs(rows: DataFrame, key: str, total: int) -> list[Any]:
+    """All values of ``key`` with more than one in ``HUB_SHARE`` of ``total`` rows, and at most twice as many values.
+
+    Such a value has more than half that share in some chunks, and what it has in others is no more than that half.
+    """
+    share = 2 * HUB_SHARE
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-def _to_least(rows: DataFrame, total: int) -> DataFrame:
-    """(u, v, m): rows with the least v of their u."""
-    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hubs = F.broadcast(least.where(F.col("n") > total / HUB_SHARE).select("u", "m"))
-    rest = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= total / HUB_SHARE).select("u", "m"), "u")
-    return rows.join(hubs, "u").union(rest)
+        def many() -> pa.RecordBatch:
+            counts = pc.value_counts(pa.concat_arrays(held))
+            frequent = counts.filter(pc.greater(counts.field(1), size / share))
+            return pa.RecordBatch.from_arrays([frequent.field(0), frequent.field(1)], [key, "n"])
 
+        for batch in batches:
+            held.append(batch.column(0))
+            size += batch.num_rows
+            if size >= CHUNK:
+                yield many()
+                held, size = [], 0
+        if size:
+            yield many()
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _to_least(both, total).where("v > u").select("v", F.least("u", "m").alias("m"))
-    return least.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    kind = rows.schema[key].dataType.simpleString()
+    found = rows.select(key).mapInArrow(run, f"{key} {kind}, n long").groupBy(key).agg(F.sum("n").alias("n"))
+    return [r[0] for r in found.where(F.col("n") > total / share).collect()]
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    moved = _to_least(down, total)
-    tied = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
-    return moved.select(tied.alias("e")).select("e.*").where("u <> v").distinct()
+def _lookup(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows``, ``total`` in number, with what ``side`` has of their ``key``, which is unique there, or null."""
+    hubs = _hubs(rows, key, total)
+    if not hubs:
+        return rows.join(side, key, "left")
+    hot = F.col(key).isin(hubs)
+    return rows.where(hot).join(F.broadcast(side.where(hot)), key, "left").union(rows.where(~hot).join(side, key, "left"))
 
 
-def _written(edges: DataFrame, path: str) -> tuple[DataFrame, tuple]:
-    """The edges as written, with their number and the sum of their hashes."""
+def _written(edges: DataFrame, path: str) -> tuple[DataFrame, int, int]:
+    """The edges as written, the number of those between two vertices, and that of loops."""
     seen = Observation()
-    edges.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).write.parquet(path)
+    edges.observe(seen, F.count_if(F.col("u") != F.col("v")).alias("n"), F.count_if(F.col("u") == F.col("v")).alias("loops")).write.parquet(path)
     found = seen.get
-    return edges.sparkSession.read.schema(edges.schema).parquet(path), (found["n"], found["h"])
+    return edges.sparkSession.read.schema(edges.schema).parquet(path), found["n"], found["loops"]
+
+
+def _take(stars: DataFrame, seed: int) -> DataFrame:
+    """(u, v, taken): star edges with the centre that their member takes; u is left in one row of each member, as is all that is needed."""
+    centres = W.partitionBy("u").orderBy(F.xxhash64(F.lit(seed), "v"), "v")
+    ranked = stars.select("u", "v", F.first("v").over(centres).alias("taken"), F.row_number().over(centres).alias("k"))
+    return ranked.where("k = 1 or v <> taken").select(F.when(F.col("k") == 1, F.col("u")).alias("u"), "v", "taken")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
@@ -117,28 +164,38 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, local_edges: in
     Self-loops make a component of one vertex; null ends are ignored; repeated edges count once.
     """
     spark = edges.sparkSession
-    base, old = fresh_path(spark, "components"), None
-    given, state = _written(_forest(edges.select("u", "v").where("u is not null and v is not null"), CHUNK), f"{base}/given")
-    if state[0] <= local_edges:
-        settled, _ = _written(_forest(given.coalesce(1), local_edges + 1, roots=True), f"{base}/settled")
+    base, rounds = fresh_path(spark, "components"), []
+    given, left, loops = _written(_forest(edges.select("u", "v").where("u is not null and v is not null"), CHUNK, seed=0), f"{base}/given")
+    stars = given
+    while left > local_edges:
+        k = len(rounds)
+        if k == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        rows = f"{base}/taken-{k}"
+        _take(stars.where("u <> v"), k).write.parquet(rows)
+        taken = spark.read.parquet(rows)
+        own = taken.where("u is not null").select("u", "taken")
+        rounds.append((own, left))
+        ends = _lookup(taken.select("v", F.col("taken").alias("a")), own.withColumnsRenamed({"u": "v", "taken": "b"}), "v", left)
+        apart = ends.select(F.col("a").alias("u"), F.coalesce("b", "v").alias("v")).where("u <> v")
+        stars, left, _ = _written(_forest(apart, CHUNK, seed=k + 1), f"{base}/round-{k + 1}")
+        if k:
+            delete_path(spark, f"{base}/round-{k}")
+    labels, _, _ = _written(_forest((stars if rounds else given).coalesce(1), local_edges + 1, roots=True), f"{base}/settled")
+    if not rounds:
         delete_path(spark, f"{base}/given")
-        return settled.toDF("id", "component")
-    current, total = given.where("u <> v"), state[0]
-    for k in range(max_rounds):
-        path, before = f"{base}/round-{k}", state
-        current, state = _written(_small_star(_large_star(current, total), total), path)
-        if old:
-            delete_path(spark, old)
-        old, total = path, state[0]
-        if state == before or not state[0]:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    stars = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    roots = current.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
-    found = stars.union(roots)
-    alone = given.where("u = v").select(F.col("u").alias("id")).distinct().join(found, "id", "left_anti")
-    return found.union(alone.withColumn("component", F.col("id")))
+        return labels.toDF("id", "component")
+    for k, (own, total) in reversed(list(enumerate(rounds))):
+        above = labels.toDF("taken", "label")
+        found = _lookup(own, above, "taken", total)
+        each = found.select("u", F.coalesce("label", "taken").alias("v"))
+        ends = found.where("label is null").select(F.col("taken").alias("u"), F.col("taken").alias("v")).distinct()
+        labels, _, _ = _written(each.union(labels).union(ends).distinct(), f"{base}/labels-{k}")
+    if loops:
+        alone = given.where("u = v").select("u", "v").distinct().join(labels.select("u"), "u", "left_anti")
+        labels, _, _ = _written(labels.union(alone), f"{base}/labels")
+    named = labels.groupBy("v").agg(F.min("u").alias("component"))
+    return _lookup(labels, named, "v", sum(total for _, total in rounds)).select(F.col("u").alias("id"), "component")
 
 
 def component_labels(graph: PropertyGraph, where: Any = None) -> DataFrame:

@@ -1,6 +1,8 @@
 """Operators on the four small graphs, against values counted from their rows."""
 
 import json
+import random
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +157,45 @@ def test_components_in_rounds(spark):
     assert components.connected_components(edges.limit(0)).count() == 0
 
 
+def edges_of_rounds(patch):
+    """The numbers of edges that the rounds of components write, as they come."""
+    counts, written = [], components._written
+
+    def seen(edges, path):
+        found = written(edges, path)
+        if "/round-" in path:
+            counts.append(found[0].count())
+        return found
+
+    patch.setattr(components, "_written", seen)
+    patch.setattr(components, "CHUNK", 20)
+    return counts
+
+
+def scattered(copies):
+    """(order, part) of graphs without order and parts in common, the copies of an edge one after the other."""
+    draw = random.Random(3)
+    return [(f"O{k}-{order}", f"P{k}-{draw.randrange(25)}") for order in range(200) for _ in range(4) for k in range(copies)]
+
+
+def test_rounds_of_components_shrink(spark):
+    """Whatever order edges come in, all rounds together write no more than a few times the edges."""
+    path = list(pairwise(range(1500)))
+    random.Random(5).shuffle(path)
+    for rows, kind, parts in ((path, "u long, v long", 1), (scattered(4), "u string, v string", 4)):
+        with pytest.MonkeyPatch.context() as patch:
+            counts = edges_of_rounds(patch)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+            try:
+                found = components.connected_components(spark.createDataFrame(rows, kind), local_edges=0).collect()
+            finally:
+                spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(found) == len({r["id"] for r in found}) == len({x for r in rows for x in r})
+        assert len({r["component"] for r in found}) == parts
+        assert all(r["component"] == min(x["id"] for x in found if x["component"] == r["component"]) for r in found[:40])
+        assert len(counts) > 1 and sum(counts) < 2 * len(rows), counts
+
+
 def test_samples(graph):
     picked = sample.sample_edges(graph, "edge.picked", 10)
     assert [r[0] for r in picked.edges.select("picked").collect()].count(True) == 10
