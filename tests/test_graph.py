@@ -2,6 +2,7 @@
 
 import json
 import random
+from functools import partial
 from itertools import pairwise
 
 import pytest
@@ -196,6 +197,25 @@ def test_rounds_of_components_shrink(spark):
         assert len(counts) > 1 and sum(counts) < 2 * len(rows), counts
 
 
+def test_rounds_under_an_edge_clause_shrink(spark):
+    """Sparse selected edges: labels by plain sets, null elsewhere, and rounds that shrink."""
+    rows = [(a, b, k % 8) for k, (a, b) in enumerate(scattered(3))]
+    least = {x: x for a, b, q in rows if q >= 5 for x in (a, b)}
+    for a, b in [(a, b) for _ in range(40) for a, b, q in rows if q >= 5]:
+        least[a] = least[b] = min(least[a], least[b])
+    made, _ = ingest_frames(PropertyGraph.empty(spark), [spark.createDataFrame(rows, "s string, t string, q long")], "s", "t")
+    with pytest.MonkeyPatch.context() as patch:
+        counts = edges_of_rounds(patch)
+        patch.setattr(components, "connected_components", partial(components.connected_components, local_edges=0))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+        try:
+            found = series(components.components(made, "node.comp", made.edge.q >= 5), "comp")
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {x: least.get(x) for a, b, _ in rows for x in (a, b)}
+    assert len(counts) > 1 and sum(counts) < 2 * sum(q >= 5 for _, _, q in rows), counts
+
+
 def test_samples(graph):
     picked = sample.sample_edges(graph, "edge.picked", 10)
     assert [r[0] for r in picked.edges.select("picked").collect()].count(True) == 10
