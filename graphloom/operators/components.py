@@ -1,19 +1,22 @@
 """Connected components of an undirected edge list.
 
 Each partition first replaces its edges by a spanning forest of stars, ``CHUNK`` edges at a time. If
-at most ``LOCAL_EDGES`` edges are left, a single task settles them. Otherwise rounds contract the graph:
-every member of a star takes the centre with the least hash among its stars, both ends of each star edge
-are replaced by what they took, and the edges between different centres, again cut down to forests, are
-the next round's graph; what each vertex took is kept and followed backwards in the end (randomised
-contraction: Boegeholz, Brand and Todor, "In-database connected component analysis", ICDE 2020). The
-hash differs from round to round, so the vertices shrink by a constant factor whatever their names and
-order. In the first round the second ends of edges are centres before the first ends; if these are
-different vertices, as in a table of orders and parts, only second ends are left.
-
-An edge is shuffled twice a round, by its member and by its centre. A vertex is a member once a chunk at
-most; centres with more than one in ``HUB_SHARE`` edges, of which there are at most twice as many, are
-looked up by a broadcast, so a hub's edges stay where they lie. Each round is written to the session's
-shared folder, which cuts lineage and survives lost executors, and is counted as it is written.
+at most ``LOCAL_EDGES`` edges are left, a single task settles them. Otherwise the graph is first reduced to
+the centres of the stars: in one shuffle each vertex meets its stars, a vertex that is no centre anywhere
+takes the least of its centres, which it links with the others, and only links between centres, cut down
+to forests, go on. Second ends of edges are centres before first ends; if these are different vertices, as
+in a table of orders and parts, only second ends are left. If that is still too much, rounds contract the
+graph: every member of a star takes the centre with the least hash among its stars, both ends of each star
+edge are replaced by what they took, and the edges between different centres, again cut down to forests,
+are the next round's graph (randomised contraction: Boegeholz, Brand and Todor, "In-database connected
+component analysis", ICDE 2020). The hash differs from round to round, so the vertices shrink by a constant
+factor whatever their names and order. What each vertex took is kept and followed backwards in the end.
+
+An edge is shuffled once for the first step, and twice a round, by its member and by its centre. A vertex
+is a member, and a centre, once a chunk at most; values with more than one in ``HUB_SHARE`` rows, of which
+there are at most twice as many, are looked up by a broadcast, so a hub's edges stay where they lie. Each
+step is written to the session's shared folder, which cuts lineage and survives lost executors, and is
+counted as it is written.
 """
 
 from __future__ import annotations
@@ -143,18 +146,56 @@ def _lookup(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame
     return rows.where(hot).join(F.broadcast(side.where(hot)), key, "left").union(rows.where(~hot).join(side, key, "left"))
 
 
+def _saved(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _written(edges: DataFrame, path: str) -> tuple[DataFrame, int, int]:
     """The edges as written, the number of those between two vertices, and that of loops."""
     seen = Observation()
-    edges.observe(seen, F.count_if(F.col("u") != F.col("v")).alias("n"), F.count_if(F.col("u") == F.col("v")).alias("loops")).write.parquet(path)
-    found = seen.get
-    return edges.sparkSession.read.schema(edges.schema).parquet(path), found["n"], found["loops"]
+    observed = edges.observe(seen, F.count_if(F.col("u") != F.col("v")).alias("n"), F.count_if(F.col("u") == F.col("v")).alias("loops"))
+    written, found = _saved(observed, path), seen.get
+    return written, found["n"], found["loops"]
+
+
+def _marked(stars: DataFrame, chunk: int) -> DataFrame:
+    """Star edges, and (centre, null) for each centre once a partition and chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def marks() -> Iterator[pa.RecordBatch]:
+            centres = pc.unique(pa.concat_arrays(held))
+            found = pa.RecordBatch.from_arrays([centres, pa.nulls(len(centres), centres.type)], ["u", "v"])
+            yield from (found.slice(k, 100_000) for k in range(0, found.num_rows, 100_000))
+
+        for batch in batches:
+            yield batch
+            held.append(batch.column(1))
+            size += batch.num_rows
+            if size >= chunk:
+                yield from marks()
+                held, size = [], 0
+        if size:
+            yield from marks()
+
+    return stars.select("u", "v").mapInArrow(run, stars.select("u", "v").schema)
+
+
+def _peel(stars: DataFrame) -> DataFrame:
+    """(u, taken) once for each vertex, a centre itself or else the least of its centres, and (taken, v) for links between centres."""
+    centres = W.partitionBy("u").orderBy(F.asc_nulls_first("v"))
+    ranked = _marked(stars, CHUNK).select("u", "v", F.coalesce(F.first("v").over(centres), "u").alias("taken"), F.row_number().over(centres).alias("k"))
+    first = F.col("k") == 1
+    return ranked.where("k = 1 or v <> taken").select(F.when(first, F.col("u")).alias("u"), F.when(~first, F.col("v")).alias("v"), "taken")
 
 
 def _take(stars: DataFrame, seed: int) -> DataFrame:
     """(u, v, taken): star edges with the centre that their member takes; u is left in one row of each member, as is all that is needed."""
     centres = W.partitionBy("u").orderBy(F.xxhash64(F.lit(seed), "v"), "v")
-    ranked = stars.select("u", "v", F.first("v").over(centres).alias("taken"), F.row_number().over(centres).alias("k"))
+    dealt = stars.repartition("u")  # before the window has its hashes, which would be shuffled too
+    ranked = dealt.select("u", "v", F.first("v").over(centres).alias("taken"), F.row_number().over(centres).alias("k"))
     return ranked.where("k = 1 or v <> taken").select(F.when(F.col("k") == 1, F.col("u")).alias("u"), "v", "taken")
 
 
@@ -165,37 +206,37 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, local_edges: in
     """
     spark = edges.sparkSession
     base, rounds = fresh_path(spark, "components"), []
-    given, left, loops = _written(_forest(edges.select("u", "v").where("u is not null and v is not null"), CHUNK, seed=0), f"{base}/given")
-    stars = given
+    given, size, loops = _written(_forest(edges.select("u", "v").where("u is not null and v is not null"), CHUNK, seed=0), f"{base}/given")
+    if size <= local_edges:
+        labels, _, _ = _written(_forest(given.coalesce(1), local_edges + 1, roots=True), f"{base}/settled")
+        delete_path(spark, f"{base}/given")
+        return labels.toDF("id", "component")
+    peeled = _saved(_peel(given), f"{base}/peeled")
+    delete_path(spark, f"{base}/given")
+    links = peeled.where("v is not null").select(F.col("taken").alias("u"), "v")
+    stars, left, _ = _written(_forest(links, CHUNK, seed=1), f"{base}/round-1")
     while left > local_edges:
-        k = len(rounds)
-        if k == max_rounds:
+        k = len(rounds) + 1
+        if k > max_rounds:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-        rows = f"{base}/taken-{k}"
-        _take(stars.where("u <> v"), k).write.parquet(rows)
-        taken = spark.read.parquet(rows)
+        taken = _saved(_take(stars, k), f"{base}/taken-{k}")
         own = taken.where("u is not null").select("u", "taken")
         rounds.append((own, left))
         ends = _lookup(taken.select("v", F.col("taken").alias("a")), own.withColumnsRenamed({"u": "v", "taken": "b"}), "v", left)
         apart = ends.select(F.col("a").alias("u"), F.coalesce("b", "v").alias("v")).where("u <> v")
         stars, left, _ = _written(_forest(apart, CHUNK, seed=k + 1), f"{base}/round-{k + 1}")
-        if k:
-            delete_path(spark, f"{base}/round-{k}")
-    labels, _, _ = _written(_forest((stars if rounds else given).coalesce(1), local_edges + 1, roots=True), f"{base}/settled")
-    if not rounds:
-        delete_path(spark, f"{base}/given")
-        return labels.toDF("id", "component")
-    for k, (own, total) in reversed(list(enumerate(rounds))):
+        delete_path(spark, f"{base}/round-{k}")
+    labels, _, _ = _written(_forest(stars.coalesce(1), local_edges + 1, roots=True), f"{base}/settled")
+    for k, (own, total) in reversed(list(enumerate(rounds, 1))):
         above = labels.toDF("taken", "label")
         found = _lookup(own, above, "taken", total)
         each = found.select("u", F.coalesce("label", "taken").alias("v"))
         ends = found.where("label is null").select(F.col("taken").alias("u"), F.col("taken").alias("v")).distinct()
         labels, _, _ = _written(each.union(labels).union(ends).distinct(), f"{base}/labels-{k}")
-    if loops:
-        alone = given.where("u = v").select("u", "v").distinct().join(labels.select("u"), "u", "left_anti")
-        labels, _, _ = _written(labels.union(alone), f"{base}/labels")
+    found = _lookup(peeled.where("u is not null").select("u", "taken"), labels.toDF("taken", "label"), "taken", 2 * size + loops)
+    labels, apart, centres = _written(found.select("u", F.coalesce("label", "taken").alias("v")), f"{base}/labels")
     named = labels.groupBy("v").agg(F.min("u").alias("component"))
-    return _lookup(labels, named, "v", sum(total for _, total in rounds)).select(F.col("u").alias("id"), "component")
+    return _lookup(labels, named, "v", apart + centres).select(F.col("u").alias("id"), "component")
 
 
 def component_labels(graph: PropertyGraph, where: Any = None) -> DataFrame:

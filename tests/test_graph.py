@@ -216,6 +216,37 @@ def test_rounds_under_an_edge_clause_shrink(spark):
     assert len(counts) > 1 and sum(counts) < 2 * sum(q >= 5 for _, _, q in rows), counts
 
 
+def shuffled(spark):
+    """The number of rows that all stages of the session have shuffled so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    stages = context.statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_components_of_sparse_edges_shuffle_them_once(spark):
+    """Orders of one or two parts, dealt at random: every vertex meets its stars in one shuffle, and is named once, whatever its part."""
+    draw = random.Random(7)
+    rows = [(f"O{order}", f"P{order % 40}-{draw.randrange(30)}") for order in range(6000) for _ in range(1 + order % 2)]
+    rows += [(f"Q{k}", f"R{k}") for k in range(300)] + [("S", "S"), ("R7", "R7"), ("R8", "R9"), ("O1", None)]
+    draw.shuffle(rows)
+    given = [r for r in rows if None not in r]
+    least = {x: x for r in given for x in r}
+    while any(least[a] != least[b] for a, b in given):
+        for a, b in given:
+            least[a] = least[b] = min(least[a], least[b])
+    edges = spark.createDataFrame(rows, "u string, v string").repartition(4).localCheckpoint()
+    before, at = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = components.connected_components(edges, local_edges=0).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(found) == len(least) and dict(map(tuple, found)) == least
+    assert shuffled(spark) - at < 3 * len(rows)
+
+
 def test_samples(graph):
     picked = sample.sample_edges(graph, "edge.picked", 10)
     assert [r[0] for r in picked.edges.select("picked").collect()].count(True) == 10
