@@ -9,7 +9,9 @@ population counts (of the whole, or of 2, 4 or 8 parts once there are very many)
 row. Two texts within the radius have population counts whose differences sum to the radius at most,
 so all other tile pairs are skipped; the rest are compared in full by exclusive-or and bit counts.
 A tile pair returns a spanning forest of its links, not the links, so a group of n near copies costs
-at most n rows. Components of the forests give the classes.
+at most n rows. A task cuts its tile pairs' forests down to one again and writes it, as a worker that
+takes the links up in the same task would be a second one in each, kept for good and as large as the
+first. Components of the forests give the classes.
 
 The number of compared pairs grows with the square of the number of distinct fingerprints, as the
 method is exact; more parts lower the factor (0.6 for one, 0.13 for four, 0.01 for eight on random
@@ -35,8 +37,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import UPPER, content_hash, lookup, may_hold, quoted, slices, table, unused
-from graphloom.operators.components import connected_components, settle
+from graphloom.llm.common import UPPER, content_hash, lookup, may_hold, quoted, release, slices, table, unused
+from graphloom.operators.components import connected_components, cut_down, settle
 from graphloom.session import materialise
 
 SHINGLE_WORDS, SEED, RADIUS = 4, 42, 4
@@ -124,7 +126,7 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int = RADIUS) -> tuple[n
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, parts: int | None = None, tile_rows: int | None = None) -> DataFrame:
-    """(u, v): links between fingerprints (column fp, distinct) whose components are those of all links."""
+    """(u, v): links between fingerprints (column fp, distinct) whose components are those of all links, as written."""
     n = distinct.count()
     parts = parts or max(p for p, least in PARTS if n >= least)
     tile_rows = tile_rows or min(MAX_TILE_ROWS, max(TILE_ROWS, n // TILES))
@@ -143,7 +145,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int | None = None, t
     right = packed.select(F.col("tile").alias("b"), F.col("fps").alias("fps_b"))
     dealt = pairs.join(left, "a").select("b", F.when(F.col("a") != F.col("b"), F.col("fps_a")).alias("fps_a")).join(right, "b").select("fps_a", "fps_b")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in zip(batch.column(0), batch.column(1), strict=True):
                 b = b.values.to_numpy().view(np.uint64)
@@ -151,7 +153,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, parts: int | None = None, t
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    return dealt.mapInArrow(compare, "u long, v long")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from cut_down(compared(batches))
+        release()
+
+    return materialise(dealt.mapInArrow(compare, "u long, v long"), "simhash-links")
 
 
 def _classes(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, int]:

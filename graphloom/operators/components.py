@@ -80,6 +80,28 @@ def _stars(u: pa.Array, v: pa.Array, roots: bool, hashes: tuple[np.ndarray, np.n
     return names.take(pa.array(at)), names.take(pa.array(label[at]))
 
 
+def cut_down(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a partition, none a loop, as spanning forests of ``chunk`` edges at a time.
+
+    For code that makes edges in Python: ``_forest`` behind it would hold a second Python worker in every task.
+    """
+    held, size = [], 0
+
+    def made() -> Iterator[pa.RecordBatch]:
+        u, v = (pa.concat_arrays([b.column(k) for b in held]) for k in range(2))
+        found = pa.RecordBatch.from_arrays(list(_stars(u, v, False)), ["u", "v"])
+        yield from (found.slice(k, 100_000) for k in range(0, found.num_rows, 100_000))
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= chunk:
+            yield from made()
+            held, size = [], 0
+    if size:
+        yield from made()
+
+
 def _forest(edges: DataFrame, chunk: int, roots: bool = False, seed: int | None = None) -> DataFrame:
     """Edges with the same components, at most one a vertex, partition and chunk; loops for vertices that nothing else tells of.
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -76,3 +77,28 @@ def test_run_gives_the_last_stage(spark, folder):
     path, _, _ = folder
     found = corpus_pipeline.run(spark, path).orderBy("start").collect()
     assert found[0]["start"] == 0 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(found, found[1:], strict=False))
+
+
+def python_workers(plan: str) -> int:
+    """How many Python nodes a task of this plan has above each other, at most; exchanges end a task."""
+    above, most = [], 0
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*"))
+        above = [x for x in above if x[0] < depth]
+        held = 0 if "Exchange" in line.split("[")[0] else (above[-1][1] if above else 0) + ("MapInArrow" in line)
+        above.append((depth, held))
+        most = max(most, held)
+    return most
+
+
+def test_a_task_has_one_python_worker(spark, folder, tmp_path, monkeypatch):
+    assert python_workers("W\n+- MapInArrow a\n   +- Exchange b\n      :- MapInArrow c\n      +- MapInArrow d") == 1
+    assert python_workers("W\n+- MapInArrow a\n   +- *(1) Project [b]\n      +- MapInArrow c") == 2
+    path, plans, write = folder[0], [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or write(self, *a, **b))
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, path).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+    assert sum("MapInArrow" in x for x in plans) > 8
+    assert [x for x in plans if python_workers(x) > 1] == []

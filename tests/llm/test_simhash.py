@@ -98,6 +98,17 @@ def classes_of(marks):
     return [(k, m, find(k)) for k, m in enumerate(marks)]
 
 
+def test_links_are_cut_down_before_they_are_written(spark):
+    marks = [1 << k for k in range(60)]  # all within two bits, in some 30 tiles, so that each is in many pairs of tiles
+    found = H.links(spark.createDataFrame([(m,) for m in marks], "fp long"), 4, tile_rows=2).select("u", "v", F.input_file_name().alias("f"))
+    rows = found.collect()
+    assert all(r["u"] != r["v"] for r in rows)
+    for f in {r["f"] for r in rows}:
+        own = [(r["u"], r["v"]) for r in rows if r["f"] == f]
+        assert len(own) == len({u for u, _ in own}) < len(marks)
+    assert {r["component"] for r in connected_components(found.select("u", "v")).collect()} == {1}
+
+
 def test_near_cells():
     for parts in (1, 2, 4):
         cells = H._near_cells(parts, 4)
